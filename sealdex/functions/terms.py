@@ -19,13 +19,16 @@ def fold_query(words) -> list[str]:
 
 @dataclass(frozen=True)
 class Term:
-    """One indexed value: ``source`` bare, or scoped as ``<scope>=<source>``."""
+    """One indexed value: ``source`` bare, or scoped as ``<scope>=<source>``.
+
+    ``source`` is a field name, any SQL expression over the fields, or a Column.
+    """
 
     source: str | Column
     scope: str | None = None
 
     def column(self) -> Column:
-        value = folded(F.col(self.source) if isinstance(self.source, str) else self.source)
+        value = folded(F.expr(self.source) if isinstance(self.source, str) else self.source)
         return value if self.scope is None else F.concat(F.lit(f"{self.scope}="), value)
 
 
@@ -39,6 +42,5 @@ class IndexSpec:
 
 
 def text_words(text: Column) -> Column:
-    """Distinct whitespace-separated words of a whole text, folded."""
-    words = F.split(folded(text), r"\s+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    """Whitespace-separated words of a whole text, folded."""
+    return F.array_remove(F.split(folded(text), r"\s+"), "")

@@ -204,7 +204,5 @@ def _lookup(table: DataFrame, keys: DataFrame) -> DataFrame:
     tokens = sorted({bytes(r["token"]) for r in few})
     if not tokens:
         return table.where(F.lit(False)).join(keys, "token")
-    in_shard = F.lit(False)
-    for token in tokens:
-        in_shard = in_shard | F.lit(token.hex()).startswith(F.col("shard"))
+    in_shard = F.exists(F.array(*[F.lit(t.hex()) for t in tokens]), lambda t: t.startswith(F.col("shard")))
     return table.where(in_shard & F.col("token").isin(tokens)).join(F.broadcast(keys), "token")

@@ -17,8 +17,12 @@ UID_SEPARATOR = ","
 
 
 def explode_words(df: DataFrame) -> DataFrame:
-    """(uid, word) from (uid, words); words are distinct within a row already."""
-    return df.select("uid", F.explode("words").alias("word"))
+    """(uid, word) from (uid, words), each word of a record once.
+
+    Exploding an expression rather than a column also keeps the optimizer from
+    testing the size of ``words`` first, which would compute them twice.
+    """
+    return df.select("uid", F.explode(F.array_distinct("words")).alias("word"))
 
 
 def word_counts(postings: DataFrame) -> DataFrame:

@@ -16,21 +16,20 @@ from sealdex.functions.terms import IndexSpec
 class PartSpec:
     """One column group and the column-axis values whose holders may open it.
 
-    A column is a field name, or a ``(name, Column)`` pair for a derived value.
+    A column is a field name, or a pair of a name and the SQL expression or
+    ``Column`` it is derived by.
     """
 
     name: str
-    columns: tuple[str | tuple[str, Column], ...]
+    columns: tuple[str | tuple[str, str | Column], ...]
     audience: tuple[str, ...]
 
     def names(self) -> list[str]:
         return [c if isinstance(c, str) else c[0] for c in self.columns]
 
     def json(self) -> Column:
-        values = [
-            F.col(c).cast("string").alias(c) if isinstance(c, str) else c[1].cast("string").alias(c[0])
-            for c in self.columns
-        ]
+        pairs = [(c, F.col(c)) if isinstance(c, str) else c for c in self.columns]
+        values = [(F.expr(v) if isinstance(v, str) else v).cast("string").alias(n) for n, v in pairs]
         return F.to_json(F.struct(*values))
 
     def schema(self) -> T.StructType:

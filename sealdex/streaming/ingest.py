@@ -93,12 +93,13 @@ def ingest_stream(vault: Vault, lines: DataFrame, secrets: Secrets, checkpoint:
         if state.ended:
             return
         ahead, ends = before_end(batch, order)
-        state.ended = not ends.isEmpty()
         report = vault.ingest_lines(
             without_blank(ahead), secrets, strict=strict, batch=first_batch + number, epoch=epoch
         )
         state.batches.append(report.batch)
         state.records += report.records
+        # Last, because whoever watches the state stops the query on it.
+        state.ended = not ends.isEmpty()
 
     writer = lines.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
