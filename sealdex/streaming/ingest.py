@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -47,24 +48,24 @@ FILE_ORDER = LineOrder(("path", "block"))
 TOPIC_ORDER = LineOrder(("offset",), within=("partition",))
 
 
-def before_end(batch: DataFrame, order: LineOrder, end: str = END_LINE) -> tuple[DataFrame, DataFrame]:
-    """(lines ahead of the end line, places of the end lines).
+def before_end(batch: DataFrame, order: LineOrder, end: str = END_LINE) -> tuple[DataFrame, bool]:
+    """Lines ahead of the end line, and whether there is one.
 
-    The cut is an aggregate of one row per group, joined back; no line is sorted.
+    The cut is one aggregated row per ordered group; no line is sorted.
     """
     placed = batch.withColumn(_ROW, F.monotonically_increasing_id())
     placed = placed.withColumn("_place", F.struct(*order.by, _ROW))
     groups = list(order.within)
-    ends = placed.where(F.trim("value") == end)
+    cuts = placed.where(F.trim("value") == end).groupBy(*groups).agg(F.min("_place").alias("_end"))
+    cuts = cuts.where(F.col("_end").isNotNull())
+    if cuts.isEmpty():
+        return batch.select("value"), False
     if groups:
-        cut = ends.groupBy(*groups).agg(F.min("_place").alias("_end"))
-        kept = placed.join(cut, groups, "left")
-        ahead = F.col("_end").isNull() | (F.col("_place") < F.col("_end"))
+        placed = placed.join(cuts, groups, "left")
     else:
-        cut = ends.agg(F.min("_place").alias("_end")).where(F.col("_end").isNotNull())
-        kept = placed.withColumn("_end", cut.select("_end").scalar())
-        ahead = F.col("_end").isNull() | (F.col("_place") < F.col("_end"))
-    return kept.where(ahead).select("value"), cut
+        placed = placed.withColumn("_end", cuts.select("_end").scalar())
+    ahead = F.col("_end").isNull() | (F.col("_place") < F.col("_end"))
+    return placed.where(ahead).select("value"), True
 
 
 @dataclass
@@ -92,14 +93,19 @@ def ingest_stream(vault: Vault, lines: DataFrame, secrets: Secrets, checkpoint:
     def one_batch(batch: DataFrame, number: int) -> None:
         if state.ended:
             return
-        ahead, ends = before_end(batch, order)
-        report = vault.ingest_lines(
-            without_blank(ahead), secrets, strict=strict, batch=first_batch + number, epoch=epoch
-        )
+        # Read the source once; looking for the end line and sealing share it.
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            ahead, ended = before_end(batch, order)
+            report = vault.ingest_lines(
+                without_blank(ahead), secrets, strict=strict, batch=first_batch + number, epoch=epoch
+            )
+        finally:
+            batch.unpersist()
         state.batches.append(report.batch)
         state.records += report.records
         # Last, because whoever watches the state stops the query on it.
-        state.ended = not ends.isEmpty()
+        state.ended = ended
 
     writer = lines.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
