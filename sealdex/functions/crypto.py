@@ -45,21 +45,14 @@ def _xor_block(key: Column, pad: int) -> Column:
 
     Works on four signed 64-bit words, which is what Spark can XOR.
     """
-    word = int.from_bytes(bytes([pad] * 8), "big", signed=True)
-    words = [
-        F.lpad(
-            F.hex(
-                F.conv(F.hex(F.substring(key, 1 + 8 * i, 8)), 16, -10)
-                .cast("bigint")
-                .bitwiseXOR(F.lit(word))
-            ),
-            16,
-            "0",
-        )
-        for i in range(KEY_BYTES // 8)
-    ]
+    mask = F.lit(int.from_bytes(bytes([pad] * 8), "big", signed=True))
+
+    def word(at: int) -> Column:
+        value = F.conv(F.hex(F.substring(key, at, 8)), 16, -10).cast("bigint")
+        return F.lpad(F.hex(value.bitwiseXOR(mask)), 16, "0")
+
     tail = f"{pad:02X}" * (_BLOCK_BYTES - KEY_BYTES)
-    return F.unhex(F.concat(*words, F.lit(tail)))
+    return F.unhex(F.concat(*[word(at) for at in range(1, KEY_BYTES, 8)], F.lit(tail)))
 
 
 def hmac_pads(key: Column) -> Column:

@@ -224,7 +224,9 @@ class SealedIndex:
             ),
             "word-counts",
         )
-        splits = P.split_words(counts, self.block_size, self.split_above)
+        totals = P.word_totals(counts)
+        threshold = totals.split_threshold(self.split_above)
+        splits = P.split_words(counts, threshold, self.block_size) if totals.most > threshold else None
         stored = current_revisions(self.store.entries(before=batch))
         proposed = self._proposals(counts, splits, stored if base is None else base)
 
@@ -245,21 +247,22 @@ class SealedIndex:
         self.store.upsert_chain(seal_blocks(blocks, self._secrets, batch), batch)
         self.store.append_entries(seal_entries(proposed, self._secrets, batch), batch)
 
-        totals = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("postings")).first()
         conflicts = 0
         if lost is not None:
             conflicts = lost.count()
             again = retry.select("uid", F.array("word").alias("words"))
             self.upsert(again, batch + 1)
-        return UpsertReport(batch, totals["words"], totals["postings"] or 0, conflicts)
+        return UpsertReport(batch, totals.words, totals.postings, conflicts)
 
-    def _proposals(self, counts: DataFrame, splits: DataFrame, stored: DataFrame) -> DataFrame:
+    def _proposals(self, counts: DataFrame, splits: DataFrame | None, stored: DataFrame) -> DataFrame:
         """Next revision and block count of each word in the batch."""
-        sized = counts.join(F.broadcast(splits), "word_hash", "left")
-        blocks = F.coalesce("split_blocks", P.block_count(F.col("n"), self.block_size))
+        sized = counts.withColumn("blocks", P.block_count(F.col("n"), self.block_size))
+        if splits is not None:
+            sized = sized.join(F.broadcast(splits), "word_hash", "left")
+            sized = sized.withColumn("blocks", F.coalesce("split_blocks", "blocks"))
         revision = F.coalesce(F.col("stored") + 1, F.lit(0)).cast("int")
         return sized.join(stored, "token", "left").select(
-            "token", revision.alias("revision"), blocks.alias("blocks"), "n"
+            "token", revision.alias("revision"), "blocks", "n"
         )
 
     def _words_of(self, postings: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,31 +40,47 @@ def block_count(n: Column, block_size: int) -> Column:
     return F.ceil(n / F.lit(block_size)).cast("bigint")
 
 
-def split_words(counts: DataFrame, block_size: int, split_above: int = SPLIT_ABOVE,
-                max_split_words: int = MAX_SPLIT_WORDS) -> DataFrame:
+@dataclass(frozen=True)
+class WordTotals:
+    words: int
+    postings: int
+    most: int
+
+    def split_threshold(self, split_above: int = SPLIT_ABOVE, max_split_words: int = MAX_SPLIT_WORDS) -> int:
+        return max(split_above, -(-self.postings // max_split_words))
+
+
+def word_totals(counts: DataFrame) -> WordTotals:
+    row = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    return WordTotals(row["words"], row["n"] or 0, row["most"] or 0)
+
+
+def split_words(counts: DataFrame, threshold: int, block_size: int) -> DataFrame:
     """(word_hash, split_blocks) of the words frequent enough to be split.
 
     ``counts`` is a staged table with ``word_hash`` and ``n``. Words that share a
     hash share a row here; both sides of the index read the block count from it,
     so a collision costs a few short blocks and no posting.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    threshold = max(split_above, -(-total // max_split_words))
     frequent = counts.where(F.col("n") > threshold)
     return frequent.groupBy("word_hash").agg(F.max(block_count(F.col("n"), block_size)).alias("split_blocks"))
 
 
-def block_postings(postings: DataFrame, splits: DataFrame, block_size: int) -> DataFrame:
+def block_postings(postings: DataFrame, splits: DataFrame | None, block_size: int) -> DataFrame:
     """(word, block, uids): every word's postings in blocks of about ``block_size``.
 
     A frequent word's block is a hash of the record id, chosen before the
     shuffle, so the word spreads over as many groups as it has blocks. Any other
     word forms one group, cut into consecutive runs. Both kinds need one shuffle
-    of the postings, and no group outgrows the split threshold.
+    of the postings, and no group outgrows the split threshold. ``splits`` is
+    None where no word is that frequent.
     """
-    spread = postings.withColumn("word_hash", word_hash(F.col("word"))).join(
-        F.broadcast(splits), "word_hash", "left"
-    )
+    if splits is None:
+        spread = postings.withColumn("split_blocks", F.lit(None).cast("bigint"))
+    else:
+        spread = postings.withColumn("word_hash", word_hash(F.col("word"))).join(
+            F.broadcast(splits), "word_hash", "left"
+        )
     is_split = F.col("split_blocks").isNotNull()
     part = F.when(is_split, F.pmod(F.xxhash64("uid"), F.col("split_blocks"))).otherwise(F.lit(0))
     spread = spread.select("uid", "word", is_split.alias("is_split"), part.alias("part"))

@@ -1,8 +1,8 @@
 """Sealed records and their wrapped keys as Parquet tables.
 
 ``records/batch=<b>/class_token=<t>`` holds one column per part, so a reader
-opens only the classes and parts a keyring allows. ``headers/batch=<b>`` holds
-the wrapped class keys and is written first: no record precedes its keys.
+opens only the classes and parts a keyring allows. ``headers/epoch=<e>`` holds
+the wrapped class keys of a key epoch and is written before its first records.
 """
 
 from __future__ import annotations
@@ -32,17 +32,19 @@ class RecordStore:
         self.part_names = list(part_names)
         self.tolerant = tolerant
 
-    def _folder(self, table: str, batch: int | None = None) -> str:
-        return f"{self.root}/{table}" + ("" if batch is None else f"/batch={batch}")
+    def _records(self, batch: int | None = None) -> str:
+        return f"{self.root}/records" + ("" if batch is None else f"/batch={batch}")
 
-    def batches(self, table: str = "records") -> list[int]:
-        names = [n for n in list_folders(self.spark, self._folder(table)) if n.startswith("batch=")]
-        numbers = sorted(int(n.split("=")[1]) for n in names)
-        return [b for b in numbers if is_published(self.spark, self._folder(table, b))]
+    def _started(self) -> list[int]:
+        names = [n for n in list_folders(self.spark, self._records()) if n.startswith("batch=")]
+        return sorted(int(n.split("=")[1]) for n in names)
+
+    def batches(self) -> list[int]:
+        """Committed batches."""
+        return [b for b in self._started() if is_published(self.spark, self._records(b))]
 
     def next_batch(self) -> int:
-        names = [n for n in list_folders(self.spark, self._folder("records")) if n.startswith("batch=")]
-        return max((int(n.split("=")[1]) for n in names), default=0) + 1
+        return max(self._started(), default=0) + 1
 
     def schema(self) -> T.StructType:
         sealed = [T.StructField(n, T.BinaryType()) for n in [*self.part_names, TERMS]]
@@ -56,8 +58,11 @@ class RecordStore:
             ]
         )
 
-    def append_headers(self, headers: DataFrame, batch: int) -> None:
-        headers.coalesce(1).write.mode("overwrite").parquet(self._folder("headers", batch))
+    def has_headers(self, epoch: str) -> bool:
+        return is_published(self.spark, f"{self.root}/headers/epoch={epoch}")
+
+    def append_headers(self, headers: DataFrame, epoch: str) -> None:
+        headers.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/headers/epoch={epoch}")
 
     def append(self, sealed: DataFrame, batch: int, max_rows_per_file: int = 0) -> None:
         """Write one batch; writing the same batch again replaces it.
@@ -69,28 +74,27 @@ class RecordStore:
             sealed.write.mode("overwrite")
             .option("maxRecordsPerFile", max_rows_per_file)
             .partitionBy("class_token")
-            .parquet(self._folder("records", batch))
+            .parquet(self._records(batch))
         )
 
-    def _read(self, table: str, schema: T.StructType, batches: list[int]) -> DataFrame:
-        if not batches:
-            return self.spark.createDataFrame([], schema).where(F.lit(False))
-        reader = self.spark.read.schema(schema).option("basePath", self._folder(table))
-        if self.tolerant:
-            reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        return reader.parquet(*[self._folder(table, b) for b in batches])
-
     def read(self, batches: list[int] | None = None) -> DataFrame:
         """All committed sealed records, or those of some batches."""
         committed = self.batches()
         wanted = committed if batches is None else [b for b in batches if b in committed]
-        return self._read("records", self.schema(), wanted)
-
-    def headers(self, batches: list[int] | None = None) -> DataFrame:
-        committed = self.batches("headers")
-        wanted = committed if batches is None else [b for b in batches if b in committed]
-        schema = T.StructType([*HEADER_SCHEMA.fields, T.StructField("batch", T.LongType())])
-        return self._read("headers", schema, wanted).select(HEADER_SCHEMA.fieldNames()).distinct()
+        if not wanted:
+            return self.spark.createDataFrame([], self.schema()).where(F.lit(False))
+        reader = self.spark.read.schema(self.schema()).option("basePath", self._records())
+        if self.tolerant:
+            reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        return reader.parquet(*[self._records(b) for b in wanted])
+
+    def headers(self) -> DataFrame:
+        """Wrapped class keys of every epoch."""
+        root = f"{self.root}/headers"
+        epochs = [n for n in list_folders(self.spark, root) if is_published(self.spark, f"{root}/{n}")]
+        if not epochs:
+            return self.spark.createDataFrame([], HEADER_SCHEMA).where(F.lit(False))
+        return self.spark.read.schema(HEADER_SCHEMA).parquet(*[f"{root}/{n}" for n in epochs])
 
     def read_selected(self, hits: DataFrame) -> DataFrame:
         """Sealed records named by (file, pos) hits.

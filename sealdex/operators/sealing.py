@@ -63,9 +63,11 @@ def _terms_key(writer: SecretRow) -> Column:
     return writer.hmac("terms", utf8(F.col("class_token")))
 
 
-def open_terms(records: DataFrame, headers: DataFrame, writer: SecretRow) -> DataFrame:
-    """(uid, words) of sealed records; a damaged word list fails the job."""
-    tokens = headers.select("class_token").distinct()
+def open_terms(records: DataFrame, tokens: DataFrame, writer: SecretRow) -> DataFrame:
+    """(uid, words) of sealed records of the given classes (one row per token).
+
+    A damaged word list fails the job.
+    """
     keys = tokens.select("class_token", _terms_key(writer).alias(key_column(TERMS)))
     uid = uid_bytes(F.col("file"), F.col("pos"))
     body = crypto.open_or_fail(F.col(TERMS), F.col(key_column(TERMS)), _binding(uid, TERMS))

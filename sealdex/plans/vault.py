@@ -94,16 +94,17 @@ class Vault:
         rows = 0
         if max_file_mb is not None:
             rows = rows_per_file(records, sealing.planned_size(self.spec), max_file_mb << 20)
-        with self.clock.stage("headers"):
-            headers = seal_headers(self.spark, self.spec, secrets.master, epoch)
-            self.records.append_headers(headers, batch)
+        if not self.records.has_headers(epoch):
+            with self.clock.stage("headers"):
+                headers = seal_headers(self.spark, self.spec, secrets.master, epoch)
+                self.records.append_headers(headers, epoch)
         classes = seal_classes(self.spark, self.spec, secrets.master, epoch)
         numbered, seen = counted(assign_uids(records, batch))
         sealed = sealing.seal_records(numbered, self.spec, classes, writer)
         with self.clock.stage("records"):
             self.records.append(sealed, batch, rows)
         with self.clock.stage("index"):
-            report = self._index([batch], secrets, batch)
+            report = self._index([batch], classes, secrets, batch)
         return IngestReport(batch, seen.get["rows"], report)
 
     def ingest_lines(self, lines: DataFrame, secrets: Secrets, strict: bool = False, **options) -> IngestReport:
@@ -112,13 +113,13 @@ class Vault:
     def reindex(self, secrets: Secrets) -> UpsertReport:
         """Empty the index and build it again from the sealed records alone."""
         self.index_store.truncate()
-        return self._index(self.records.batches(), secrets, None)
+        return self._index(None, self.records.headers(), secrets, None)
 
-    def _index(self, batches: list[int], secrets: Secrets, batch: int | None) -> UpsertReport:
+    def _index(self, batches: list[int] | None, classes: DataFrame, secrets: Secrets,
+               batch: int | None) -> UpsertReport:
         writer = secrets.writer()
-        rows = sealing.open_terms(
-            self.records.read(batches), self.records.headers(batches), writer.secrets(self.spark)
-        )
+        tokens = classes.select("class_token").distinct()
+        rows = sealing.open_terms(self.records.read(batches), tokens, writer.secrets(self.spark))
         return SealedIndex(self.index_store, writer).upsert(rows, batch)
 
     # --- reading ---

@@ -110,7 +110,7 @@ def test_no_block_outgrows_its_bound(spark):
     docs = _random_docs(6_000, 4)
     postings = P.explode_words(rows_of(spark, docs))
     counts = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("word_hash", P.word_hash(F.col("word")))
-    splits = P.split_words(counts, 64, split_above=500)
+    splits = P.split_words(counts, 500, 64)
     assert 0 < splits.count() < counts.count()
     sizes = P.block_postings(postings, splits, 64).select("word", F.size("uids").alias("n")).collect()
     assert max(r.n for r in sizes) < 64 * 2
@@ -119,9 +119,11 @@ def test_no_block_outgrows_its_bound(spark):
 
 def test_split_table_is_bounded(spark):
     counts = spark.range(2000).select(F.col("id").alias("word_hash"), (F.col("id") + 1).alias("n"))
-    total = 2000 * 2001 // 2
-    splits = P.split_words(counts, 64, split_above=1, max_split_words=100)
-    assert splits.count() == sum(1 for n in range(1, 2001) if n > -(-total // 100)) <= 100
+    totals = P.word_totals(counts)
+    assert (totals.words, totals.postings, totals.most) == (2000, 2000 * 2001 // 2, 2000)
+    threshold = totals.split_threshold(split_above=1, max_split_words=1500)
+    splits = P.split_words(counts, threshold, 64)
+    assert 0 < splits.count() == sum(1 for n in range(1, 2001) if n > threshold) <= 1500
 
 
 def test_batches_equal_one_shot(spark):
