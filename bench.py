@@ -58,7 +58,7 @@ class Bench:
 
         people = Vault(spark, scratch_path(spark, "bench-people"), tb.DIRECTORY)
         path = scratch_path(spark, "bench-lines")
-        record_lines(tb.directory(spark, sf), tb.DIRECTORY).write.text(path)
+        record_lines(tb.on_all_cores(tb.directory(spark, sf)), tb.DIRECTORY).write.text(path)
         rows = tb.directory(spark, sf).count()
         self.timed("ingest_directory_lines", lambda: people.ingest_lines(read_lines(spark, path), DEMO), rows)
 

@@ -20,7 +20,7 @@ from sealdex.functions.terms import fold_query
 from sealdex.operators import postings as P
 from sealdex.operators.bounds import rows_if_few
 from sealdex.operators.index_store import IndexStore, current_revisions
-from sealdex.session import staged
+from sealdex.session import staging
 
 # Entries of one query the driver may hold (words of the query times batches).
 FEW_ENTRIES = 10_000
@@ -215,8 +215,11 @@ class SealedIndex:
         The tables take one writer at a time.
         """
         batch = self.store.next_batch() if batch is None else batch
-        postings = P.explode_words(rows)
-        counts = staged(
+        with staging(self.spark, "upsert") as stage:
+            return self._upsert(P.explode_words(rows), batch, base, stage)
+
+    def _upsert(self, postings: DataFrame, batch: int, base: DataFrame | None, stage) -> UpsertReport:
+        counts = stage(
             P.word_counts(postings).select(
                 word_token(self._secrets, F.col("word")).alias("token"),
                 P.word_hash(F.col("word")).alias("word_hash"),
@@ -227,18 +230,13 @@ class SealedIndex:
         totals = P.word_totals(counts)
         threshold = totals.split_threshold(self.split_above)
         splits = P.split_words(counts, threshold, self.block_size) if totals.most > threshold else None
-        stored = current_revisions(self.store.entries(before=batch))
+        # Only the entries of this batch's words are looked at, however many there are.
+        stored = current_revisions(self.store.get_entries(counts.select("token"), before=batch))
         proposed = self._proposals(counts, splits, stored if base is None else base)
 
-        lost = None
-        if base is not None:
-            flagged = proposed.join(stored.withColumnRenamed("stored", "present"), "token", "left")
-            stale = ~F.col("present").eqNullSafe(F.when(F.col("revision") > 0, F.col("revision") - 1))
-            lost = staged(flagged.where(stale).select("token"), "stale-words")
-            if lost.isEmpty():
-                lost = None
+        lost = None if base is None else self._stale(proposed, stored, stage)
         if lost is not None:
-            refused = self._words_of(postings, lost)
+            refused = self._words_of(postings, lost, stage)
             retry = postings.join(refused, "word", "left_semi")
             postings = postings.join(refused, "word", "left_anti")
             proposed = proposed.join(lost, "token", "left_anti")
@@ -250,10 +248,16 @@ class SealedIndex:
         conflicts = 0
         if lost is not None:
             conflicts = lost.count()
-            again = retry.select("uid", F.array("word").alias("words"))
-            self.upsert(again, batch + 1)
+            self.upsert(retry.select("uid", F.array("word").alias("words")), batch + 1)
         return UpsertReport(batch, totals.words, totals.postings, conflicts)
 
+    def _stale(self, proposed: DataFrame, stored: DataFrame, stage) -> DataFrame | None:
+        """Tokens whose proposed revision no longer follows the stored one."""
+        flagged = proposed.join(stored.withColumnRenamed("stored", "present"), "token", "left")
+        follows = F.when(F.col("revision") > 0, F.col("revision") - 1)
+        lost = stage(flagged.where(~F.col("present").eqNullSafe(follows)).select("token"), "stale-words")
+        return None if lost.isEmpty() else lost
+
     def _proposals(self, counts: DataFrame, splits: DataFrame | None, stored: DataFrame) -> DataFrame:
         """Next revision and block count of each word in the batch."""
         sized = counts.withColumn("blocks", P.block_count(F.col("n"), self.block_size))
@@ -265,10 +269,10 @@ class SealedIndex:
             "token", revision.alias("revision"), "blocks", "n"
         )
 
-    def _words_of(self, postings: DataFrame, tokens: DataFrame) -> DataFrame:
+    def _words_of(self, postings: DataFrame, tokens: DataFrame, stage) -> DataFrame:
         words = postings.select("word").distinct()
         named = words.withColumn("token", word_token(self._secrets, F.col("word")))
-        return staged(named.join(tokens, "token", "left_semi").select("word"), "refused-words")
+        return stage(named.join(tokens, "token", "left_semi").select("word"), "refused-words")
 
     # --- looking up ---
 

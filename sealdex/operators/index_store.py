@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealdex.operators.bounds import rows_if_few
-from sealdex.session import is_published, list_folders
+from sealdex.session import published_folders, started_folders
 
 ENTRY_SCHEMA = T.StructType(
     [
@@ -50,7 +50,7 @@ class IndexStore(Protocol):
 
     def entries(self, before: int | None = None) -> DataFrame: ...
 
-    def get_entries(self, keys: DataFrame) -> DataFrame: ...
+    def get_entries(self, keys: DataFrame, before: int | None = None) -> DataFrame: ...
 
     def get_chain(self, keys: DataFrame) -> DataFrame: ...
 
@@ -91,11 +91,11 @@ class ParquetIndexStore:
 
     def _generation(self) -> int | None:
         published = [
-            name
-            for name in list_folders(self.spark, self.root)
-            if name.startswith("gen=") and is_published(self.spark, f"{self.root}/{name}/entry/batch=0")
+            int(g)
+            for g in started_folders(self.spark, self.root, "gen")
+            if "0" in published_folders(self.spark, f"{self.root}/gen={g}/entry", "batch")
         ]
-        return max((int(name.split("=")[1]) for name in published), default=None)
+        return max(published, default=None)
 
     def _folder(self, table: str) -> str:
         generation = self._generation()
@@ -103,19 +103,10 @@ class ParquetIndexStore:
             raise ValueError(f"no index at {self.root}; call create() first")
         return f"{self.root}/gen={generation}/{table}"
 
-    def _batches(self, folder: str) -> list[int]:
-        names = [n for n in list_folders(self.spark, folder) if n.startswith("batch=")]
-        return sorted(int(n.split("=")[1]) for n in names)
-
     def _read(self, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
         folder = self._folder(table)
-        visible = [
-            f"{folder}/batch={b}"
-            for b in self._batches(folder)
-            if b > 0
-            and (before is None or b < before)
-            and is_published(self.spark, f"{folder}/batch={b}")
-        ]
+        batches = sorted(int(b) for b in published_folders(self.spark, folder, "batch"))
+        visible = [f"{folder}/batch={b}" for b in batches if 0 < b < (before or b + 1)]
         full = T.StructType(schema.fields + _PLACEMENT)
         if not visible:
             # A false filter lets the optimizer drop joins with the empty table.
@@ -148,8 +139,8 @@ class ParquetIndexStore:
         self._start(0 if generation is None else generation + 1)
 
     def next_batch(self) -> int:
-        tables = ("entry", "chain")
-        return max((b for t in tables for b in self._batches(self._folder(t))), default=0) + 1
+        tables = [self._folder(t) for t in ("entry", "chain")]
+        return max((int(b) for t in tables for b in started_folders(self.spark, t, "batch")), default=0) + 1
 
     # --- reads ---
 
@@ -159,8 +150,8 @@ class ParquetIndexStore:
     def chain(self) -> DataFrame:
         return self._read("chain", CHAIN_SCHEMA)
 
-    def get_entries(self, keys: DataFrame) -> DataFrame:
-        return _lookup(self.entries(), keys)
+    def get_entries(self, keys: DataFrame, before: int | None = None) -> DataFrame:
+        return _lookup(self.entries(before), keys)
 
     def get_chain(self, keys: DataFrame) -> DataFrame:
         return _lookup(self.chain(), keys)
@@ -179,7 +170,8 @@ class ParquetIndexStore:
         The comparison is pinned to the batches before this one, so reading the
         result later does not see this batch's own rows.
         """
-        flagged = flag_applicable(rows, current_revisions(self.entries(before=batch)))
+        stored = current_revisions(self.get_entries(rows.select("token"), before=batch))
+        flagged = flag_applicable(rows, stored)
         self.append_entries(flagged.where("applied"), batch)
         return flagged.select("token", "revision", "applied")
 

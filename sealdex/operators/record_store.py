@@ -15,7 +15,7 @@ from sealdex.functions.uid import batch_of, partition_of
 from sealdex.operators.bounds import rows_if_few
 from sealdex.operators.keyring import HEADER_SCHEMA
 from sealdex.operators.sealing import TERMS
-from sealdex.session import is_published, list_folders
+from sealdex.session import published_folders, started_folders
 
 # Up to this many hit files a fetch names them to the scan; beyond, it joins.
 FEW_FILES = 1_000
@@ -35,16 +35,13 @@ class RecordStore:
     def _records(self, batch: int | None = None) -> str:
         return f"{self.root}/records" + ("" if batch is None else f"/batch={batch}")
 
-    def _started(self) -> list[int]:
-        names = [n for n in list_folders(self.spark, self._records()) if n.startswith("batch=")]
-        return sorted(int(n.split("=")[1]) for n in names)
-
     def batches(self) -> list[int]:
         """Committed batches."""
-        return [b for b in self._started() if is_published(self.spark, self._records(b))]
+        return sorted(int(b) for b in published_folders(self.spark, self._records(), "batch"))
 
     def next_batch(self) -> int:
-        return max(self._started(), default=0) + 1
+        started = started_folders(self.spark, self._records(), "batch")
+        return max((int(b) for b in started), default=0) + 1
 
     def schema(self) -> T.StructType:
         sealed = [T.StructField(n, T.BinaryType()) for n in [*self.part_names, TERMS]]
@@ -59,7 +56,7 @@ class RecordStore:
         )
 
     def has_headers(self, epoch: str) -> bool:
-        return is_published(self.spark, f"{self.root}/headers/epoch={epoch}")
+        return epoch in published_folders(self.spark, f"{self.root}/headers", "epoch")
 
     def append_headers(self, headers: DataFrame, epoch: str) -> None:
         headers.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/headers/epoch={epoch}")
@@ -91,10 +88,10 @@ class RecordStore:
     def headers(self) -> DataFrame:
         """Wrapped class keys of every epoch."""
         root = f"{self.root}/headers"
-        epochs = [n for n in list_folders(self.spark, root) if is_published(self.spark, f"{root}/{n}")]
+        epochs = published_folders(self.spark, root, "epoch")
         if not epochs:
             return self.spark.createDataFrame([], HEADER_SCHEMA).where(F.lit(False))
-        return self.spark.read.schema(HEADER_SCHEMA).parquet(*[f"{root}/{n}" for n in epochs])
+        return self.spark.read.schema(HEADER_SCHEMA).parquet(*[f"{root}/epoch={e}" for e in epochs])
 
     def read_selected(self, hits: DataFrame) -> DataFrame:
         """Sealed records named by (file, pos) hits.

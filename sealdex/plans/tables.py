@@ -108,9 +108,10 @@ def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = on_all_cores(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     people = directory(spark, sf_dir).select("custkey", "region")
-    return orders.join(people, F.col("o_custkey") == F.col("custkey")).select(
+    joined = on_all_cores(orders.join(people, F.col("o_custkey") == F.col("custkey")))
+    return joined.select(
         F.col("o_orderkey").cast("string").alias("orderkey"),
         F.col("custkey").cast("string").alias("custkey"),
         "region",

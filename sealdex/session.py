@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,25 +58,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage with files every executor can read again, so a lost
     executor costs a re-read rather than a recomputation.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
+    return _write_table(df, scratch_path(df.sparkSession, name))
+
+
+@contextmanager
+def staging(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Like :func:`staged`, for tables of one job that go away when it is done."""
+    root = scratch_path(spark, name)
+    yield lambda df, table: _write_table(df, f"{root}/{table}")
+    path, fs = _resolve(spark, root)
+    fs.delete(path, True)
+
+
+def _write_table(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def list_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders directly under ``path`` on any Hadoop file system."""
-    hadoop_path, fs = _resolve(spark, path)
-    if not fs.exists(hadoop_path):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isDirectory())
+def published_folders(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of the ``<key>=<value>`` folders of ``path`` whose write was committed."""
+    pattern, fs = _resolve(spark, f"{path}/{key}=*/_SUCCESS")
+    found = fs.globStatus(pattern) or []
+    return sorted(s.getPath().getParent().getName().split("=", 1)[1] for s in found)
 
 
-def is_published(spark: SparkSession, path: str) -> bool:
-    """True once the write of ``path`` was committed as a whole."""
-    hadoop_path, fs = _resolve(spark, f"{path}/_SUCCESS")
-    return bool(fs.exists(hadoop_path))
+def started_folders(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of all such folders, unfinished ones included."""
+    pattern, fs = _resolve(spark, f"{path}/{key}=*")
+    return sorted(s.getPath().getName().split("=", 1)[1] for s in fs.globStatus(pattern) or [])
 
 
 def _resolve(spark: SparkSession, path: str):

@@ -12,21 +12,23 @@ _BAD = "_malformed"
 
 
 def _parsed(lines: DataFrame, spec: RecordSpec) -> DataFrame:
+    """Parse each line once: a filter cannot move below the generator and parse
+    the line a second time, as it would with a plain projection."""
     schema = T.StructType([*spec.schema().fields, T.StructField(_BAD, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    return lines.select("value", F.from_json("value", schema, options).alias("r"))
+    return lines.select("value", F.inline(F.array(F.from_json("value", schema, options))))
 
 
 def _fault(spec: RecordSpec) -> Column:
     """Why a parsed line is not a record; NULL for a good one."""
     missing = [
-        F.when(F.col(f"r.{name}").isNull(), F.lit(f"missing {name}")) for name in spec.fields
+        F.when(F.col(name).isNull(), F.lit(f"missing {name}")) for name in spec.fields
     ]
-    row = F.col(f"r.{spec.row_field}")
+    row = F.col(spec.row_field)
     unknown = F.when(
         ~spec.policy.rows.holds(row), F.concat(F.lit(f"unknown {spec.policy.rows.name} "), row)
     )
-    malformed = F.when(F.col(f"r.{_BAD}").isNotNull(), F.lit("malformed"))
+    malformed = F.when(F.col(_BAD).isNotNull(), F.lit("malformed"))
     return F.coalesce(malformed, *missing, unknown)
 
 
@@ -41,7 +43,7 @@ def parse_records(lines: DataFrame, spec: RecordSpec, strict: bool = False) -> D
         judged = judged.where(good)
     else:
         judged = judged.where(F.col("fault").isNull())
-    return judged.select(*[F.col(f"r.{name}").alias(name) for name in spec.fields])
+    return judged.select(*spec.fields)
 
 
 def rejected_lines(lines: DataFrame, spec: RecordSpec) -> DataFrame:

@@ -263,8 +263,8 @@ class FramesStore:
             out = out.unionByName(f)
         return out
 
-    def get_entries(self, keys):
-        return _lookup(self.entries().withColumn("shard", F.lit("")), keys).drop("shard")
+    def get_entries(self, keys, before=None):
+        return _lookup(self.entries(before).withColumn("shard", F.lit("")), keys).drop("shard")
 
     def get_chain(self, keys):
         out = self._chain[0]
@@ -273,7 +273,7 @@ class FramesStore:
         return out.join(keys, "token")
 
     def upsert_entries(self, rows, batch):
-        flagged = flag_applicable(rows, current_revisions(self.entries(before=batch)))
+        flagged = flag_applicable(rows, current_revisions(self.get_entries(rows.select("token"), batch)))
         self.append_entries(flagged.where("applied"), batch)
         return flagged.select("token", "revision", "applied")
 
