@@ -52,6 +52,10 @@ class RecordSpec:
                 self.policy.columns.attribute(value)
         if self.row_field not in self.fields:
             raise ValueError(f"{self.row_field!r} is not a field")
+        taken = {"file", "pos", "class_token", "batch", "terms"} | {f"key_{p.name}" for p in self.parts}
+        clash = taken & {*self.fields, *self.part_names()}
+        if clash:
+            raise ValueError(f"names used by the record table itself: {sorted(clash)}")
 
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(n, T.StringType()) for n in self.fields])

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from sealdex.operators.specs import RecordSpec
 
-_BAD = "_malformed"
+# Helper columns, named apart from any field.
+_BAD, _LINE, _FAULT = "_malformed", "_line", "_fault"
 
 
 def _parsed(lines: DataFrame, spec: RecordSpec) -> DataFrame:
@@ -16,7 +17,7 @@ def _parsed(lines: DataFrame, spec: RecordSpec) -> DataFrame:
     the line a second time, as it would with a plain projection."""
     schema = T.StructType([*spec.schema().fields, T.StructField(_BAD, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    return lines.select("value", F.inline(F.array(F.from_json("value", schema, options))))
+    return lines.select(F.col("value").alias(_LINE), F.inline(F.array(F.from_json("value", schema, options))))
 
 
 def _fault(spec: RecordSpec) -> Column:
@@ -35,21 +36,21 @@ def _fault(spec: RecordSpec) -> Column:
 def parse_records(lines: DataFrame, spec: RecordSpec, strict: bool = False) -> DataFrame:
     """Records of the good lines. ``strict`` fails the job on a bad line instead
     of leaving it to :func:`rejected_lines`."""
-    judged = _parsed(lines, spec).withColumn("fault", _fault(spec))
+    judged = _parsed(lines, spec).withColumn(_FAULT, _fault(spec))
     if strict:
-        good = F.when(F.col("fault").isNull(), F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("bad record: "), "fault")).cast("boolean")
+        good = F.when(F.col(_FAULT).isNull(), F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("bad record: "), _FAULT)).cast("boolean")
         )
         judged = judged.where(good)
     else:
-        judged = judged.where(F.col("fault").isNull())
+        judged = judged.where(F.col(_FAULT).isNull())
     return judged.select(*spec.fields)
 
 
 def rejected_lines(lines: DataFrame, spec: RecordSpec) -> DataFrame:
     """(value, fault) of the lines :func:`parse_records` leaves out."""
-    judged = _parsed(lines, spec).withColumn("fault", _fault(spec))
-    return judged.where(F.col("fault").isNotNull()).select("value", "fault")
+    judged = _parsed(lines, spec).withColumn(_FAULT, _fault(spec))
+    return judged.where(F.col(_FAULT).isNotNull()).select(F.col(_LINE).alias("value"), F.col(_FAULT).alias("fault"))
 
 
 def record_lines(records: DataFrame, spec: RecordSpec) -> DataFrame:
