@@ -30,6 +30,10 @@ BLOCK_RUN = 16_384
 
 FIELD_BYTES = 32
 
+# About what a record id takes in a block, and what a table row takes besides.
+POSTING_BYTES = 40
+ROW_BYTES = 130
+
 
 @dataclass(frozen=True)
 class ReaderKeys:
@@ -242,8 +246,10 @@ class SealedIndex:
             proposed = proposed.join(lost, "token", "left_anti")
 
         blocks = P.block_postings(postings, splits, self.block_size)
-        self.store.upsert_chain(seal_blocks(blocks, self._secrets, batch), batch)
-        self.store.append_entries(seal_entries(proposed, self._secrets, batch), batch)
+        chain_size = totals.postings * POSTING_BYTES + totals.words * ROW_BYTES
+        self.store.upsert_chain(seal_blocks(blocks, self._secrets, batch), batch, chain_size)
+        entries = seal_entries(proposed, self._secrets, batch)
+        self.store.append_entries(entries, batch, totals.words * ROW_BYTES)
 
         conflicts = 0
         if lost is not None:

@@ -6,8 +6,11 @@ batch being visible once its write is committed. A batch's chain rows are
 written before its entry rows, and nothing refers to a chain row but an entry,
 so readers see a batch whole or not at all. Truncating starts a new generation.
 
-Rows are grouped by a prefix of their token, which is a keyed hash and hence
-uniform: files hold narrow token ranges and a lookup of few tokens opens few.
+Tokens are keyed hashes and hence uniform, so a token's leading bits say where
+its row goes: every file of a batch holds one narrow token range, and files lie
+in folders by token prefix. A lookup of few tokens lists few folders and opens
+few files. Larger batches get more files and longer prefixes; readers compare a
+token with whatever prefix a folder has.
 """
 
 from __future__ import annotations
@@ -36,6 +39,14 @@ _PLACEMENT = [T.StructField("batch", T.LongType()), T.StructField("shard", T.Str
 # Up to this many tokens a lookup names them to the scan; beyond, it joins.
 FEW_TOKENS = 512
 
+# Size a file is aimed at, and the least worth a task of its own.
+FILE_BYTES = 256 << 20
+TASK_BYTES = 2 << 20
+MAX_FILES = 1 << 16
+
+# Folder of a batch too small to be divided.
+_WHOLE = "_"
+
 
 class IndexStore(Protocol):
     """What an index needs from its tables; every argument and result is a DataFrame."""
@@ -56,9 +67,9 @@ class IndexStore(Protocol):
 
     def upsert_entries(self, rows: DataFrame, batch: int) -> DataFrame: ...
 
-    def append_entries(self, rows: DataFrame, batch: int) -> None: ...
+    def append_entries(self, rows: DataFrame, batch: int, size: int | None = None) -> None: ...
 
-    def upsert_chain(self, rows: DataFrame, batch: int) -> None: ...
+    def upsert_chain(self, rows: DataFrame, batch: int, size: int | None = None) -> None: ...
 
     def row_counts(self) -> DataFrame: ...
 
@@ -77,15 +88,26 @@ def flag_applicable(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored, "token", "left").withColumn("applied", applied).drop("stored")
 
 
+def shard_digits(files: int) -> int:
+    """Prefix length that puts up to about 32 files of a batch into one folder."""
+    return next(d for d in range(4) if files <= 32 * 16**d or d == 3)
+
+
 def token_shard(token: Column, digits: int) -> Column:
-    return F.lower(F.substring(F.hex(token), 1, digits))
+    return F.lower(F.substring(F.hex(token), 1, digits)) if digits else F.lit(_WHOLE)
+
+
+def token_slot(token: Column, slots: int) -> Column:
+    """Which of ``slots`` equal ranges of the token space a token lies in."""
+    lead = F.conv(F.hex(F.substring(token, 1, 4)), 16, 10).cast("bigint")
+    return F.shiftright(lead * F.lit(slots).cast("bigint"), 32).cast("int")
 
 
 class ParquetIndexStore:
-    def __init__(self, spark: SparkSession, root: str, shard_digits: int = 1):
+    def __init__(self, spark: SparkSession, root: str, file_bytes: int = FILE_BYTES):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.shard_digits = shard_digits
+        self.file_bytes = file_bytes
 
     # --- layout ---
 
@@ -113,10 +135,18 @@ class ParquetIndexStore:
             return self.spark.createDataFrame([], full).where(F.lit(False))
         return self.spark.read.schema(full).option("basePath", folder).parquet(*visible)
 
-    def _write(self, rows: DataFrame, folder: str, batch: int) -> None:
+    def _files(self, size: int | None) -> int:
+        if size is None:
+            return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        for_size = -(-size // self.file_bytes)
+        for_cores = min(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+        return min(max(for_size, for_cores, 1), MAX_FILES)
+
+    def _write(self, rows: DataFrame, folder: str, batch: int, size: int | None) -> None:
+        files = self._files(size)
         (
-            rows.withColumn("shard", token_shard(F.col("token"), self.shard_digits))
-            .repartition("shard")
+            rows.withColumn("shard", token_shard(F.col("token"), shard_digits(files)))
+            .repartitionById(files, token_slot(F.col("token"), files))
             .sortWithinPartitions("shard", "token")
             .write.mode("overwrite")
             .partitionBy("shard")
@@ -175,12 +205,15 @@ class ParquetIndexStore:
         self.append_entries(flagged.where("applied"), batch)
         return flagged.select("token", "revision", "applied")
 
-    def append_entries(self, rows: DataFrame, batch: int) -> None:
-        """Store rows whose revisions were computed from this store's own state."""
-        self._write(rows.select(ENTRY_SCHEMA.fieldNames()), self._folder("entry"), batch)
+    def append_entries(self, rows: DataFrame, batch: int, size: int | None = None) -> None:
+        """Store rows whose revisions were computed from this store's own state.
+
+        ``size`` is about how many bytes the rows take; it decides on the files.
+        """
+        self._write(rows.select(ENTRY_SCHEMA.fieldNames()), self._folder("entry"), batch, size)
 
-    def upsert_chain(self, rows: DataFrame, batch: int) -> None:
-        self._write(rows.select(CHAIN_SCHEMA.fieldNames()), self._folder("chain"), batch)
+    def upsert_chain(self, rows: DataFrame, batch: int, size: int | None = None) -> None:
+        self._write(rows.select(CHAIN_SCHEMA.fieldNames()), self._folder("chain"), batch, size)
 
 
 def _lookup(table: DataFrame, keys: DataFrame) -> DataFrame:
@@ -196,5 +229,6 @@ def _lookup(table: DataFrame, keys: DataFrame) -> DataFrame:
     tokens = sorted({bytes(r["token"]) for r in few})
     if not tokens:
         return table.where(F.lit(False)).join(keys, "token")
-    in_shard = F.exists(F.array(*[F.lit(t.hex()) for t in tokens]), lambda t: t.startswith(F.col("shard")))
+    named = F.array(*[F.lit(t.hex()) for t in tokens])
+    in_shard = (F.col("shard") == _WHOLE) | F.exists(named, lambda t: t.startswith(F.col("shard")))
     return table.where(in_shard & F.col("token").isin(tokens)).join(F.broadcast(keys), "token")

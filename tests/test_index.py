@@ -10,9 +10,9 @@ from sealdex.operators import postings as P
 from sealdex.operators.boolean import find
 from sealdex.operators.index import BLOCK_RUN, FoundWords, SealedIndex, chain_keys, pack_entry, unpack_entry
 from sealdex.operators.index_store import (
-    CHAIN_SCHEMA, ENTRY_SCHEMA, ParquetIndexStore, _lookup, current_revisions, flag_applicable,
+    CHAIN_SCHEMA, ENTRY_SCHEMA, ParquetIndexStore, _lookup, current_revisions, flag_applicable, shard_digits, token_slot,
 )
-from sealdex.session import scratch_path
+from sealdex.session import scratch_path, staged
 
 
 def new_store(spark, **kw):
@@ -201,16 +201,47 @@ def test_lookup_beyond_the_literal_bound_is_a_join(spark):
     assert got == {f"word{i}": [b"document%d" % i] for i in range(700)}
 
 
-def test_few_tokens_prune_shards(spark):
-    store = new_store(spark, shard_digits=2)
+def _opened_files(df):
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            return [node.metrics().get("numFiles").get().value()]
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        children = node.children()
+        return [n for i in range(children.size()) for n in walk(children.apply(i))]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_few_tokens_open_few_files(spark):
+    """A large batch divides into folders by token prefix; a lookup lists its own."""
+    store = new_store(spark, file_bytes=600)
     docs = {b"document%d" % i: [f"word{i}"] for i in range(300)}
     SealedIndex(store, SECRETS.writer()).upsert(rows_of(spark, docs))
+    prefixes = {r.shard for r in store.entries().select("shard").distinct().collect()}
+    assert len(prefixes) == 16
     token = crypto.mac(SECRETS.reader().token_key(), b"word7")
     keys = crypto.local_frame(spark, [(token,)], {"token": pa.binary()})
-    shards = {r.shard for r in store.get_entries(keys).select("shard").collect()}
-    assert shards == {token.hex()[:2]}
-    plan = store.get_entries(keys)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [exists" in plan or "PartitionFilters: [isnotnull(shard" in plan or "exists(" in plan
+    found = store.get_entries(keys)
+    assert [r.shard for r in found.collect()] == [token.hex()[0]]
+    (files,) = _opened_files(found)
+    assert files < 10 < sum(_opened_files(store.entries()))
+    got = postings_of(SealedIndex(store, SECRETS.reader()).lookup([f"word{i}" for i in range(300)]))
+    assert got == {f"word{i}": [b"document%d" % i] for i in range(300)}
+
+
+def test_token_slots_are_ordered_and_even(spark):
+    tokens = [(i << 16).to_bytes(4, "big") + b"rest" for i in range(1 << 16)]
+    frame = crypto.local_frame(spark, [(t,) for t in tokens], {"token": pa.binary()})
+    slots = [r.s for r in frame.select(token_slot(F.col("token"), 48).alias("s")).collect()]
+    assert slots == sorted(slots) and set(slots) == set(range(48))
+    assert max(slots.count(s) for s in range(48)) - min(slots.count(s) for s in range(48)) <= 1
+    assert [shard_digits(n) for n in (1, 32, 33, 512, 513, 8192, 8193, 1 << 16)] == [0, 0, 1, 1, 2, 2, 3, 3]
 
 
 def test_block_numbers_of_a_very_frequent_word(spark):
@@ -264,7 +295,7 @@ class FramesStore:
         return out
 
     def get_entries(self, keys, before=None):
-        return _lookup(self.entries(before).withColumn("shard", F.lit("")), keys).drop("shard")
+        return _lookup(self.entries(before).withColumn("shard", F.lit("_")), keys).drop("shard")
 
     def get_chain(self, keys):
         out = self._chain[0]
@@ -277,11 +308,11 @@ class FramesStore:
         self.append_entries(flagged.where("applied"), batch)
         return flagged.select("token", "revision", "applied")
 
-    def append_entries(self, rows, batch):
-        self._entries[batch:] = [rows.select(ENTRY_SCHEMA.fieldNames())]
+    def append_entries(self, rows, batch, size=None):
+        self._entries[batch:] = [staged(rows.select(ENTRY_SCHEMA.fieldNames()), "frames")]
 
-    def upsert_chain(self, rows, batch):
-        self._chain[batch:] = [rows.select(CHAIN_SCHEMA.fieldNames())]
+    def upsert_chain(self, rows, batch, size=None):
+        self._chain[batch:] = [staged(rows.select(CHAIN_SCHEMA.fieldNames()), "frames")]
 
     def row_counts(self):
         return self.entries().agg(F.count_distinct("token").alias("entries"))
