@@ -4,7 +4,8 @@
 are append-only Parquet tables under ``<root>/gen=<g>/<table>/batch=<b>``, a
 batch being visible once its write is committed. A batch's chain rows are
 written before its entry rows, and nothing refers to a chain row but an entry,
-so readers see a batch whole or not at all. Truncating starts a new generation.
+so readers see a batch whole or not at all. Truncating or rebuilding starts a new
+generation, which readers follow once it is published.
 
 Tokens are keyed hashes and hence uniform, so a token's leading bits say where
 its row goes: every file of a batch holds one narrow token range, and files lie
@@ -57,6 +58,12 @@ class IndexStore(Protocol):
 
     def truncate(self) -> None: ...
 
+    def begin(self) -> IndexStore:
+        """Empty tables that take the place of the present ones once published."""
+        ...
+
+    def publish(self) -> None: ...
+
     def next_batch(self) -> int: ...
 
     def entries(self, before: int | None = None) -> DataFrame: ...
@@ -104,14 +111,19 @@ def token_slot(token: Column, slots: int) -> Column:
 
 
 class ParquetIndexStore:
-    def __init__(self, spark: SparkSession, root: str, file_bytes: int = FILE_BYTES):
+    def __init__(self, spark: SparkSession, root: str, file_bytes: int = FILE_BYTES,
+                 generation: int | None = None):
+        """Follows the latest published generation unless bound to one."""
         self.spark = spark
         self.root = root.rstrip("/")
         self.file_bytes = file_bytes
+        self.generation = generation
 
     # --- layout ---
 
     def _generation(self) -> int | None:
+        if self.generation is not None:
+            return self.generation
         published = [
             int(g)
             for g in started_folders(self.spark, self.root, "gen")
@@ -155,18 +167,26 @@ class ParquetIndexStore:
 
     # --- life cycle ---
 
-    def _start(self, generation: int) -> None:
-        for table, schema in (("chain", CHAIN_SCHEMA), ("entry", ENTRY_SCHEMA)):
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("overwrite").parquet(f"{self.root}/gen={generation}/{table}/batch=0")
-
     def create(self) -> None:
         if self._generation() is None:
-            self._start(0)
+            self.truncate()
 
     def truncate(self) -> None:
-        generation = self._generation()
-        self._start(0 if generation is None else generation + 1)
+        self.begin().publish()
+
+    def begin(self) -> ParquetIndexStore:
+        started = [int(g) for g in started_folders(self.spark, self.root, "gen")]
+        store = ParquetIndexStore(self.spark, self.root, self.file_bytes, max(started, default=-1) + 1)
+        store._write_marker("chain", CHAIN_SCHEMA)
+        return store
+
+    def publish(self) -> None:
+        """Make a generation begun earlier the one that readers follow."""
+        self._write_marker("entry", ENTRY_SCHEMA)
+
+    def _write_marker(self, table: str, schema: T.StructType) -> None:
+        empty = self.spark.createDataFrame([], schema)
+        empty.write.mode("overwrite").parquet(f"{self._folder(table)}/batch=0")
 
     def next_batch(self) -> int:
         tables = [self._folder(t) for t in ("entry", "chain")]

@@ -104,23 +104,28 @@ class Vault:
         with self.clock.stage("records"):
             self.records.append(sealed, batch, rows)
         with self.clock.stage("index"):
-            report = self._index([batch], classes, secrets, batch)
+            report = self._index(self.index_store, [batch], classes, secrets, batch)
         return IngestReport(batch, seen.get["rows"], report)
 
     def ingest_lines(self, lines: DataFrame, secrets: Secrets, strict: bool = False, **options) -> IngestReport:
         return self.ingest(parse_records(lines, self.spec, strict), secrets, **options)
 
     def reindex(self, secrets: Secrets) -> UpsertReport:
-        """Empty the index and build it again from the sealed records alone."""
-        self.index_store.truncate()
-        return self._index(None, self.records.headers(), secrets, None)
+        """Build the index again from the sealed records alone, as one batch.
 
-    def _index(self, batches: list[int] | None, classes: DataFrame, secrets: Secrets,
+        Searches go on with the old index until the new one is complete.
+        """
+        store = self.index_store.begin()
+        report = self._index(store, None, self.records.headers(), secrets, None)
+        store.publish()
+        return report
+
+    def _index(self, store: IndexStore, batches: list[int] | None, classes: DataFrame, secrets: Secrets,
                batch: int | None) -> UpsertReport:
         writer = secrets.writer()
         tokens = classes.select("class_token").distinct()
         rows = sealing.open_terms(self.records.read(batches), tokens, writer.secrets(self.spark))
-        return SealedIndex(self.index_store, writer).upsert(rows, batch)
+        return SealedIndex(store, writer).upsert(rows, batch)
 
     # --- reading ---
 

@@ -31,19 +31,24 @@ def build_session(app: str = "sealdex", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# Workspaces chosen for applications whose cluster names none, by application.
+_CHOSEN: dict[str, str] = {}
+
+
 def workspace(spark: SparkSession) -> str:
     """Shared folder for staged tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
     as in a local test session, a temporary folder is chosen and remembered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="sealdex-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return f"{configured.rstrip('/')}/sealdex"
+        app = spark.sparkContext.applicationId
+        folder = _CHOSEN.setdefault(app, "") or tempfile.mkdtemp(prefix="sealdex-")
+        _CHOSEN[app] = folder
+    return f"{folder.rstrip('/')}/sealdex"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -271,6 +271,32 @@ def test_damaged_chain_fails_the_lookup(spark):
         reader.lookup(["a"]).collect()
 
 
+def test_new_generation_replaces_the_old_one_when_published(spark):
+    store = new_store(spark)
+    SealedIndex(store, SECRETS.writer()).upsert(rows_of(spark, {b"document-1": ["old"]}))
+    reader = SealedIndex(store, SECRETS.reader())
+    fresh = store.begin()
+    SealedIndex(fresh, SECRETS.writer()).upsert(rows_of(spark, {b"document-2": ["new"]}))
+    assert set(postings_of(reader.lookup(["old", "new"]))) == {"old"}
+    fresh.publish()
+    assert set(postings_of(reader.lookup(["old", "new"]))) == {"new"}
+    abandoned = store.begin()
+    assert set(postings_of(reader.lookup(["old", "new"]))) == {"new"}
+    store.truncate()
+    assert postings_of(reader.lookup(["old", "new"])) == {}
+    assert abandoned.generation == 2 and store._generation() == 3
+
+
+def test_workspace_is_the_folder_the_cluster_names(spark):
+    from sealdex.session import workspace
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert workspace(spark).startswith(named)
+    assert workspace(spark) == workspace(spark)
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
 class FramesStore:
     """A second store: tables as DataFrames, to show what an index needs of one."""
 
