@@ -224,19 +224,17 @@ class SealedIndex:
 
     def _upsert(self, postings: DataFrame, batch: int, base: DataFrame | None, stage) -> UpsertReport:
         counts = stage(
-            P.word_counts(postings).select(
-                word_token(self._secrets, F.col("word")).alias("token"),
-                P.word_hash(F.col("word")).alias("word_hash"),
-                "n",
+            P.with_blocks(P.word_counts(postings), self.block_size).select(
+                word_token(self._secrets, F.col("word")).alias("token"), "word_hash", "n", "blocks"
             ),
             "word-counts",
         )
         totals = P.word_totals(counts)
         threshold = totals.split_threshold(self.split_above)
-        splits = P.split_words(counts, threshold, self.block_size) if totals.most > threshold else None
+        splits = P.split_words(counts, threshold) if totals.most > threshold else None
         # Only the entries of this batch's words are looked at, however many there are.
         stored = current_revisions(self.store.get_entries(counts.select("token"), before=batch))
-        proposed = self._proposals(counts, splits, stored if base is None else base)
+        proposed = self._proposals(counts, stored if base is None else base)
 
         lost = None if base is None else self._stale(proposed, stored, stage)
         if lost is not None:
@@ -245,7 +243,7 @@ class SealedIndex:
             postings = postings.join(refused, "word", "left_anti")
             proposed = proposed.join(lost, "token", "left_anti")
 
-        blocks = P.block_postings(postings, splits, self.block_size)
+        blocks = P.block_postings(postings, counts, splits)
         chain_size = totals.postings * POSTING_BYTES + totals.words * ROW_BYTES
         self.store.upsert_chain(seal_blocks(blocks, self._secrets, batch), batch, chain_size)
         entries = seal_entries(proposed, self._secrets, batch)
@@ -264,16 +262,10 @@ class SealedIndex:
         lost = stage(flagged.where(~F.col("present").eqNullSafe(follows)).select("token"), "stale-words")
         return None if lost.isEmpty() else lost
 
-    def _proposals(self, counts: DataFrame, splits: DataFrame | None, stored: DataFrame) -> DataFrame:
-        """Next revision and block count of each word in the batch."""
-        sized = counts.withColumn("blocks", P.block_count(F.col("n"), self.block_size))
-        if splits is not None:
-            sized = sized.join(F.broadcast(splits), "word_hash", "left")
-            sized = sized.withColumn("blocks", F.coalesce("split_blocks", "blocks"))
+    def _proposals(self, counts: DataFrame, stored: DataFrame) -> DataFrame:
+        """Next revision of each word in the batch."""
         revision = F.coalesce(F.col("stored") + 1, F.lit(0)).cast("int")
-        return sized.join(stored, "token", "left").select(
-            "token", revision.alias("revision"), "blocks", "n"
-        )
+        return counts.join(stored, "token", "left").select("token", revision.alias("revision"), "blocks", "n")
 
     def _words_of(self, postings: DataFrame, tokens: DataFrame, stage) -> DataFrame:
         words = postings.select("word").distinct()

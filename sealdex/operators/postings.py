@@ -32,12 +32,15 @@ def word_counts(postings: DataFrame) -> DataFrame:
     return postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def word_hash(word: Column) -> Column:
-    return F.xxhash64(word)
+def with_blocks(counts: DataFrame, block_size: int) -> DataFrame:
+    """Add ``word_hash`` and ``blocks`` to (word, n).
 
-
-def block_count(n: Column, block_size: int) -> Column:
-    return F.ceil(n / F.lit(block_size)).cast("bigint")
+    Words that share a hash share the larger block count, so that the hash alone
+    tells it; a collision costs a few short blocks and no posting.
+    """
+    needed = F.ceil(F.col("n") / F.lit(block_size)).cast("bigint")
+    hashed = counts.withColumn("word_hash", F.xxhash64("word"))
+    return hashed.withColumn("blocks", F.max(needed).over(Window.partitionBy("word_hash")))
 
 
 @dataclass(frozen=True)
@@ -55,41 +58,36 @@ def word_totals(counts: DataFrame) -> WordTotals:
     return WordTotals(row["words"], row["n"] or 0, row["most"] or 0)
 
 
-def split_words(counts: DataFrame, threshold: int, block_size: int) -> DataFrame:
-    """(word_hash, split_blocks) of the words frequent enough to be split.
-
-    ``counts`` is a staged table with ``word_hash`` and ``n``. Words that share a
-    hash share a row here; both sides of the index read the block count from it,
-    so a collision costs a few short blocks and no posting.
-    """
+def split_words(counts: DataFrame, threshold: int) -> DataFrame:
+    """(word_hash, split_blocks) of the words with more postings than ``threshold``."""
     frequent = counts.where(F.col("n") > threshold)
-    return frequent.groupBy("word_hash").agg(F.max(block_count(F.col("n"), block_size)).alias("split_blocks"))
+    return frequent.groupBy("word_hash").agg(F.max("blocks").alias("split_blocks"))
 
 
-def block_postings(postings: DataFrame, splits: DataFrame | None, block_size: int) -> DataFrame:
-    """(word, block, uids): every word's postings in blocks of about ``block_size``.
+def block_postings(postings: DataFrame, counts: DataFrame, splits: DataFrame | None) -> DataFrame:
+    """(word, block, uids): every word's postings in blocks of about the block size.
 
-    A frequent word's block is a hash of the record id, chosen before the
-    shuffle, so the word spreads over as many groups as it has blocks. Any other
-    word forms one group, cut into consecutive runs. Both kinds need one shuffle
-    of the postings, and no group outgrows the split threshold. ``splits`` is
-    None where no word is that frequent.
+    A record id's hash says which of its word's blocks it is in. The block count
+    comes from the staged ``counts``, joined where the postings are grouped
+    anyway: one shuffle serves both. A frequent word is placed block by block, so
+    it spreads over as many groups as it has blocks; its block count comes with
+    the broadcast ``splits``. No group outgrows the split threshold. ``splits``
+    is None where no word is that frequent.
     """
-    if splits is None:
-        spread = postings.withColumn("split_blocks", F.lit(None).cast("bigint"))
-    else:
-        spread = postings.withColumn("word_hash", word_hash(F.col("word"))).join(
-            F.broadcast(splits), "word_hash", "left"
-        )
-    is_split = F.col("split_blocks").isNotNull()
-    part = F.when(is_split, F.pmod(F.xxhash64("uid"), F.col("split_blocks"))).otherwise(F.lit(0))
-    spread = spread.select("uid", "word", is_split.alias("is_split"), part.alias("part"))
-    in_order = Window.partitionBy("word", "part").orderBy("uid")
-    run = F.floor((F.row_number().over(in_order) - 1) / F.lit(block_size)).cast("bigint")
-    block = F.when(F.col("is_split"), F.col("part")).otherwise(run)
+    hashed = postings.withColumn("place", F.xxhash64("word"))
+    in_word = F.xxhash64("uid")
+    split_blocks = F.lit(None).cast("bigint").alias("split_blocks")
+    if splits is not None:
+        hashed = hashed.join(F.broadcast(splits.withColumnRenamed("word_hash", "place")), "place", "left")
+        apart = F.xxhash64("place", F.pmod(in_word, F.col("split_blocks")))
+        hashed = hashed.withColumn("place", F.when(F.col("split_blocks").isNotNull(), apart).otherwise(F.col("place")))
+        split_blocks = F.col("split_blocks")
+    sizes = counts.groupBy(F.col("word_hash").alias("place")).agg(F.max("blocks").alias("blocks"))
+    sized = hashed.select("uid", "word", "place", split_blocks).join(sizes.hint("merge"), "place", "left")
+    block = F.pmod(in_word, F.coalesce("split_blocks", "blocks"))
     return (
-        spread.select("word", "part", "uid", block.alias("block"))
-        .groupBy("word", "part", "block")
+        sized.select("place", "word", block.alias("block"), "uid")
+        .groupBy("place", "word", "block")
         .agg(F.sort_array(F.collect_list(F.base64("uid"))).alias("uids"))
         .select("word", "block", "uids")
     )

@@ -109,20 +109,53 @@ def test_many_postings_come_back_whole(spark, split_above):
 def test_no_block_outgrows_its_bound(spark):
     docs = _random_docs(6_000, 4)
     postings = P.explode_words(rows_of(spark, docs))
-    counts = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("word_hash", P.word_hash(F.col("word")))
-    splits = P.split_words(counts, 500, 64)
+    counts = staged(P.with_blocks(P.word_counts(postings), 64), "counts")
+    splits = P.split_words(counts, 500)
     assert 0 < splits.count() < counts.count()
-    sizes = P.block_postings(postings, splits, 64).select("word", F.size("uids").alias("n")).collect()
+    sizes = P.block_postings(postings, counts, splits).select("word", F.size("uids").alias("n")).collect()
     assert max(r.n for r in sizes) < 64 * 2
     assert sum(r.n for r in sizes) == counts.agg(F.sum("n")).first()[0]
 
 
+def test_frequent_words_are_placed_block_by_block(spark):
+    """The shuffle key of a split word's postings differs from block to block."""
+    docs = {b"document%06d" % i: ["hot", f"own{i}"] for i in range(5_000)}
+    postings = P.explode_words(rows_of(spark, docs))
+    counts = staged(P.with_blocks(P.word_counts(postings), 64), "counts")
+    whole = P.block_postings(postings, counts, None)
+    split = P.block_postings(postings, counts, P.split_words(counts, 500))
+
+    def largest_task(blocks):
+        per_task = blocks.select(F.spark_partition_id().alias("t"), F.size("uids").alias("n")).groupBy("t")
+        return per_task.agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert largest_task(whole) > 5_000 > 2_500 > largest_task(split)
+        rows = [sorted((r.word, r.block, tuple(r.uids)) for r in b.collect()) for b in (whole, split)]
+        assert rows[0] == rows[1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_colliding_word_hashes_lose_nothing(spark):
+    docs = {b"document%06d" % i: ["many"] + (["few"] if i < 3 else []) for i in range(300)}
+    postings = P.explode_words(rows_of(spark, docs))
+    one = F.lit(7).cast("bigint")
+    counts = P.word_counts(postings).withColumn("word_hash", one)
+    needed = F.ceil(F.col("n") / 64).cast("bigint")
+    counts = staged(counts.withColumn("blocks", F.max(needed).over(P.Window.partitionBy("word_hash"))), "counts")
+    assert {r.blocks for r in counts.collect()} == {5}
+    honest = staged(P.with_blocks(P.word_counts(postings), 64), "counts")
+    assert {r.word: r.blocks for r in honest.collect()} == {"many": 5, "few": 1}
+
+
 def test_split_table_is_bounded(spark):
-    counts = spark.range(2000).select(F.col("id").alias("word_hash"), (F.col("id") + 1).alias("n"))
+    counts = spark.range(2000).select(F.col("id").alias("word"), (F.col("id") + 1).alias("n"))
     totals = P.word_totals(counts)
     assert (totals.words, totals.postings, totals.most) == (2000, 2000 * 2001 // 2, 2000)
     threshold = totals.split_threshold(split_above=1, max_split_words=1500)
-    splits = P.split_words(counts, threshold, 64)
+    splits = P.split_words(P.with_blocks(counts, 64), threshold)
     assert 0 < splits.count() == sum(1 for n in range(1, 2001) if n > threshold) <= 1500
 
 
