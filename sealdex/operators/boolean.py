@@ -51,9 +51,9 @@ def find(index: SealedIndex, words, disjunction: bool = False) -> DataFrame:
         rarest = min(wanted, key=lambda w: (counts[w], w))
         others = [w for w in wanted if w != rarest]
         if counts[rarest] <= FEW_POSTINGS:
-            # The rare word's ids filter the others where they are read, so a
-            # frequent word's postings are neither shuffled nor aggregated.
+            # The rare word's ids pick the blocks of the others, or at least
+            # filter them where they are read: a frequent word is neither
+            # shuffled nor aggregated.
             few = any_word(index.postings(found.only([rarest])))
-            rest = index.postings(found.only(others)).join(F.broadcast(few), "uid", "left_semi")
-            return all_words(rest, others)
+            return all_words(index.postings_of(found.only(others), few), others)
     return all_words(index.postings(found), wanted)

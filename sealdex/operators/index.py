@@ -25,6 +25,10 @@ from sealdex.session import staging
 # Entries of one query the driver may hold (words of the query times batches).
 FEW_ENTRIES = 10_000
 
+# Most word-and-batch places, and most record ids, to pick single blocks by.
+FEW_PLACES = 256
+FEW_UIDS = 10_000
+
 # Longest run of block numbers generated within one row.
 BLOCK_RUN = 16_384
 
@@ -169,9 +173,33 @@ def chain_keys(entries: DataFrame, spread: bool) -> DataFrame:
     if spread:
         runs = runs.repartition("word", "batch", "first")
     final = F.least(F.col("first") + (BLOCK_RUN - 1), last)
-    return runs.select(
-        "word", "word_key", "pads", "batch", F.explode(F.sequence("first", final)).alias("block")
-    ).select("word", "word_key", _chain_token(F.col("pads"), F.col("batch"), F.col("block")).alias("token"))
+    return _placed_keys(
+        runs.select("word", "word_key", "pads", "batch", F.explode(F.sequence("first", final)).alias("block"))
+    )
+
+
+def chain_keys_within(entries: DataFrame, places: list[tuple[str, int, int]], uids: DataFrame) -> DataFrame:
+    """Chain tokens of only those blocks that can hold one of ``uids``.
+
+    An id's hash names its block for any block count, so a frequent word is
+    looked up in as many blocks as there are ids, not in all it has.
+    """
+    each = F.array(
+        *[
+            F.struct(F.lit(w).alias("word"), F.lit(b).cast("bigint").alias("batch"), F.lit(n).cast("bigint").alias("blocks"))
+            for w, b, n in places
+        ]
+    )
+    wanted = uids.select("uid", F.inline(each)).select(
+        "word", "batch", P.block_of(F.col("uid"), F.col("blocks")).alias("block")
+    )
+    keys = entries.select("word", "batch", "word_key", crypto.hmac_pads(F.col("word_key")).alias("pads"))
+    return _placed_keys(wanted.distinct().join(F.broadcast(keys), ["word", "batch"]))
+
+
+def _placed_keys(blocks: DataFrame) -> DataFrame:
+    token = _chain_token(F.col("pads"), F.col("batch"), F.col("block"))
+    return blocks.select("word", "word_key", token.alias("token"))
 
 
 # --- the index -----------------------------------------------------------------
@@ -187,14 +215,20 @@ class UpsertReport:
 
 @dataclass(frozen=True)
 class FoundWords:
-    """Opened entries of a query's words, and their posting counts if few."""
+    """Opened entries of a query's words and, where few, what they say:
+    the (word, batch, blocks) places and the postings of each word."""
 
     entries: DataFrame
-    postings_per_word: dict[str, int] | None
-    blocks: int | None
+    places: list[tuple[str, int, int]] | None = None
+    postings_per_word: dict[str, int] | None = None
+
+    @property
+    def blocks(self) -> int | None:
+        return None if self.places is None else sum(n for _, _, n in self.places)
 
     def only(self, words) -> FoundWords:
-        return FoundWords(self.entries.where(F.col("word").isin(list(words))), self.postings_per_word, self.blocks)
+        places = None if self.places is None else [p for p in self.places if p[0] in words]
+        return FoundWords(self.entries.where(F.col("word").isin(list(words))), places, self.postings_per_word)
 
 
 class SealedIndex:
@@ -283,7 +317,7 @@ class SealedIndex:
         opened = opened.select("word", "word_key", "batch", "blocks", "n")
         rows = rows_if_few(opened, FEW_ENTRIES)
         if rows is None:
-            return FoundWords(opened, None, None)
+            return FoundWords(opened)
         frame = crypto.local_frame(
             self.spark,
             [(r.word, bytes(r.word_key), r.batch, r.blocks, r.n) for r in rows],
@@ -291,7 +325,7 @@ class SealedIndex:
             | {n: pa.int64() for n in ("batch", "blocks", "n")},
         )
         per_word = {w: sum(r.n for r in rows if r.word == w) for w in {r.word for r in rows}}
-        return FoundWords(frame, per_word, sum(r.blocks for r in rows))
+        return FoundWords(frame, [(r.word, r.batch, r.blocks) for r in rows], per_word)
 
     def postings(self, found: FoundWords) -> DataFrame:
         """(word, uid) of the found words."""
@@ -299,6 +333,21 @@ class SealedIndex:
         keys = chain_keys(found.entries, spread)
         return open_blocks(self.store.get_chain(keys))
 
+    def postings_of(self, found: FoundWords, uids: DataFrame) -> DataFrame:
+        """(word, uid) of the found words, for some ids (a broadcastable frame)."""
+        rows = None
+        if found.places is not None and len(found.places) <= FEW_PLACES:
+            rows = rows_if_few(uids.select("uid"), FEW_UIDS)
+        if rows is not None:
+            held = [(bytes(r["uid"]),) for r in rows]
+            uids = crypto.local_frame(self.spark, held, {"uid": pa.binary()})
+        if rows is not None and len(rows) * len(found.places) < found.blocks:
+            keys = chain_keys_within(found.entries, found.places, uids)
+            postings = open_blocks(self.store.get_chain(keys))
+        else:
+            postings = self.postings(found)
+        return postings.join(F.broadcast(uids), "uid", "left_semi")
+
     def lookup(self, words) -> DataFrame:
         """(word, uid) of every given word that the index knows."""
         return self.postings(self.find_words(fold_query(words)))

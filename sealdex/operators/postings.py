@@ -58,6 +58,11 @@ def word_totals(counts: DataFrame) -> WordTotals:
     return WordTotals(row["words"], row["n"] or 0, row["most"] or 0)
 
 
+def block_of(uid: Column, blocks: Column) -> Column:
+    """The block a record id is in, for a word with that many blocks."""
+    return F.pmod(F.xxhash64(uid), blocks)
+
+
 def split_words(counts: DataFrame, threshold: int) -> DataFrame:
     """(word_hash, split_blocks) of the words with more postings than ``threshold``."""
     frequent = counts.where(F.col("n") > threshold)
@@ -75,16 +80,15 @@ def block_postings(postings: DataFrame, counts: DataFrame, splits: DataFrame | N
     is None where no word is that frequent.
     """
     hashed = postings.withColumn("place", F.xxhash64("word"))
-    in_word = F.xxhash64("uid")
     split_blocks = F.lit(None).cast("bigint").alias("split_blocks")
     if splits is not None:
         hashed = hashed.join(F.broadcast(splits.withColumnRenamed("word_hash", "place")), "place", "left")
-        apart = F.xxhash64("place", F.pmod(in_word, F.col("split_blocks")))
+        apart = F.xxhash64("place", block_of(F.col("uid"), F.col("split_blocks")))
         hashed = hashed.withColumn("place", F.when(F.col("split_blocks").isNotNull(), apart).otherwise(F.col("place")))
         split_blocks = F.col("split_blocks")
     sizes = counts.groupBy(F.col("word_hash").alias("place")).agg(F.max("blocks").alias("blocks"))
     sized = hashed.select("uid", "word", "place", split_blocks).join(sizes.hint("merge"), "place", "left")
-    block = F.pmod(in_word, F.coalesce("split_blocks", "blocks"))
+    block = block_of(F.col("uid"), F.coalesce("split_blocks", "blocks"))
     return (
         sized.select("place", "word", block.alias("block"), "uid")
         .groupBy("place", "word", "block")

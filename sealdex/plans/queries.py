@@ -18,7 +18,7 @@ from sealdex.functions.uid import uid_bytes, uid_file, uid_pos, uid_text
 from sealdex.operators import layout, metrics, sealing
 from sealdex.operators import postings as P
 from sealdex.operators.boolean import find
-from sealdex.operators.index import SealedIndex, open_entries, word_token
+from sealdex.operators.index import FoundWords, SealedIndex, open_entries, word_token
 from sealdex.operators.index_store import ParquetIndexStore
 from sealdex.operators.keyring import keyring_for, seal_classes
 from sealdex.operators.sinks import write_clear_lines
@@ -154,11 +154,9 @@ def posting_blocks(spark, sf_dir):
 
 
 def _all_postings(index: SealedIndex, words: DataFrame) -> DataFrame:
-    from sealdex.operators.index import FoundWords
-
     keys = words.withColumn("token", word_token(index._secrets, F.col("word")))
     entries = open_entries(index.store.get_entries(keys), index._secrets)
-    return index.postings(FoundWords(entries, None, None))
+    return index.postings(FoundWords(entries))
 
 
 # --- keyword search ------------------------------------------------------------------

@@ -212,6 +212,26 @@ def test_boolean_search_against_brute_force(spark):
             assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_and_with_a_rare_word_reads_few_blocks(spark, monkeypatch):
+    """Two batches, a word of everyone and a rare one: only their blocks are fetched."""
+    docs = {b"document%06d" % i: ["all", "most" if i % 10 else "other"] + (["rare"] if i % 997 == 5 else []) for i in range(4_000)}
+    items = list(docs.items())
+    store = new_store(spark)
+    index = SealedIndex(store, SECRETS.writer(), block_size=8)
+    index.upsert(rows_of(spark, dict(items[:2500])))
+    index.upsert(rows_of(spark, dict(items[2500:])))
+    reader = SealedIndex(store, SECRETS.reader())
+    asked = []
+    fetch = store.get_chain
+    monkeypatch.setattr(store, "get_chain", lambda keys: (asked.append(keys.count()), fetch(keys))[1])
+    got = sorted(bytes(r.uid) for r in find(reader, ["all", "most", "rare"]).collect())
+    assert got == sorted(u for u, w in docs.items() if {"all", "most", "rare"} <= set(w))
+    rare = sum("rare" in w for w in docs.values())
+    assert asked[0] <= 2 and asked[1] <= rare * 4 < 4_000 // 8
+    got = {bytes(r.uid) for r in find(reader, ["all", "other"]).collect()}
+    assert got == {u for u, w in docs.items() if "other" in w}
+
+
 def test_and_of_frequent_words_and_of_very_many_words(spark, monkeypatch):
     from sealdex.operators import boolean
 
@@ -396,5 +416,5 @@ def test_lookup_without_known_counts(spark):
     reader = SealedIndex(store, SECRETS.reader())
     found = reader.find_words(["all"])
     assert found.postings_per_word == {"all": 50}
-    got = postings_of(reader.postings(FoundWords(found.entries, None, None)))
+    got = postings_of(reader.postings(FoundWords(found.entries)))
     assert set(got["all"]) == set(docs)
