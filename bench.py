@@ -88,7 +88,9 @@ class Bench:
 
         index = SealedIndex(store, reader)
         searches = {
-            "search_docs_rare": (["src-nothing-has-this", "theth"], True),
+            "search_docs_rare": (["aantiin"], False),
+            "search_docs_rare_and_frequent": (["aantiin", "the"], False),
+            "search_docs_unknown_or_frequent": (["no-document-has-this", "the"], True),
             "search_docs_frequent": (["the"], False),
             "search_docs_and3": (["the", "in", "that"], False),
             "search_docs_or3": (["the", "in", "that"], True),

@@ -8,6 +8,7 @@ A *cell* is one value of each. An access rule is a tree of attributes joined by
 from __future__ import annotations
 
 from dataclasses import dataclass
+from enum import Enum
 from functools import reduce
 from itertools import product
 
@@ -26,6 +27,11 @@ class Axis:
     name: str
     values: tuple[str, ...]
 
+    @staticmethod
+    def of_enum(name: str, values: type[Enum]) -> Axis:
+        """Axis over an enum's member names, underscores removed."""
+        return Axis(name, tuple(member.name.replace("_", "") for member in values))
+
     def attribute(self, value: str) -> Attr:
         if value not in self.values:
             raise ValueError(f"axis {self.name} has no value {value!r}")

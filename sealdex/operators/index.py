@@ -239,7 +239,7 @@ class SealedIndex:
         self.block_size = block_size
         self.split_above = split_above
         self.spark = store.spark
-        self._secrets = keys.secrets(store.spark)
+        self.secrets = keys.secrets(store.spark)
 
     # --- growing ---
 
@@ -259,7 +259,7 @@ class SealedIndex:
     def _upsert(self, postings: DataFrame, batch: int, base: DataFrame | None, stage) -> UpsertReport:
         counts = stage(
             P.with_blocks(P.word_counts(postings), self.block_size).select(
-                word_token(self._secrets, F.col("word")).alias("token"), "word_hash", "n", "blocks"
+                word_token(self.secrets, F.col("word")).alias("token"), "word_hash", "n", "blocks"
             ),
             "word-counts",
         )
@@ -279,8 +279,8 @@ class SealedIndex:
 
         blocks = P.block_postings(postings, counts, splits)
         chain_size = totals.postings * POSTING_BYTES + totals.words * ROW_BYTES
-        self.store.upsert_chain(seal_blocks(blocks, self._secrets, batch), batch, chain_size)
-        entries = seal_entries(proposed, self._secrets, batch)
+        self.store.upsert_chain(seal_blocks(blocks, self.secrets, batch), batch, chain_size)
+        entries = seal_entries(proposed, self.secrets, batch)
         self.store.append_entries(entries, batch, totals.words * ROW_BYTES)
 
         conflicts = 0
@@ -303,7 +303,7 @@ class SealedIndex:
 
     def _words_of(self, postings: DataFrame, tokens: DataFrame, stage) -> DataFrame:
         words = postings.select("word").distinct()
-        named = words.withColumn("token", word_token(self._secrets, F.col("word")))
+        named = words.withColumn("token", word_token(self.secrets, F.col("word")))
         return stage(named.join(tokens, "token", "left_semi").select("word"), "refused-words")
 
     # --- looking up ---
@@ -313,7 +313,7 @@ class SealedIndex:
         return crypto.local_frame(self.spark, rows, {"word": pa.string(), "token": pa.binary()})
 
     def find_words(self, words: list[str]) -> FoundWords:
-        opened = open_entries(self.store.get_entries(self.query_tokens(words)), self._secrets)
+        opened = open_entries(self.store.get_entries(self.query_tokens(words)), self.secrets)
         opened = opened.select("word", "word_key", "batch", "blocks", "n")
         rows = rows_if_few(opened, FEW_ENTRIES)
         if rows is None:

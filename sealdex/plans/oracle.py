@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from sealdex.functions import crypto
 from sealdex.plans.queries import DEMO, ROLL_BYTES
 
 _DIRECTORY = """
@@ -177,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
             nation="CASE WHEN region = 'AFRICA' THEN nation END",
             acctbal=_NO_NUMBER,
         ),
-        "open_no_access": "SELECT 0 AS nobody, 0 AS security_only",
+        "open_no_access": "SELECT CAST(0 AS BIGINT) AS nobody, CAST(0 AS BIGINT) AS security_only",
         "open_orders": f"""
           SELECT orderkey, CASE WHEN region = 'AFRICA' THEN custkey END AS custkey, region, status,
                  CASE WHEN region <> 'AFRICA' THEN priority END AS priority,
@@ -193,8 +192,8 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'segment=building', count(*), count(*) FILTER (region = 'ASIA') FROM d
             WHERE segment = 'BUILDING'
         """,
-        "tamper_rejected": f"SELECT count(*) AS intact, 0 AS moved_opened, 0 AS swapped_parts_opened "
-        f"FROM ({_DIRECTORY})",
+        "tamper_rejected": f"SELECT count(*) AS intact, CAST(0 AS BIGINT) AS moved_opened, "
+        f"CAST(0 AS BIGINT) AS swapped_parts_opened FROM ({_DIRECTORY})",
         "access_matrix": _ACCESS_MATRIX,
         "part_attributes": f"""
           WITH audience(part, depts) AS (VALUES ('common', 'Department::Marketing Department::HR'),

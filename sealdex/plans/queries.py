@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealdex.functions import crypto
 from sealdex.functions.terms import fold_query
 from sealdex.functions.uid import uid_bytes, uid_file, uid_pos, uid_text
 from sealdex.operators import layout, metrics, sealing
@@ -154,8 +153,8 @@ def posting_blocks(spark, sf_dir):
 
 
 def _all_postings(index: SealedIndex, words: DataFrame) -> DataFrame:
-    keys = words.withColumn("token", word_token(index._secrets, F.col("word")))
-    entries = open_entries(index.store.get_entries(keys), index._secrets)
+    keys = words.withColumn("token", word_token(index.secrets, F.col("word")))
+    entries = open_entries(index.store.get_entries(keys), index.secrets)
     return index.postings(FoundWords(entries))
 
 
@@ -231,7 +230,7 @@ def order_search(spark, sf_dir):
 def index_sizes(spark, sf_dir):
     index = document_index(spark, sf_dir)
     entries = index.store.entries()
-    opened = open_entries(entries.select("token", "revision", "sealed"), index._secrets)
+    opened = open_entries(entries.select("token", "revision", "sealed"), index.secrets)
     postings = opened.agg(F.sum("n").alias("postings"))
     return index.store.row_counts().select("entries", "chain_rows", postings.scalar().alias("postings"))
 
@@ -246,8 +245,8 @@ def index_incremental(spark, sf_dir):
     for row in docs.select("lang").distinct().orderBy("lang").collect():
         index.upsert(docs.where(F.col("lang") == row["lang"]))
     words = P.explode_words(docs).select("word").distinct()
-    keys = words.withColumn("token", word_token(index._secrets, F.col("word")))
-    opened = open_entries(store.get_entries(keys), index._secrets)
+    keys = words.withColumn("token", word_token(index.secrets, F.col("word")))
+    opened = open_entries(store.get_entries(keys), index.secrets)
     return opened.groupBy("word").agg(F.sum("n").alias("n"), F.max("revision").alias("revision"))
 
 
@@ -259,7 +258,7 @@ def entry_conditional_upsert(spark, sf_dir):
     store.create()
     docs = tb.document_words(spark, sf_dir).select("lang", F.explode(F.array_distinct("words")).alias("word"))
     words = staged(
-        docs.distinct().select("lang", word_token(index._secrets, F.col("word")).alias("token")), "lang-words"
+        docs.distinct().select("lang", word_token(index.secrets, F.col("word")).alias("token")), "lang-words"
     )
 
     def attempt(name: str, rows: DataFrame, revision: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,10 @@ from sealdex.session import staged
 from sealdex.sources.records import parse_records
 
 
+# Records of one key epoch up to which derived 96-bit nonces hardly ever meet.
+EPOCH_RECORDS = 1 << 32
+
+
 @dataclass(frozen=True)
 class Secrets:
     """All key material of a vault. ``search`` alone goes to searching users."""
@@ -82,7 +87,8 @@ class Vault:
         """Seal records, append them, then index what was written.
 
         Each batch is its own key epoch unless one is named; an epoch should
-        stay below 2**32 records. Re-running a batch number replaces that batch.
+        stay within ``EPOCH_RECORDS``. Re-running a batch number replaces that
+        batch.
         """
         if drop_indexes:
             self.index_store.truncate()
@@ -103,6 +109,8 @@ class Vault:
         sealed = sealing.seal_records(numbered, self.spec, classes, writer)
         with self.clock.stage("records"):
             self.records.append(sealed, batch, rows)
+        if seen.get["rows"] > EPOCH_RECORDS:
+            warnings.warn(f"batch {batch} sealed more than {EPOCH_RECORDS} records in one key epoch", stacklevel=2)
         with self.clock.stage("index"):
             report = self._index(self.index_store, [batch], classes, secrets, batch)
         return IngestReport(batch, seen.get["rows"], report)

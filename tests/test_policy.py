@@ -1,4 +1,5 @@
 import random
+from enum import Enum
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,11 @@ def test_unknown_values_are_errors(spark):
         Policy(wide, Axis("B", wide.values))
 
 
+def test_axis_of_an_enum():
+    levels = Enum("Level", ["Public", "Top_Secret"])
+    assert Axis.of_enum("Level", levels) == Axis("Level", ("Public", "TopSecret"))
+
+
 def test_axes_table(spark):
     got = {(r.axis, r.value) for r in PEOPLE_POLICY.axes(spark).collect()}
     assert got == {("Country", v) for v in COUNTRY.values} | {("Department", v) for v in DEPARTMENT.values}
