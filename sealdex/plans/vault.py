@@ -15,7 +15,7 @@ from sealdex.operators import sealing
 from sealdex.operators.boolean import find
 from sealdex.operators.index import ReaderKeys, SealedIndex, UpsertReport, WriterKeys
 from sealdex.operators.index_store import IndexStore, ParquetIndexStore
-from sealdex.operators.keyring import issue_user_keys, keyring_for, seal_classes, seal_headers
+from sealdex.operators.keyring import Keyring, issue_user_keys, keyring_for, seal_classes, seal_headers
 from sealdex.operators.layout import rows_per_file
 from sealdex.operators.metrics import StageClock, counted
 from sealdex.operators.record_store import RecordStore
@@ -140,20 +140,28 @@ class Vault:
     def user_keys(self, secrets: Secrets, rule: Rule, user: str = "user") -> DataFrame:
         return issue_user_keys(self.spark, self.spec.policy, secrets.master, {user: rule})
 
-    def _keyring(self, user_keys: DataFrame):
+    def unlock(self, user_keys: DataFrame) -> Keyring:
+        """Unwrap a user's keyring once, for several searches or scans.
+
+        It covers the key epochs present now; unlock again after a new one.
+        """
         return keyring_for(user_keys, self.records.headers(), self.spec)
 
+    def _keyring(self, keys: DataFrame | Keyring) -> Keyring:
+        return keys if isinstance(keys, Keyring) else self.unlock(keys)
+
     def find(self, words, keys: ReaderKeys, disjunction: bool = False) -> DataFrame:
         """(file, pos) of the matching records, without opening any."""
         ids = find(SealedIndex(self.index_store, keys), words, disjunction)
         return ids.select(uid_file(F.col("uid")).alias("file"), uid_pos(F.col("uid")).alias("pos"))
 
-    def search(self, words, keys: ReaderKeys, user_keys: DataFrame, disjunction: bool = False) -> SearchResult:
+    def search(self, words, keys: ReaderKeys, user_keys: DataFrame | Keyring,
+               disjunction: bool = False) -> SearchResult:
         """Matching records, as far as the user's keys open them."""
         hits = staged(self.find(words, keys, disjunction), "hits")
         chosen = self.records.read_selected(hits)
         return SearchResult(hits, sealing.open_records(chosen, self._keyring(user_keys), self.spec))
 
-    def open_all(self, user_keys: DataFrame) -> DataFrame:
+    def open_all(self, user_keys: DataFrame | Keyring) -> DataFrame:
         """Every record the user's keys open, without the index."""
         return sealing.open_records(self.records.read(), self._keyring(user_keys), self.spec)

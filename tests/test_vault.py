@@ -92,6 +92,14 @@ def test_searches(people, people_vault, words, disjunction, user, hit, allowed):
     )
 
 
+def test_keyring_unlocked_once_serves_searches_and_scans(people, people_vault):
+    ring = people_vault.unlock(_keys(people_vault, "Bob"))
+    spanish = sum(r[4] == "Spain" for r in people)
+    assert people_vault.open_all(ring).count() == spanish
+    counts = people_vault.search(["country=spain"], SECRETS.reader(), ring).counts().first()
+    assert (counts.found, counts.opened) == (spanish, spanish)
+
+
 def test_wrong_search_key_finds_nothing(people_vault):
     other = Secrets(SECRETS.master, b"another", SECRETS.word).reader()
     assert people_vault.search(["Douglas"], other, _keys(people_vault, "SuperAdmin")).counts().first().found == 0
