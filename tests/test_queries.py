@@ -27,4 +27,5 @@ def test_entry_point(spark):
     import __spark_entry__ as contract
 
     assert contract.entry(spark).count() > 0
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
