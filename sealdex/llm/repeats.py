@@ -220,7 +220,10 @@ def _sharded(length: int):
 
 
 def _windows(length: int, buckets: int):
-    """Sorted window hashes of the contexts of a shard, cut into ranges of the hash."""
+    """Sorted window hashes of the contexts of a shard, cut into ranges of the hash.
+
+    Windows that the shard itself has twice are there to be met, not to be found.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         bodies = table.column("bytes").to_pylist()
@@ -231,17 +234,19 @@ def _windows(length: int, buckets: int):
         counts = sizes - length + 1
         place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = bounds[:-1][of] + place
+        open_ = ~repeated_windows(data, bounds, length)[at]
         one, two = (_Hashes(data, b)(at, at + length) for b in _BASES)
         order = np.lexsort((two, one))
-        one, two, of, place = one[order], two[order], of[order], place[order]
+        one, two, of, place, open_ = one[order], two[order], of[order], place[order], open_[order]
         bucket = (one >> np.uint64(32)).astype(np.int64) * buckets >> 32
         cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, np.int64)
         ids, keys, begin = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "key", "begin"))
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = of[a:b]
-            rows.append({"bucket": int(bucket[a]), "one": one[a:b].view(np.int64), "two": two[a:b].view(np.int64), "ids": ids[own], "keys": keys[own], "starts": begin[own] + place[a:b]})
-        fields = [("bucket", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("one", "two", "ids", "keys", "starts"))]
+            at = a + np.flatnonzero(open_[a:b])
+            own = of[at]
+            rows.append({"bucket": int(bucket[a]), "one": one[a:b].view(np.int64), "two": two[a:b].view(np.int64), "open": at - a, "ids": ids[own], "keys": keys[own], "starts": begin[own] + place[at]})
+        fields = [("bucket", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("one", "two", "open", "ids", "keys", "starts"))]
         return pa.Table.from_pylist(rows, pa.schema(fields))
 
     return run
@@ -251,11 +256,13 @@ def _merged(length: int):
     """Windows of one range of the hash from all shards: each is searched in all of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        one, two, ids, keys, starts = (np.concatenate([np.asarray(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("one", "two", "ids", "keys", "starts"))
-        both = mix(one.view(np.uint64) ^ mix(two.view(np.uint64)))
-        pairs = np.sort(both)
-        found = np.searchsorted(pairs, both, "right") - np.searchsorted(pairs, both, "left") > 1
-        columns = (ids[found], keys[found], starts[found], starts[found] + length)
+        one, two, open_, ids, keys, starts = ([np.asarray(x, np.int64) for x in table.column(c).to_pylist()] for c in ("one", "two", "open", "ids", "keys", "starts"))
+        both = [mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) for a, b in zip(one, two, strict=True)]
+        all_ = np.sort(np.concatenate(both))
+        wanted = np.concatenate([b[at] for b, at in zip(both, open_, strict=True)])
+        found = np.searchsorted(all_, wanted, "right") - np.searchsorted(all_, wanted, "left") > 1
+        ids, keys, starts = (np.concatenate(x)[found] for x in (ids, keys, starts))
+        columns = (ids, keys, starts, starts + length)
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "key", "begin", "end"])
 
     return run
@@ -337,7 +344,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, i
     if most > 1:
         spread = contexts.where("spread")
         buckets = max(1, -(-kinds.join(crowds.where("salts > 1"), "anchor").agg(F.coalesce(F.sum(F.col("at.size") - (length - 1)), F.lit(0))).first()[0] // MERGED_WINDOWS))
-        kept = "bucket long, one array<long>, two array<long>, ids array<long>, keys array<long>, starts array<long>"
+        kept = "bucket long, one array<long>, two array<long>, open array<long>, ids array<long>, keys array<long>, starts array<long>"
         found = found.unionByName(spread.groupBy("shard").applyInArrow(_windows(length, buckets), kept).groupBy("bucket").applyInArrow(_merged(length), _RUNS))
 
     span = ["id", "key", "begin", (F.col("begin") + F.col("size")).alias("end")]
