@@ -47,19 +47,24 @@ _SCALE_TOP = (1 << 15) - 1
 #: the best by this much (five standard deviations).
 LIKELIHOOD_GAP = 12.5
 
-_SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FACTORS, _SHIFTS = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
+#: One-bit registers (the parity of a level) of sets whose bucket holds several
+#: components: enough of them to tell 0.85 from 0.77 by five standard deviations.
+FINE_BITS = 1024
+FINE_DEVIATIONS = 4.5
 
+_SEEDS = mix(np.arange(1, 2 * (REGISTERS + FINE_BITS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTORS, _SHIFTS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
 
-def registers(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+
+def registers(values: np.ndarray, first: np.ndarray, which: range = range(REGISTERS)) -> np.ndarray:
     """Registers of each run of ``values`` that starts at ``first``, one row a run."""
-    out = np.empty((len(first), REGISTERS), np.uint16)
-    for i in range(REGISTERS):
+    out = np.empty((len(first), len(which)), np.uint16)
+    for place, i in enumerate(which):
         # The smallest uniform variate gives the smallest exponential one.
         least = np.minimum.reduceat((values ^ _SHIFTS[i]) * _FACTORS[i], first)
         uniform = (least.astype(np.float64) + 1.0) / 2.0**64
         level = np.floor(1.0 - np.log(-np.log1p(-np.minimum(uniform, 1 - 2.0**-53))) / np.log(SPACING))
-        out[:, i] = np.clip(level, 0, _SCALE_TOP)
+        out[:, place] = np.clip(level, 0, _SCALE_TOP)
     return out
 
 
@@ -125,6 +130,38 @@ def _sets(width: int):
     return run
 
 
+def _fine(width: int):
+    """Parities of FINE_BITS further registers, 64 in a long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, values, of in _shingle_sets(batch, "text", width):
+                filled = np.unique(of)
+                if not len(filled):
+                    continue
+                first = np.searchsorted(of, filled)
+                bits = registers(values, first, range(REGISTERS, REGISTERS + FINE_BITS)).astype(np.uint8) & 1
+                longs = np.packbits(bits, axis=1).view(np.int64)
+                digests = _digests(values, filled, first, high - low)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(low + filled)), pa.array([digests[i] for i in filled], pa.binary()), pa.array(longs.tolist(), pa.list_(pa.int64()))],
+                    names=["id", "digest", "bits"],
+                )
+
+    return run
+
+
+def _fine_agreement(left: str, right: str) -> F.Column:
+    differ = [F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(FINE_BITS // 64)]
+    return F.lit(FINE_BITS) - sum(differ[1:], differ[0])
+
+
+def least_agreement(percent: int) -> int:
+    """Agreeing bits that a pair of similarity ``percent`` has, but for FINE_DEVIATIONS standard deviations."""
+    p = (1 + percent / 100) / 2
+    return int(np.floor(FINE_BITS * p - FINE_DEVIATIONS * np.sqrt(FINE_BITS * p * (1 - p))))
+
+
 def likely(left: pd.Series, right: pd.Series, n_left: pd.Series, n_right: pd.Series, percent: int) -> np.ndarray:
     """Joint likelihood estimate: may the similarity reach ``percent``?
 
@@ -189,10 +226,10 @@ def near_duplicate_groups(
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Equal shingle sets form classes first. Classes that share a band of
-    registers are compared in rounds: each bucket's smallest class with those
-    not yet in its component, then whatever is left between the components of
-    a bucket, so a large group of near copies costs about one pair a member
-    and no link between components can be missed.
+    registers are compared in rounds: each bucket's pivot with all others, one of
+    its components with the rest, then whatever is left between the components
+    of a bucket and may link, so a large group of near copies costs about one
+    pair a member and no link between components is missed.
     """
     spark = docs.sparkSession
     write = _Tables(spark, "near-duplicates").write
@@ -202,14 +239,18 @@ def near_duplicate_groups(
     classes = write(
         sketches.where("id IS NOT NULL AND n > 0").groupBy("digest", "n").agg(F.min("id").alias("class"), F.min("sketch").alias("sketch"))
     )
-    bands = classes.select(
-        "class",
-        F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND_ROWS * i + 1, 2 * BAND_ROWS)) for i in range(REGISTERS // BAND_ROWS)])).alias("key"),
-    )
-    shared = write(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("pivot")).where("size > 1").select("key", "pivot"))
-    members = write(bands.join(shared, "key"))
-
-    pairs = members.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND_ROWS * i + 1, 2 * BAND_ROWS)) for i in range(REGISTERS // BAND_ROWS)])
+    bands = classes.select("class", F.explode(keys).alias("key"))
+    shared = write(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    sized = write(bands.join(shared, "key"))
+    # The pivot of a bucket is the class that meets the most others over all its buckets:
+    # of a family of near copies the one they were copied from.
+    degrees = write(sized.groupBy("class").agg(F.sum("size").alias("degree")))
+    members = write(sized.select("key", "class").join(degrees, "class"))
+    pivots = write(members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("class")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("pivot")))
+
+    star = members.join(pivots, "key").where("class <> pivot")
+    pairs = write(star.select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct())
     links = _verified(pairs, classes, plain, width, percent, write)
     tried = [pairs]
     for last in (False, True):
@@ -223,9 +264,7 @@ def near_duplicate_groups(
             placed.groupBy("key").agg(F.min(F.struct("root", "class")).alias("first"), F.max("root").alias("top")).where("first.root <> top")
         )
         if last:
-            left = placed.join(split.select("key"), "key", "left_semi")
-            other = left.select("key", F.col("class").alias("b"), F.col("root").alias("other"))
-            rest = left.join(other, "key").where("root < other").select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"))
+            rest = _across_components(placed.join(split.select("key"), "key", "left_semi"), classes, plain, width, percent, write)
         else:
             rest = placed.join(split, "key").where("root <> first.root").select(F.least("class", "first.class").alias("a"), F.greatest("class", "first.class").alias("b"))
         fresh = rest.distinct()
@@ -247,6 +286,34 @@ def near_duplicate_groups(
     )
 
 
+def _across_components(left: DataFrame, classes: DataFrame, plain: DataFrame, width: int, percent: int, write) -> DataFrame:
+    """Pairs (a, b) of ``left`` (key, class, root) that share a bucket, not a component, and may link.
+
+    The fine registers are compared in the join, so that of a family whose
+    members are alike but not enough only the doubtful pairs come out of it,
+    each from the least of the keys it shares.
+    """
+    left = write(left)
+    owned = left.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    owned = write(owned.join(classes.select("class", "digest"), "class"))
+    fine = (
+        plain.join(owned.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
+        .mapInArrow(_fine(width), "id long, digest binary, bits array<long>")
+        .dropDuplicates(["id", "digest"])
+        .withColumnRenamed("id", "class")
+    )
+    owned = write(owned.join(fine, ["class", "digest"]).select("class", "keys", "bits"))
+    one = write(left.join(owned, "class"))
+    other = one.select("class", "key", "root", "keys", "bits").toDF("other", "other_key", "other_root", "other_keys", "other_bits")
+    near = (
+        (F.col("root") < F.col("other_root"))
+        & (_fine_agreement("bits", "other_bits") >= least_agreement(percent))
+        & (F.col("key") == F.array_min(F.array_intersect("keys", "other_keys")))
+    )
+    met = one.join(other, (F.col("key") == F.col("other_key")) & near)
+    return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, plain: DataFrame, width: int, percent: int, write) -> DataFrame:
     """Those pairs (a, b) of classes whose whole sets are similar enough."""
 
