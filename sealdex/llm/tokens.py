@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
 #: Distinct words remembered by a worker before it starts afresh.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 400_000
 
 #: White space of Unicode. ``str.split`` also cuts at \x1c to \x1f.
 _BLANKS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -59,7 +60,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self._stems: dict[str, list[int]] = {}
+        self._stems: dict[str, bytes] = {}
         self.first, self.length, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
         self.used = 0
 
@@ -73,17 +74,17 @@ class Encoder:
             cut.append((stem.lower() if stem.isascii() else stem, tail))
         known = self._stems
         fresh = list({p for pair in cut for p in pair if p not in known})
-        known.update(zip(fresh, self._ids(fresh), strict=True))
+        known.update((p, array("I", ids).tobytes()) for p, ids in zip(fresh, self._ids(fresh), strict=True))
         ids = [known[a] + known[b] for a, b in cut]
-        count, size = len(self.codes), sum(map(len, ids))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        count, size = len(self.codes), int(lengths.sum())
         while len(self.first) < count + len(words):
             self.first, self.length = np.resize(self.first, 2 * len(self.first)), np.resize(self.length, 2 * len(self.length))
         while len(self.flat) < self.used + size:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.length[count : count + len(words)] = lengths
         self.first[count : count + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + size] = [i for own in ids for i in own]
+        self.flat[self.used : self.used + size] = np.frombuffer(b"".join(ids), np.uint32)
         self.used += size
         self.codes.update(zip(words, range(count, count + len(words)), strict=True))
 
