@@ -36,6 +36,11 @@ def uid_pos(uid: Column) -> Column:
     return F.conv(F.hex(F.substring(uid, -POSITION_BYTES, POSITION_BYTES)), 16, 10).cast("bigint")
 
 
+def file_name(batch: int, partition: Column) -> Column:
+    """At least six digits of the task's partition, all of them however many there are."""
+    return F.concat(F.lit(f"{batch:010d}-"), F.format_string("%06d", partition))
+
+
 def assign_uids(df: DataFrame, batch: int) -> DataFrame:
     """Give each row the next id of the file its task is about to write.
 
@@ -43,8 +48,7 @@ def assign_uids(df: DataFrame, batch: int) -> DataFrame:
     number Spark puts in the written part file. Ids are fixed only once written:
     everything that refers to them must read the written table.
     """
-    partition = F.lpad(F.spark_partition_id().cast("string"), 6, "0")
-    return df.withColumn("file", F.concat(F.lit(f"{batch:010d}-"), partition)).withColumn(
+    return df.withColumn("file", file_name(batch, F.spark_partition_id())).withColumn(
         "pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
     )
 

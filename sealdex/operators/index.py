@@ -248,9 +248,8 @@ class SealedIndex:
 
         ``base`` is the (token, stored) state the caller's revisions build on, by
         default the store's own. Words that moved on since ``base`` are refused
-        by the store; their postings are then indexed against the present state
-        as a further batch, and only words that were accepted get chain rows.
-        The tables take one writer at a time.
+        and proposed again against the present state, in the same batch: no
+        other batch is touched. The tables take one writer at a time.
         """
         batch = self.store.next_batch() if batch is None else batch
         with staging(self.spark, "upsert") as stage:
@@ -272,10 +271,8 @@ class SealedIndex:
 
         lost = None if base is None else self._stale(proposed, stored, stage)
         if lost is not None:
-            refused = self._words_of(postings, lost, stage)
-            retry = postings.join(refused, "word", "left_semi")
-            postings = postings.join(refused, "word", "left_anti")
-            proposed = proposed.join(lost, "token", "left_anti")
+            again = self._proposals(counts.join(lost, "token", "left_semi"), stored)
+            proposed = proposed.join(lost, "token", "left_anti").unionByName(again)
 
         blocks = P.block_postings(postings, counts, splits)
         chain_size = totals.postings * POSTING_BYTES + totals.words * ROW_BYTES
@@ -283,10 +280,7 @@ class SealedIndex:
         entries = seal_entries(proposed, self.secrets, batch)
         self.store.append_entries(entries, batch, totals.words * ROW_BYTES)
 
-        conflicts = 0
-        if lost is not None:
-            conflicts = lost.count()
-            self.upsert(retry.select("uid", F.array("word").alias("words")), batch + 1)
+        conflicts = 0 if lost is None else lost.count()
         return UpsertReport(batch, totals.words, totals.postings, conflicts)
 
     def _stale(self, proposed: DataFrame, stored: DataFrame, stage) -> DataFrame | None:
@@ -301,11 +295,6 @@ class SealedIndex:
         revision = F.coalesce(F.col("stored") + 1, F.lit(0)).cast("int")
         return counts.join(stored, "token", "left").select("token", revision.alias("revision"), "blocks", "n")
 
-    def _words_of(self, postings: DataFrame, tokens: DataFrame, stage) -> DataFrame:
-        words = postings.select("word").distinct()
-        named = words.withColumn("token", word_token(self.secrets, F.col("word")))
-        return stage(named.join(tokens, "token", "left_semi").select("word"), "refused-words")
-
     # --- looking up ---
 
     def query_tokens(self, words: list[str]) -> DataFrame:

@@ -232,6 +232,8 @@ def oracle_sql() -> dict[str, str]:
         "sealed_sizes": f"SELECT region, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM ({_SIZED}) "
         f"GROUP BY region",
         "quarantine_split": _QUARANTINE,
+        "ingest_quarantine": _QUARANTINE,
+        "reindex_then_replay": _people("region = 'ASIA'"),
         "multi_input_union": _MULTI_INPUT,
         "stream_ingest_equals_batch": _EVENTS,
         "stream_index_search": f"{_EVENTS} WHERE event_type IN ('click', 'purchase')",

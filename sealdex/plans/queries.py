@@ -523,9 +523,7 @@ def sealed_sizes(spark, sf_dir):
 # --- sources and streams ----------------------------------------------------------------------
 
 
-@query
-def quarantine_split(spark, sf_dir):
-    """Good lines, and why the others were set aside."""
+def _mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in tb.DIRECTORY.fields]))
     nameless = [F.col(n).cast("string").alias(n) for n in tb.DIRECTORY.fields if n != "name"]
     value = (
@@ -535,12 +533,41 @@ def quarantine_split(spark, sf_dir):
         .when(F.col("segment") == "MACHINERY", F.to_json(F.struct(*nameless)))
         .otherwise(line)
     )
-    lines = staged(tb.directory(spark, sf_dir).select(value.alias("value")), "mixed-lines")
+    return staged(tb.directory(spark, sf_dir).select(value.alias("value")), "mixed-lines")
+
+
+@query
+def quarantine_split(spark, sf_dir):
+    """Good lines, and why the others were set aside."""
+    lines = _mixed_lines(spark, sf_dir)
     good = parse_records(lines, tb.DIRECTORY).agg(F.count(F.lit(1)).alias("n"))
     bad = rejected_lines(lines, tb.DIRECTORY).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
     return good.select(F.lit("good").alias("outcome"), "n").unionByName(bad.withColumnRenamed("fault", "outcome"))
 
 
+@query
+def ingest_quarantine(spark, sf_dir):
+    """What a vault holds after an ingest of mixed lines: records opened, and lines set aside by fault."""
+    vault = Vault(spark, scratch_path(spark, "mixed"), tb.DIRECTORY)
+    vault.ingest_lines(_mixed_lines(spark, sf_dir), DEMO)
+    good = vault.open_all(_user(vault, "super")).agg(F.count(F.lit(1)).alias("n"))
+    bad = vault.rejected(DEMO).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+    return good.select(F.lit("good").alias("outcome"), "n").unionByName(bad.withColumnRenamed("fault", "outcome"))
+
+
+@query
+def reindex_then_replay(spark, sf_dir):
+    """A search after two batches, a rebuilt index, and the first batch run again."""
+    people = staged(tb.directory(spark, sf_dir), "people")
+    halves = [people.where(F.pmod(F.xxhash64("custkey"), F.lit(2)) == k) for k in (0, 1)]
+    vault = Vault(spark, scratch_path(spark, "replay"), tb.DIRECTORY)
+    for number, half in enumerate(halves, 1):
+        vault.ingest(half, DEMO, batch=number)
+    vault.reindex(DEMO)
+    vault.ingest(halves[0], DEMO, batch=1)
+    return _typed_directory(vault.search(["region=asia"], DEMO.reader(), _user(vault, "super")).records)
+
+
 @query
 def multi_input_union(spark, sf_dir):
     """Lines of two folders and of one folder given twice, as one input."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealdex.functions import crypto
 from sealdex.functions.policy import Rule
 from sealdex.functions.uid import assign_uids, uid_file, uid_pos
 from sealdex.operators import sealing
@@ -20,8 +21,8 @@ from sealdex.operators.layout import rows_per_file
 from sealdex.operators.metrics import StageClock, counted
 from sealdex.operators.record_store import RecordStore
 from sealdex.operators.specs import RecordSpec
-from sealdex.session import staged
-from sealdex.sources.records import parse_records
+from sealdex.session import published_folders, staged
+from sealdex.sources.records import parse_records, rejected_lines
 
 
 # Records of one key epoch up to which derived 96-bit nonces hardly ever meet.
@@ -52,6 +53,7 @@ class IngestReport:
     batch: int
     records: int
     index: UpsertReport
+    rejected: int = 0
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,7 @@ class Vault:
                  index_store: IndexStore | None = None, tolerant: bool = False):
         self.spark = spark
         self.spec = spec
+        self.root = root.rstrip("/")
         self.records = RecordStore(spark, f"{root}/store", spec.part_names(), tolerant)
         self.index_store = index_store or ParquetIndexStore(spark, f"{root}/index")
         self.index_store.create()
@@ -92,6 +95,7 @@ class Vault:
         """
         if drop_indexes:
             self.index_store.truncate()
+            self._mark_covered([])
         if batch is None:
             batch = max(self.records.next_batch(), self.index_store.next_batch())
         epoch = str(batch) if epoch is None else epoch
@@ -112,22 +116,65 @@ class Vault:
         if seen.get["rows"] > EPOCH_RECORDS:
             warnings.warn(f"batch {batch} sealed more than {EPOCH_RECORDS} records in one key epoch", stacklevel=2)
         with self.clock.stage("index"):
-            report = self._index(self.index_store, [batch], classes, secrets, batch)
+            if batch in self._covered():
+                # The rebuilt index holds the rows this run replaced, among others.
+                report = self.reindex(secrets)
+            else:
+                report = self._index(self.index_store, [batch], classes, secrets, batch)
         return IngestReport(batch, seen.get["rows"], report)
 
     def ingest_lines(self, lines: DataFrame, secrets: Secrets, strict: bool = False, **options) -> IngestReport:
-        return self.ingest(parse_records(lines, self.spec, strict), secrets, **options)
+        """Like :meth:`ingest`, for JSON lines. Lines that are no records are
+        sealed into the batch's quarantine and counted; see :meth:`rejected`."""
+        report = self.ingest(parse_records(lines, self.spec, strict), secrets, **options)
+        return report if strict else replace(report, rejected=self._quarantine(lines, secrets, report.batch))
+
+    def _quarantine(self, lines: DataFrame, secrets: Secrets, batch: int) -> int:
+        key = self._quarantine_key(secrets)
+        plain = F.to_json(F.struct("value", "fault")).cast("binary")
+        bad, seen = counted(rejected_lines(lines, self.spec).select(plain.alias("plain")))
+        sealed = crypto.seal(F.col("plain"), key.key("bad"), crypto.nonce_from(key.hmac("bad", F.col("plain"))), crypto.utf8(F.lit("quarantine")))
+        bad.select(sealed.alias("sealed")).write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch}")
+        return seen.get["rows"]
+
+    def _quarantine_key(self, secrets: Secrets) -> crypto.SecretRow:
+        return crypto.SecretRow(self.spark, {"bad": crypto.derive(secrets.word, "quarantine")})
+
+    def rejected(self, secrets: Secrets) -> DataFrame:
+        """(batch, value, fault) of every line set aside."""
+        key = self._quarantine_key(secrets)
+        batches = published_folders(self.spark, f"{self.root}/quarantine", "batch")
+        if not batches:
+            return self.spark.createDataFrame([], "batch long, value string, fault string")
+        stored = self.spark.read.schema("sealed binary, batch long").option("basePath", f"{self.root}/quarantine")
+        rows = stored.parquet(*[f"{self.root}/quarantine/batch={b}" for b in batches])
+        plain = crypto.open_or_fail(F.col("sealed"), key.key("bad"), crypto.utf8(F.lit("quarantine"))).cast("string")
+        return rows.select("batch", F.from_json(plain, "value string, fault string").alias("line")).select("batch", "line.*")
 
     def reindex(self, secrets: Secrets) -> UpsertReport:
         """Build the index again from the sealed records alone, as one batch.
 
-        Searches go on with the old index until the new one is complete.
+        Searches go on with the old index until the new one is complete. It is
+        numbered as the last batch it covers, and a covered batch that runs again
+        has the index rebuilt: neither can overwrite or double what it holds.
         """
+        covered = self.records.batches()
         store = self.index_store.begin()
-        report = self._index(store, None, self.records.headers(), secrets, None)
+        report = self._index(store, None, self.records.headers(), secrets, max(covered, default=1))
+        self._mark_covered(covered)
         store.publish()
         return report
 
+    def _mark_covered(self, batches: list[int]) -> None:
+        marked = self.spark.createDataFrame([(b,) for b in batches], "batch long")
+        marked.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/covered/state=1")
+
+    def _covered(self) -> set[int]:
+        """Batches that a rebuilt index holds in its own first batch."""
+        if not published_folders(self.spark, f"{self.root}/covered", "state"):
+            return set()
+        return {r["batch"] for r in self.spark.read.schema("batch long").parquet(f"{self.root}/covered/state=1").collect()}
+
     def _index(self, store: IndexStore, batches: list[int] | None, classes: DataFrame, secrets: Secrets,
                batch: int | None) -> UpsertReport:
         writer = secrets.writer()

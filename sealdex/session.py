@@ -70,9 +70,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def staging(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Like :func:`staged`, for tables of one job that go away when it is done."""
     root = scratch_path(spark, name)
-    yield lambda df, table: _write_table(df, f"{root}/{table}")
-    path, fs = _resolve(spark, root)
-    fs.delete(path, True)
+    try:
+        yield lambda df, table: _write_table(df, f"{root}/{table}")
+    finally:
+        path, fs = _resolve(spark, root)
+        fs.delete(path, True)
 
 
 def _write_table(df: DataFrame, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +28,7 @@ def stream_file_lines(spark: SparkSession, path: str, max_files_per_batch: int |
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     return reader.load(path).select(
         "value",
+        F.col("_metadata.file_modification_time").alias("modified"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
     )
@@ -36,7 +38,8 @@ def stream_file_lines(spark: SparkSession, path: str, max_files_per_batch: int |
 class LineOrder:
     """Columns that order lines, within groups that are ordered on their own.
 
-    Files form one sequence, by path and place. A topic is ordered only within
+    Files form one sequence, by age, path and place, which is the order in which
+    batches take them too, so the end does not depend on their size. A topic is ordered only within
     each partition, so there the end line cuts each partition by itself.
     """
 
@@ -44,7 +47,7 @@ class LineOrder:
     within: tuple[str, ...] = ()
 
 
-FILE_ORDER = LineOrder(("path", "block"))
+FILE_ORDER = LineOrder(("modified", "path", "block"))
 TOPIC_ORDER = LineOrder(("offset",), within=("partition",))
 
 
@@ -74,9 +77,14 @@ class StreamState:
 
     batches: list[int] = field(default_factory=list)
     records: int = 0
+    rejected: int = 0
     ended: bool = False
 
 
+class StreamEndedError(Exception):
+    """Keeps a batch behind the end line from being committed: a later run reads it."""
+
+
 def ingest_stream(vault: Vault, lines: DataFrame, secrets: Secrets, checkpoint: str,
                   order: LineOrder = FILE_ORDER, epoch: str = "stream", first_batch: int = 1,
                   available_now: bool = False, interval: str = POLL_INTERVAL,
@@ -86,13 +94,14 @@ def ingest_stream(vault: Vault, lines: DataFrame, secrets: Secrets, checkpoint:
     Micro-batch ``i`` always becomes vault batch ``first_batch + i``, which
     replaces itself when it runs again after a failure. The interval is also the
     age at which a new set of record files begins. Once an end line arrives, the
-    lines after it are ignored and :func:`run_to_end` stops the query.
+    lines after it in its batch are ignored, later batches are not committed and
+    :func:`run_to_end` stops the query. Lines that are no records are quarantined.
     """
     state = StreamState()
 
     def one_batch(batch: DataFrame, number: int) -> None:
         if state.ended:
-            return
+            raise StreamEndedError("the end line came in an earlier batch")
         # Read the source once; looking for the end line and sealing share it.
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -104,6 +113,7 @@ def ingest_stream(vault: Vault, lines: DataFrame, secrets: Secrets, checkpoint:
             batch.unpersist()
         state.batches.append(report.batch)
         state.records += report.records
+        state.rejected += report.rejected
         # Last, because whoever watches the state stops the query on it.
         state.ended = ended
 
@@ -114,10 +124,14 @@ def ingest_stream(vault: Vault, lines: DataFrame, secrets: Secrets, checkpoint:
 
 def run_to_end(query: StreamingQuery, state: StreamState, poll_seconds: int = 1) -> StreamState:
     """Wait until the source is drained or an end line was seen."""
-    while not query.awaitTermination(poll_seconds):
-        if state.ended:
-            query.stop()
-            break
+    try:
+        while not query.awaitTermination(poll_seconds):
+            if state.ended:
+                query.stop()
+                break
+    except StreamingQueryException:
+        if not state.ended:
+            raise
     return state
 
 

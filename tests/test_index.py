@@ -197,6 +197,22 @@ def test_stale_writer_is_refused_and_retried(spark):
     }
 
 
+def test_a_retry_leaves_later_batches_alone(spark):
+    store = new_store(spark)
+    index = SealedIndex(store, SECRETS.writer())
+    index.upsert(rows_of(spark, {b"document-1": ["old", "shared"]}), 1)
+    seen = current_revisions(store.entries(before=1))
+    index.upsert(rows_of(spark, {b"document-3": ["later"]}), 3)
+    report = index.upsert(rows_of(spark, {b"document-2": ["old", "shared"]}), 2, base=seen)
+    assert (report.batch, report.conflicts) == (2, 2)
+    got = postings_of(SealedIndex(store, SECRETS.reader()).lookup(["old", "shared", "later"]))
+    assert {w: sorted(u) for w, u in got.items()} == {
+        "old": [b"document-1", b"document-2"],
+        "shared": [b"document-1", b"document-2"],
+        "later": [b"document-3"],
+    }
+
+
 def test_boolean_search_against_brute_force(spark):
     docs = _random_docs(500, 6)
     store = new_store(spark)

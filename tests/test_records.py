@@ -199,3 +199,11 @@ def test_counter_and_stage_metrics(spark):
 def test_ingest_times_its_stages(people_vault):
     totals = metrics.stage_totals(people_vault.clock.timings()).collect()
     assert {r.stage for r in totals} >= {"headers", "records", "index"}
+
+
+def test_record_ids_beyond_a_million_tasks(spark):
+    from sealdex.functions.uid import file_name, partition_of
+
+    numbers = [0, 7, 999_999, 1_000_000, 1_000_001, 10_000_000]
+    names = [r.f for r in spark.createDataFrame([(n,) for n in numbers], "n int").select(file_name(3, F.col("n")).alias("f")).collect()]
+    assert len(set(names)) == len(numbers) and [partition_of(n) for n in names] == numbers and names[1] == "0000000003-000007"

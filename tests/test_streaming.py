@@ -1,5 +1,6 @@
 import time
 
+import pytest
 from conftest import SECRETS, make_people
 from pyspark.sql import functions as F
 
@@ -80,12 +81,39 @@ def test_stream_stops_at_the_end_line(spark, tmp_path):
 
 
 def test_cut_of_ordered_files(spark):
-    rows = [("b", 0, "late"), ("a", 0, "first"), ("a", 64, END_LINE), ("a", 32, "second"), ("a", 96, "third")]
-    batch = spark.createDataFrame(rows, "path string, block long, value string")
+    rows = [
+        (2, "b", 0, "late"), (2, "a", 0, "first"), (2, "a", 64, END_LINE), (2, "a", 32, "second"), (2, "a", 96, "third"),
+        (1, "z", 0, "older"), (3, "A", 0, "newer"),
+    ]
+    batch = spark.createDataFrame(rows, "modified long, path string, block long, value string")
     kept, ended = before_end(batch, FILE_ORDER)
-    assert sorted(r.value for r in kept.collect()) == ["first", "second"] and ended
+    assert sorted(r.value for r in kept.collect()) == ["first", "older", "second"] and ended
     kept, ended = before_end(batch.where(F.col("value") != END_LINE), FILE_ORDER)
-    assert kept.count() == 4 and not ended
+    assert kept.count() == 6 and not ended
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_end_is_the_same_for_any_batch_size(spark, tmp_path, files):
+    """The older file is the later one by name; what follows the end in later batches is left to a later run."""
+    rows = make_people(18)
+    lines = _lines(spark, rows)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "2.txt").write_text("\n".join([*lines[:8], "no record", END_LINE]) + "\n")
+    time.sleep(1.1)
+    (folder / "1.txt").write_text("\n".join(lines[8:]) + "\n")
+    vault, progress = Vault(spark, scratch_path(spark, "sizes"), PEOPLE), scratch_path(spark, "progress")
+
+    def run():
+        query, state = ingest_stream(vault, stream_file_lines(spark, str(folder), files), SECRETS, progress, available_now=True)
+        return run_to_end(query, state)
+
+    state = run()
+    assert (state.ended, state.records, state.rejected) == (True, 8, 1)
+    assert [r.value for r in vault.rejected(SECRETS).collect()] == ["no record"]
+    if files:
+        later = run()
+        assert (later.ended, later.records) == (False, 10)
 
 
 def test_cut_of_topic_partitions(spark):

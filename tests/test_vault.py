@@ -162,6 +162,35 @@ def test_batches_add_up_and_reindex_rebuilds(spark):
     assert found() == want
 
 
+def test_a_covered_batch_may_run_again(spark):
+    rows = make_people(40)
+    vault = Vault(spark, scratch_path(spark, "covered"), PEOPLE)
+    parts = [spark.createDataFrame(p, PEOPLE.schema()) for p in (rows[:20], rows[20:])]
+    for number, part in enumerate(parts, 1):
+        vault.ingest(part, SECRETS, batch=number)
+    vault.reindex(SECRETS)
+    keys = _keys(vault, "SuperAdmin")
+    for number, part in enumerate(parts, 1):
+        vault.ingest(part, SECRETS, batch=number)
+        found = vault.search(["country=france", "country=spain", "country=germany"], SECRETS.reader(), keys, True).counts().first()
+        assert tuple(found) == (40, 40)
+    assert vault.ingest(parts[0], SECRETS).batch == 3
+    assert tuple(vault.search(["country=france"], SECRETS.reader(), keys).counts().first()) == (14 + 7, 14 + 7)
+
+
+def test_bad_lines_are_kept(spark):
+    rows = make_people(20)
+    good = [r.value for r in record_lines(spark.createDataFrame(rows, PEOPLE.schema()), PEOPLE).collect()]
+    lines = spark.createDataFrame([(v,) for v in [*good, "{", "plain", good[0][:-5], '{"firstName":"x"}']], "value string")
+    vault = Vault(spark, scratch_path(spark, "bad"), PEOPLE)
+    report = vault.ingest_lines(lines, SECRETS)
+    assert (report.records, report.rejected) == (20, 4)
+    kept = {(r.batch, r.value) for r in vault.rejected(SECRETS).collect()}
+    assert kept == {(1, "{"), (1, "plain"), (1, good[0][:-5]), (1, '{"firstName":"x"}')}
+    stored = spark.read.parquet(f"{vault.root}/quarantine").collect()
+    assert not any(b"plain" in bytes(r.sealed) for r in stored)
+
+
 def test_ingesting_a_batch_again_replaces_it(spark):
     rows = make_people(30)
     vault = Vault(spark, scratch_path(spark, "again"), PEOPLE)
