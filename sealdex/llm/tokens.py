@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Distinct words remembered by a worker before it starts afresh.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 
 #: White space of Unicode. ``str.split`` also cuts at \x1c to \x1f.
 _BLANKS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
