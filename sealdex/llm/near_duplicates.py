@@ -247,6 +247,8 @@ def near_duplicate_groups(
     # of a family of near copies the one they were copied from.
     degrees = write(sized.groupBy("class").agg(F.sum("size").alias("degree")))
     members = write(sized.select("key", "class").join(degrees, "class"))
+    # Whole texts are needed again only of classes that meet another; all later passes read these.
+    plain = write(plain.join(degrees.select(F.col("class").alias("id")), "id", "left_semi"))
     pivots = write(members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("class")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("pivot")))
 
     star = members.join(pivots, "key").where("class <> pivot")
