@@ -55,8 +55,6 @@ class _Model:
         self.second = np.zeros(self.lanes << _ORDER2_BITS, np.int32)
         # How often order 2, order 1 and order 0 were the first to be right.
         self.wins = np.tile(np.array([1, 1, 4], np.int64), self.lanes * _STATES)
-        self.seen = np.zeros(self.lanes * vocabulary, np.uint16)
-        self.counted = 0
         self.flat = np.empty(self.lanes * (vocabulary + 1), np.int32)
 
     def generations(self):
@@ -76,12 +74,14 @@ class _Model:
         vocabulary, grid = self.vocabulary, self.flat.reshape(self.lanes, -1)
         even = int(_EVEN_SHARE[step] * (1 << _SCALE_BITS) / vocabulary)
         each = ((1 << _SCALE_BITS) - even * vocabulary) // step if step else 0
-        np.add.at(self.seen, (self.lane * vocabulary + self.ids[self.counted : step]).reshape(-1), np.uint16(1))
-        self.counted = step
         grid[:, 0] = self.lane_scale
-        seen = self.seen.reshape(self.lanes, -1)
         for low in range(0, self.lanes, 16):
-            part = seen[low : low + 16] * np.int32(each) + np.int32(even)
+            own = self.ids[:step, low : low + 16]
+            lanes = own.shape[1]
+            seen = np.bincount((own + self.lane[:lanes] * vocabulary).reshape(-1), minlength=lanes * vocabulary)
+            part = seen.astype(np.int32).reshape(lanes, -1)
+            part *= np.int32(each)
+            part += np.int32(even)
             part[:, 0] += self.lane_scale[low : low + 16].astype(np.int32)
             np.cumsum(part, axis=1, out=grid[low : low + 16, 1:])
         self.coarse = np.ascontiguousarray(grid[:, :vocabulary : 1 << _COARSE_BITS])
@@ -180,7 +180,7 @@ def _carried(words: np.ndarray) -> bytes:
 
 def _decode_group(payloads: list[bytes], steps: int, short: int, vocabulary: int) -> np.ndarray:
     lanes = len(payloads)
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.int32)
     model = _Model(ids, vocabulary)
     width = max(len(p) for p in payloads) // 4 + 4
     words = np.zeros((lanes, width), np.uint64)
@@ -233,6 +233,15 @@ def block_ids(count: int) -> int:
     return min(BLOCK_IDS, max(LEAST_BLOCK_IDS, -(-count // LANES // LEAST_BLOCK_IDS) * LEAST_BLOCK_IDS))
 
 
+def _in_step(ids: np.ndarray, lanes: int, size: int) -> np.ndarray:
+    """(step, block): the first ids of all blocks, then the second ones."""
+    grid = np.zeros((size if lanes > 1 else len(ids), lanes), np.int32)
+    for lane in range(lanes):
+        block = ids[lane * size : (lane + 1) * size]
+        grid[: len(block), lane] = block
+    return grid
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A segment: header, one (bytes, checksum) entry a block, the blocks."""
     ids = np.ascontiguousarray(ids, "<u4")
@@ -244,10 +253,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         own = ids[low : low + size * LANES]
         lanes = -(-len(own) // size)
         short = len(own) - (lanes - 1) * size
-        grid = np.zeros(lanes * size, np.int64)
-        grid[: len(own)] = own
-        steps = size if lanes > 1 else short
-        for i, payload in enumerate(_encode_group(np.ascontiguousarray(grid.reshape(lanes, size).T[:steps]), short, vocabulary)):
+        for i, payload in enumerate(_encode_group(_in_step(own, lanes, size), short, vocabulary)):
             entries.append(struct.pack("<II", len(payload), zlib.crc32(own[i * size : (i + 1) * size].tobytes())))
             payloads.append(payload)
     return MAGIC + struct.pack("<IIQ", vocabulary, size, len(ids)) + b"".join(entries) + b"".join(payloads)

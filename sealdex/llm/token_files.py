@@ -27,6 +27,8 @@ from sealdex.session import scratch_path
 END_ID = 1
 #: Bytes of text encoded at once.
 BATCH_BYTES = 1 << 20
+#: Rows turned into Python values at once.
+_ROWS_AT_ONCE = 256
 
 _FILE = "part int, segment int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, coded binary"
 _READ = "part int, segment int, doc_id long, offset long, n_tokens long, ids_crc32 long"
@@ -49,7 +51,16 @@ def _rows(batches: Iterator[pa.RecordBatch], part: list) -> Iterator[tuple[int,
     for batch in batches:
         if batch.num_rows:
             part[:] = [batch.column(2)[0].as_py()]
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        for low in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            some = batch.slice(low, _ROWS_AT_ONCE)
+            yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Segments one by one: a batch holds many, and each is some megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _coded(path: str, end_id: int):
@@ -60,6 +71,7 @@ def _coded(path: str, end_id: int):
 
         def row():
             ids = np.concatenate(parts)
+            parts.clear()
             return pa.RecordBatch.from_pylist(
                 [{"part": part[0], "segment": segment, "doc_ids": docs, "doc_tokens": counts, "n_tokens": len(ids), "coded": range_coder.encode(ids, vocabulary)}],
                 schema=pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("coded", pa.binary())]),
@@ -96,35 +108,33 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = range_coder.decode(row["coded"])
-            counts = np.array(row["doc_tokens"], np.int64)
-            ends = np.cumsum(counts)
-            if len(ids) != row["n_tokens"] or ends[-1] != len(ids):
-                raise ValueError(f"segment {row['part']}, {row['segment']} does not hold its documents")
-            body = memoryview(ids.tobytes())
-            crc = [zlib.crc32(body[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            n = len(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())],
-                names=["part", "segment", "doc_id", "offset", "n_tokens", "ids_crc32"],
-            )
+    for row in _segments(batches):
+        ids = range_coder.decode(row["coded"])
+        counts = np.array(row["doc_tokens"], np.int64)
+        ends = np.cumsum(counts)
+        if len(ids) != row["n_tokens"] or ends[-1] != len(ids):
+            raise ValueError(f"segment {row['part']}, {row['segment']} does not hold its documents")
+        body = memoryview(ids).cast("B")
+        crc = [zlib.crc32(body[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        n = len(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())],
+            names=["part", "segment", "doc_id", "offset", "n_tokens", "ids_crc32"],
+        )
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document of the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = range_coder.decode(row["coded"])
-                bounds = np.r_[0, np.cumsum(row["doc_tokens"])].astype(np.int32)
-                n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(bounds[:-1].astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int64)))],
-                    names=["part", "segment", "doc_id", "offset", "ids"],
-                )
+        for row in _segments(batches):
+            ids = range_coder.decode(row["coded"])
+            bounds = np.r_[0, np.cumsum(row["doc_tokens"])].astype(np.int32)
+            n = len(bounds) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(bounds[:-1].astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int64)))],
+                names=["part", "segment", "doc_id", "offset", "ids"],
+            )
 
     files = spark.read.schema(_FILE).parquet(path)
     found = files.mapInArrow(run, "part int, segment int, doc_id long, offset long, ids array<long>")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -60,31 +60,46 @@ class Encoder:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self._stems: dict[str, bytes] = {}
         self.first, self.length, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        cut = []
+        # A stem or a tail is a word of its own, with the same ids: one memory holds all.
+        stems, tails = [], []
         for word in words:
             stem = word.rstrip(_TAIL)
             tail = word[len(stem) :]
             if not tail or not stem or not stem[-1].isalnum() or stem[-1] in _SPREADS or stem[-1] > _STABLE:
                 stem, tail = word, ""
-            cut.append((stem.lower() if stem.isascii() else stem, tail))
-        known = self._stems
-        fresh = list({p for pair in cut for p in pair if p not in known})
-        known.update((p, array("I", ids).tobytes()) for p, ids in zip(fresh, self._ids(fresh), strict=True))
-        ids = [known[a] + known[b] for a, b in cut]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        count, size = len(self.codes), int(lengths.sum())
+            stems.append(stem.lower() if stem.isascii() else stem)
+            tails.append(tail)
+        codes = self.codes
+        fresh = [p for p in {*stems, *tails} if p not in codes]
+        if fresh:
+            ids = self._ids(fresh)
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+            self._remember(fresh, np.fromiter(map(len, ids), np.int64, len(ids)), flat)
+        joined = [i for i, word in enumerate(words) if word != stems[i]]
+        if joined:
+            pieces = np.empty((len(joined), 2), np.int64)
+            pieces[:, 0] = [codes[stems[i]] for i in joined]
+            pieces[:, 1] = [codes[tails[i]] for i in joined]
+            self._remember([words[i] for i in joined], self.length[pieces].sum(1), self.flat[self._places(pieces.reshape(-1))[0]])
+
+    def _places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ids of some words in ``flat``, and where each word's end."""
+        ends = np.r_[0, np.cumsum(self.length[codes], dtype=np.int64)]
+        return np.arange(ends[-1]) + np.repeat(self.first[codes] - ends[:-1], self.length[codes]), ends
+
+    def _remember(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        count, size = len(self.codes), len(ids)
         while len(self.first) < count + len(words):
             self.first, self.length = np.resize(self.first, 2 * len(self.first)), np.resize(self.length, 2 * len(self.length))
         while len(self.flat) < self.used + size:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.length[count : count + len(words)] = lengths
         self.first[count : count + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + size] = np.frombuffer(b"".join(ids), np.uint32)
+        self.flat[self.used : self.used + size] = ids
         self.used += size
         self.codes.update(zip(words, range(count, count + len(words)), strict=True))
 
@@ -110,8 +125,7 @@ class Encoder:
             bounds = np.r_[0, np.cumsum([len(x) for x in ids], dtype=np.int64)]
             return np.array([i for x in ids for i in x], np.uint32), bounds
         codes, bounds = self.word_codes(texts)
-        ends = np.r_[0, np.cumsum(self.length[codes], dtype=np.int64)]
-        places = np.arange(ends[-1]) + np.repeat(self.first[codes] - ends[:-1], self.length[codes])
+        places, ends = self._places(codes)
         return self.flat[places], ends[bounds]
 
     def counts(self, texts: list[str]) -> list[int]:
