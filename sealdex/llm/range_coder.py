@@ -23,7 +23,7 @@ MAGIC = b"SDXR"
 #: Most and fewest ids of a block, and blocks that advance together.
 BLOCK_IDS = 8192
 LEAST_BLOCK_IDS = 1024
-LANES = 512
+LANES = 256
 #: Ids of a group: what a segment should hold at most for one pass.
 GROUP_IDS = BLOCK_IDS * LANES
 
