@@ -96,15 +96,18 @@ class RecordStore:
     def read_selected(self, hits: DataFrame) -> DataFrame:
         """Sealed records named by (file, pos) hits.
 
-        Few distinct files are passed to the scan by name, so other batches are
-        not listed and other files not opened. The semi-join decides either way.
+        Few distinct files are passed to the scan by name: only their batches'
+        folders are listed, and other files not opened. The semi-join decides either way.
         """
-        records = self.read()
         few = rows_if_few(hits.select("file").distinct(), FEW_FILES)
-        if few is not None:
+        if few is None:
+            records = self.read()
+        else:
             names = sorted(r["file"] for r in few)
-            in_batch = F.col("batch").isin(sorted({batch_of(n) for n in names}))
-            part = F.regexp_extract("_metadata.file_name", _PART_FILE, 1).cast("int")
-            in_part = part.isin(sorted({partition_of(n) for n in names}))
-            records = records.where(in_batch & in_part & F.col("file").isin(names))
+            held = {batch_of(n) for n in names}.intersection(self.batches())
+            records = self.read(sorted(held))
+            if held:
+                part = F.regexp_extract("_metadata.file_name", _PART_FILE, 1).cast("int")
+                in_part = part.isin(sorted({partition_of(n) for n in names}))
+                records = records.where(in_part & F.col("file").isin(names))
         return records.join(hits, ["file", "pos"], "left_semi")

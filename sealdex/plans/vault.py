@@ -63,10 +63,9 @@ class SearchResult:
 
     def counts(self) -> DataFrame:
         """One row: records found in the index, and those this user could open."""
-        opened = self.records.select("file", "pos", F.lit(1).alias("opened"))
-        return self.hits.join(opened, ["file", "pos"], "left").agg(
-            F.count(F.lit(1)).alias("found"), F.count("opened").alias("opened")
-        )
+        # Opened records are some of the hits, each once: two counts, no join.
+        opened = self.records.agg(F.count(F.lit(1)).alias("opened"))
+        return self.hits.agg(F.count(F.lit(1)).alias("found")).select("found", opened.scalar().alias("opened"))
 
 
 class Vault:
@@ -205,8 +204,10 @@ class Vault:
     def search(self, words, keys: ReaderKeys, user_keys: DataFrame | Keyring,
                disjunction: bool = False) -> SearchResult:
         """Matching records, as far as the user's keys open them."""
-        hits = staged(self.find(words, keys, disjunction), "hits")
-        chosen = self.records.read_selected(hits)
+        with self.clock.stage("find"):
+            hits = staged(self.find(words, keys, disjunction), "hits")
+        with self.clock.stage("choose files"):
+            chosen = self.records.read_selected(hits)
         return SearchResult(hits, sealing.open_records(chosen, self._keyring(user_keys), self.spec))
 
     def open_all(self, user_keys: DataFrame | Keyring) -> DataFrame:

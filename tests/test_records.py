@@ -49,6 +49,19 @@ def test_search_opens_only_the_files_that_hold_hits(spark):
     assert opened.count() == result.hits.count()
 
 
+def test_search_lists_only_the_batches_that_hold_hits(spark):
+    rows = make_people(40)
+    here = [r for r in rows if r[0] == rows[5][0]]
+    vault = Vault(spark, scratch_path(spark, "batches"), PEOPLE)
+    for some in (here, [r for r in rows if r not in here]):
+        vault.ingest(spark.createDataFrame(some, PEOPLE.schema()), SECRETS)
+    keys = vault.user_keys(SECRETS, people_rules()["SuperAdmin"])
+    result = vault.search([f"first={rows[5][0].lower()}"], SECRETS.reader(), keys)
+    paths = [p for p in vault.records.read_selected(result.hits).inputFiles() if "/records/" in p]
+    assert paths and all("/batch=1/" in p for p in paths)
+    assert result.counts().first().found == len(here) < len(rows)
+
+
 def test_records_roll_to_new_files_by_size(spark):
     rows = make_people(3000)
     root = scratch_path(spark, "roll")
