@@ -141,8 +141,11 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(data: np.ndarray, order: np.ndarray, bounds: np.ndarray, most: int) -> np.ndarray:
     """Bytes (at most ``most``) that each suffix shares with the one before it in ``order``: Kasai's walk.
 
-    A suffix shares at most one byte less than the suffix a byte longer did, so
-    the walk never goes back. The contexts within ``bounds`` are walked in step.
+    A suffix shares at least one byte less than the suffix a byte longer did, so
+    the walk never goes back. Of suffixes that share ``most`` bytes the order may
+    be unsettled, and then says nothing of the suffixes a byte shorter: unless
+    these follow one another again, the walk starts anew. The contexts within
+    ``bounds`` are walked in step.
     """
     n = len(data)
     padded = np.r_[data, np.zeros(most + 16, np.uint8)].astype(np.uint64)
@@ -155,13 +158,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, bounds: np.ndarray, mos
     sizes = np.diff(bounds)
     lanes = np.argsort(-sizes, kind="stable")
     starts, sizes = bounds[:-1][lanes], sizes[lanes]
-    height = np.zeros(len(lanes), np.int64)
+    height, last = np.zeros(len(lanes), np.int64), np.full(len(lanes), -1)
     for step in range(int(sizes.max(initial=0))):
         active = int(np.searchsorted(-sizes, -step, "left"))
         at = starts[:active] + step
         other = before[at]
         h = np.maximum(height[:active] - 1, 0)
-        h[other < 0] = 0
+        h[(other < 0) | ((height[:active] >= most) & (other != last[:active] + 1))] = 0
         go = np.flatnonzero((other >= 0) & (h < most))
         while len(go):
             differ = word[at[go] + h[go]] ^ word[other[go] + h[go]]
@@ -171,7 +174,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, bounds: np.ndarray, mos
             go = go[same & (h[go] < most)]
         # Bytes after the end are not bytes.
         h = np.minimum(np.minimum(h, n - np.maximum(at, other)), most)
-        height[:active] = h
+        height[:active], last[:active] = h, other
         shared[at] = h
     return shared
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,6 +91,24 @@ def test_suffix_order_and_common_prefixes():
             assert shared[b] == k
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_families_that_differ_beyond_the_sorted_depth(seed):
+    """Contexts that agree in 257 to 330 bytes: ties of the order, which must not lend their height to other suffixes."""
+    draw, length = random.Random(seed), 200
+    letters = lambda n: bytes(draw.choice(b"abc") for _ in range(n))
+    bodies = []
+    for _ in range(10):
+        passage = letters(draw.randrange(257, 331))
+        bodies += [letters(draw.randrange(40)) + passage + letters(draw.randrange(20, 60)) for _ in range(4)]
+    bodies += [letters(400) for _ in range(20)]
+    draw.shuffle(bodies)
+    bounds = np.r_[0, np.cumsum([len(b) for b in bodies])]
+    windows = {(i, k): b[k : k + length] for i, b in enumerate(bodies) for k in range(len(b) - length + 1)}
+    counts = Counter(windows.values())
+    want = sorted(bounds[i] + k for (i, k), w in windows.items() if counts[w] > 1)
+    assert np.flatnonzero(repeats.repeated_windows(np.frombuffer(b"".join(bodies), np.uint8), bounds, length)).tolist() == want
+
+
 def test_query(shipped):
     rows = [(r.doc_id, r.text) for r in shipped.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op8_repeats"](shipped, SF_DIR).collect())) == sorted(brute(rows))
