@@ -1,15 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are folded: numbers, names and units become typed placeholders, all else
-its lower-case letters. Windows of the folded words, the templates, are
-hash-joined with those of the benchmark. Where a document holds enough of an
-item's windows on one alignment and the placeholders are filled consistently
-(equal fillers in the item stand for equal fillers in the document, and the
-other way round), it holds the item, if need be with other numbers and names.
+Words are read in three ways: as they stand, in lower-case letters; folded, with
+numbers, units and names (capitalised words inside a sentence) as typed
+placeholders; and folded with capitalised words as names wherever they stand.
+Windows of each reading are hash-joined with those of the benchmark. Where a
+document holds enough of an item's windows on one alignment, or on alignments a
+few words apart, and the placeholders are filled consistently (equal fillers in
+the item stand for equal fillers in the document, and the other way round), it
+holds the item, if need be with other numbers and names. Words as they stand
+need no placeholders, so a copy is found whatever its line ends and its case. A
+long unbroken run of an item's windows counts whatever the item's length.
 
 Cases: null or empty texts hold nothing, and items without a word cannot be
-held. An item of fewer words than a window is one window; below LEAST_WORDS words, or
-with less than half plain words, it is not looked for. Repeated rows of a document
+held. An item of fewer words than a window is one window; below LEAST_WORDS words it
+is not looked for. Windows with less than half plain words are looked for only as
+they stand, and an item of nothing else only as a whole. Repeated rows of a document
 count as one document, repeated items as one item. Documents without an id are
 never reported. With an empty benchmark, or no documents, there are no rows.
 """
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealdex.llm.words import mix, powers, prefix_hashes, row_slices, span_hashes, utf8_column, word_spans
@@ -29,6 +34,10 @@ from sealdex.session import scratch_path
 WINDOW = 8
 #: Share of an item's windows that a document must hold on one alignment.
 COVERAGE = 0.5
+#: Words of an unbroken run that is held whatever the item's length.
+LONG_RUN = 25
+#: Alignments that differ by up to half as many words, by words put in or left out, count together.
+NEARBY = 16
 #: Bits of the filter that windows pass before they are shuffled: a fixed size,
 #: whatever the benchmark's; more windows only let more pass.
 FILTER_BITS = 1 << 24
@@ -61,17 +70,21 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def canonical_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded word hashes, hashes of placeholder fillers (0: none), and rows.
+#: Readings of a window, as bits: a window that reads the same in several ways has all of theirs.
+AS_IT_STANDS, FOLDED, FOLDED_ANYWHERE = 1, 2, 4
+
+
+def canonical_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, placeholders (0: none), whether a capital opens a sentence there, and rows.
 
     A word is a run between blanks, stripped of all but letters and digits at
     both ends; runs of nothing else are skipped. A number is digits alone but
     for separators; a unit is a known unit straight after a number; a name is a
-    capitalised word inside a sentence.
+    capitalised word, for sure only inside a sentence.
     """
     starts, ends, rows = word_spans(data, bounds)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), rows
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), rows
     kept = (_LETTER | _DIGIT)[data]
     total = np.r_[0, np.cumsum(kept)]
     solid = total[ends] > total[starts]
@@ -82,7 +95,7 @@ def canonical_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     starts, ends, rows, opens = starts[solid], ends[solid], rows[solid], opens[solid]
     places = np.flatnonzero(kept)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), rows
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), rows
     first = places[np.searchsorted(places, starts)]
     last = places[np.searchsorted(places, ends) - 1] + 1
     inner = _FOLD[data]
@@ -98,39 +111,51 @@ def canonical_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     unit = follows & (_UNITS[place] == hashes)
     uppers = np.r_[0, np.cumsum(_UPPER[data])]
     capital = _UPPER[data[first]] & (uppers[last] - uppers[first] == 1) & (last - first > 1)
-    name = capital & ~opens
-    folded = np.where(number, _PLACEHOLDER["number"], np.where(unit, _PLACEHOLDER["unit"], np.where(name, _PLACEHOLDER["name"], hashes)))
-    return folded, np.where(number | unit | name, hashes | np.uint64(1), np.uint64(0)), rows
+    none = np.uint64(0)
+    holder = np.where(number, _PLACEHOLDER["number"], np.where(unit, _PLACEHOLDER["unit"], np.where(capital, _PLACEHOLDER["name"], none)))
+    return hashes, holder, capital & opens & ~number & ~unit, rows
+
 
+def windows(hashes: np.ndarray, holder: np.ndarray, opening: np.ndarray, rows: np.ndarray, width: int, whole_rows: bool, sparse: bool):
+    """Hash, readings, first word's index, fillers of the words, and whether dense: all windows of all readings.
 
-def windows(folded: np.ndarray, fillers: np.ndarray, rows: np.ndarray, width: int, short: bool):
-    """Hash, place in the row, first word's index and row of all windows with at least half plain words."""
-    n = len(folded)
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if n else np.zeros(0, np.int64)
-    count = np.diff(np.r_[first, n])
+    ``whole_rows``: only of rows of just so many words. ``sparse``: folded
+    windows need half plain words (those that may be names at the beginning of
+    a sentence count, but half of that must be sure).
+    """
+    m = len(hashes) - width + 1
+    if m <= 0:
+        return
+    inside = rows[:m] == rows[width - 1 :]
+    if whole_rows:
+        inside &= np.r_[True, rows[: m - 1] != rows[1:m]] & np.r_[rows[width:] != rows[: m - 1], True]
     step = powers(width + 1)
-    m = max(n - width + 1, 0)
-    total = np.zeros(m, np.uint64)
-    for j in range(width):
-        total += folded[j : j + m] * step[j + 1]
-    plain = np.r_[0, np.cumsum(fillers == 0)]
-    good = np.flatnonzero((rows[:m] == rows[width - 1 :]) & (plain[width:] - plain[:m] >= width / 2)) if m else np.zeros(0, np.int64)
-    begin = np.repeat(first, count)
-    out = [mix(total[good])], [good - begin[good]], [good], [rows[good]]
-    if short:
-        for k in np.flatnonzero((count < width) & (count >= LEAST_WORDS)):
-            own = folded[first[k] : first[k] + count[k]]
-            if (fillers[first[k] : first[k] + count[k]] == 0).sum() < count[k] / 2:
-                continue
-            value = mix((own * step[1 : len(own) + 1]).sum(dtype=np.uint64, keepdims=True))
-            out[0].append(value), out[1].append(np.zeros(1, np.int64)), out[2].append(first[k : k + 1]), out[3].append(rows[first[k] : first[k] + 1])
-    return tuple(np.concatenate(x) for x in out)
-
-
-_ROWS = "id long, key long, place long, fillers array<long>"
-
-
-def _emit(widths_of, accept):
+
+    def count(what: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(what)]
+        return total[width:] - total[:m]
+
+    sure = (holder != 0) & ~opening
+    names, opened = count(sure), count(opening)
+    dense = width - names < width / 2
+    readings = (
+        (np.zeros(len(holder), bool), inside, AS_IT_STANDS + FOLDED * (names == 0) + FOLDED_ANYWHERE * (names + opened == 0)),
+        (sure, inside & (names > 0) & ~(dense & sparse), FOLDED + FOLDED_ANYWHERE * (opened == 0)),
+        (holder != 0, inside & (opened > 0) & ~((dense | (width - names - opened < width / 4)) & sparse), np.full(m, FOLDED_ANYWHERE)),
+    )
+    for held, wanted, bits in readings:
+        folded = np.where(held, holder, hashes)
+        total = np.zeros(m, np.uint64)
+        for j in range(width):
+            total += folded[j : j + m] * step[j + 1]
+        good = np.flatnonzero(wanted)
+        yield mix(total[good]), bits[good], good, np.where(held, hashes | np.uint64(1), np.uint64(0)), dense[good]
+
+
+_ROWS = "id long, key long, readings long, place long, dense boolean, fillers array<long>"
+
+
+def _emit(widths_of, accept, sparse: bool):
     """Windows of the texts in all the widths asked for, those that ``accept`` lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,17 +163,22 @@ def _emit(widths_of, accept):
             data, bounds = utf8_column(batch, "text")
             for low, high in row_slices(bounds):
                 part = data[bounds[low] : bounds[high]]
-                folded, fillers, rows = canonical_words(part, bounds[low : high + 1] - bounds[low])
-                for width, short in widths_of:
-                    keys, place, at, row = windows(folded, fillers, rows, width, short)
-                    keep = np.flatnonzero(accept(keys))
-                    if not len(keep):
-                        continue
-                    own = [fillers[a : a + width][rows[a : a + width] == r].view(np.int64) for a, r in zip(at[keep], row[keep], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(low + row[keep])), pa.array(keys[keep].view(np.int64)), pa.array(place[keep]), pa.array([x.tolist() for x in own], pa.list_(pa.int64()))],
-                        names=["id", "key", "place", "fillers"],
-                    )
+                hashes, holder, opening, rows = canonical_words(part, bounds[low : high + 1] - bounds[low])
+                begin = np.searchsorted(rows, rows)
+                for width, whole_rows in widths_of:
+                    for keys, bits, at, fillers, dense in windows(hashes, holder, opening, rows, width, whole_rows, sparse):
+                        keep = np.flatnonzero(accept(keys))
+                        if not len(keep):
+                            continue
+                        at = at[keep]
+                        own = fillers.view(np.int64)[at[:, None] + np.arange(width)].reshape(-1)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column(0).take(pa.array(low + rows[at])), pa.array(keys[keep].view(np.int64)), pa.array(bits[keep], pa.int64()), pa.array(at - begin[at]),
+                                pa.array(dense[keep]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(own) + 1, width), pa.int32()), pa.array(own)),
+                            ],
+                            names=["id", "key", "readings", "place", "dense", "fillers"],
+                        )
 
     return run
 
@@ -172,7 +202,7 @@ def contaminated(
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL").distinct()
     everything = lambda keys: np.ones(len(keys), bool)
     known = write(
-        items.mapInArrow(_emit([(window, True)], everything), _ROWS).select(F.col("id").alias("item"), "key", F.col("place").alias("item_place"), F.col("fillers").alias("item_fillers")),
+        items.mapInArrow(_emit([(window, False), *((w, True) for w in range(LEAST_WORDS, window))], everything, True), _ROWS).select(F.col("id").alias("item"), "key", F.col("readings").alias("item_readings"), "dense", F.col("place").alias("item_place"), F.col("fillers").alias("item_fillers")),
         "items",
     )
     # Widths of the short items, at most window - 1 of them.
@@ -190,20 +220,38 @@ def contaminated(
         return (bits >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    found = plain.mapInArrow(_emit([(w, False) for w in widths], accept), _ROWS)
-    hits = write(found.join(known, "key").where(F.size("fillers") == F.size("item_fillers")).withColumn("shift", F.col("place") - F.col("item_place")), "hits")
-
-    totals = known.groupBy("item").agg(F.countDistinct("item_place").alias("windows"))
-    # One alignment of one item in one document; a window is counted once.
-    aligned = hits.groupBy("id", "item", "shift").agg(F.countDistinct("item_place").alias("matched"))
-    enough = aligned.join(totals, "item").where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
+    found = plain.mapInArrow(_emit([(w, False) for w in widths], accept, False), _ROWS).drop("dense")
+    met = found.join(known, "key").where(F.size("fillers") == F.size("item_fillers")).withColumn("both", F.col("readings").bitwiseAND(F.col("item_readings"))).where("both <> 0")
+    hits = write(met.select("id", "item", "item_place", "dense", "fillers", "item_fillers", "both", (F.col("place") - F.col("item_place")).alias("shift")), "hits")
+
+    # Each folding is judged with the windows found as they stand, and these by themselves.
+    judged = F.array(*[F.when(F.col("both").bitwiseAND(AS_IT_STANDS | bit) != 0, F.lit(bit)) for bit in (AS_IT_STANDS, FOLDED, FOLDED_ANYWHERE)])
+    judged = hits.withColumn("reading", F.explode(judged)).where(f"reading IS NOT NULL AND (reading = {AS_IT_STANDS} OR NOT dense)").drop("both")
+    isle = F.col("item_place") - F.dense_rank().over(Window.partitionBy("id", "item", "reading", "shift").orderBy("item_place"))
+    # One alignment, alignments of a stretch (two grids of stretches), or an unbroken run of one alignment.
+    groups = F.array(
+        F.struct(F.lit(0).alias("how"), F.col("shift").alias("at"), F.lit(0).cast("long").alias("isle")),
+        F.struct(F.lit(1).alias("how"), F.floor(F.col("shift") / NEARBY).alias("at"), F.lit(0).cast("long").alias("isle")),
+        F.struct(F.lit(2).alias("how"), F.floor((F.col("shift") + NEARBY // 2) / NEARBY).alias("at"), F.lit(0).cast("long").alias("isle")),
+        F.struct(F.lit(3).alias("how"), F.col("shift").alias("at"), F.col("isle").cast("long").alias("isle")),
+    )
+    grouped = judged.withColumn("isle", isle).withColumn("group", F.explode(groups)).drop("isle").select("*", "group.*").drop("group")
+    one = ["id", "item", "reading", "how", "at", "isle"]
+    totals = known.groupBy("item").agg(F.countDistinct("item_place").alias("all"), F.countDistinct(F.when(~F.col("dense"), F.col("item_place"))).alias("sparse"))
+    # A window is counted once.
+    places = grouped.groupBy(*one, "item_place").agg(F.min("shift").alias("shift"), F.max((~F.col("dense")).cast("int")).alias("plain"))
+    aligned = places.groupBy(*one).agg(F.count("*").alias("matched"), F.min("shift").alias("shift"), F.max("plain").alias("plain"))
+    aligned = aligned.join(totals, "item").withColumn("windows", F.when(F.col("reading") == AS_IT_STANDS, F.col("all")).otherwise(F.col("sparse")))
+    share = (F.col("matched") >= F.lit(coverage) * F.col("windows")) & ((F.col("plain") == 1) | (F.col("matched") == F.col("windows")))
+    long_run = (F.col("how") == 3) & (F.col("plain") == 1) & (F.col("matched") > LONG_RUN - window)
+    enough = write(aligned.where(share | long_run), "enough")
     slots = (
-        hits.join(enough.select("id", "item", "shift"), ["id", "item", "shift"], "left_semi")
-        .select("id", "item", "shift", F.explode(F.arrays_zip("fillers", "item_fillers")).alias("slot"))
-        .select("id", "item", "shift", F.col("slot.fillers").alias("got"), F.col("slot.item_fillers").alias("had"))
-        .where("got <> 0")
+        grouped.join(enough.select(*one), one, "left_semi")
+        .select(*one, F.explode(F.arrays_zip("fillers", "item_fillers")).alias("slot"))
+        .select(*one, F.col("slot.fillers").alias("got"), F.col("slot.item_fillers").alias("had"))
+        .where(f"got <> 0 AND reading <> {AS_IT_STANDS}")
         .distinct()
-        .groupBy("id", "item", "shift")
+        .groupBy(*one)
         .agg(
             F.count("*").alias("pairs"),
             F.countDistinct("got").alias("gots"),
@@ -211,8 +259,8 @@ def contaminated(
             F.max((F.col("got") != F.col("had")).cast("int")).alias("other"),
         )
     )
-    held = enough.join(slots, ["id", "item", "shift"], "left").where("pairs IS NULL OR (pairs = gots AND pairs = hads)")
-    best = held.groupBy("id", "item").agg(F.max(F.struct("matched", (-F.col("shift")).alias("back"), "windows", "other")).alias("best"))
+    held = enough.join(slots, one, "left").where("pairs IS NULL OR (pairs = gots AND pairs = hads)")
+    best = held.groupBy("id", "item").agg(F.max(F.struct("matched", (-F.col("how")).alias("single"), (-F.col("shift")).alias("back"), "windows", "other")).alias("best"))
     return best.select(
         F.col("id").alias("doc_id"),
         F.col("item").alias("item_id"),

@@ -28,6 +28,22 @@ def test_short_items(shipped):
     assert run(shipped, [(1, "so he said five little words here and left"), (2, "five little words there")], [(9, "five little words here and")]) == {(1, 9): False}
 
 
+def test_copies_however_they_are_set(shipped):
+    """Running text, other line ends, other case, dense items, a word put in, part of a long item."""
+    capital, dense = "What is the capital of France", "Anna Bert Carl 12 13 14 15 Dora 16 17 Emil 18"
+    long = " ".join(f"word{i} as{i}" for i in range(100))
+    wrapped = ITEM.replace(" Alice had", "\nAlice had").replace(" Bob", "\nBob").replace(" walked", "\nwalked")
+    medium = [f"of{i}x" for i in range(31)]
+    items = [(1, ITEM), (2, capital), (3, dense), (4, long), (5, " ".join(medium))]
+    docs = [
+        (1, f"as asked, {capital} and so on"), (2, f"he read: so {capital.upper()} again"), (3, wrapped), (4, ITEM.lower()), (5, ITEM.upper()),
+        (6, f"list {dense} end"), (7, "list " + dense[: len(dense) // 2]), (8, " ".join([*medium[:15], "really", *medium[15:]])),
+        (9, "so " + " ".join(long.split()[40:80]) + " end"), (10, "so " + " ".join(long.split()[40:55]) + " end"),
+    ]
+    got = run(shipped, docs, items)
+    assert got == {k: False for k in [(1, 2), (2, 2), (3, 1), (4, 1), (5, 1), (6, 3), (8, 5), (9, 4)]}
+
+
 def test_query_finds_planted_passages_and_nothing_else(shipped):
     docs = {r.doc_id: r.text for r in shipped.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in shipped.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()}
