@@ -14,7 +14,8 @@ in an article or main element stays, shared or not.
 Cases: null or empty html gives an empty text. A page alone on its host has no
 neighbour and loses no line by differencing. Unclosed, cut or stray tags do not
 fail. Nothing is learnt from a neighbour of the very same lines, as a repeated
-row is: no line goes on its account. An empty table gives no rows; pages
+row is: a run of such copies is one page, paired with the nearest different page
+of the host, so all copies lose the same lines. An empty table gives no rows; pages
 without a URL are paired with nothing.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealdex.session import scratch_path
@@ -218,50 +219,127 @@ def _parsed(bounds: list[tuple[str, str, int]], with_text: bool):
     return run
 
 
-def _text(row: dict, before: dict | None, after: dict | None) -> str:
-    """Text of a page by the neighbour with the longer common path; the one before on a tie."""
-    near = [x for x in (before, after) if x and x["host"] == row["host"] and row["host"] is not None and x["hashes"] != row["hashes"]]
-    lines = zip(row["lines"], row["states"], strict=True)
-    if not near:
-        return "\n".join(t for t, _ in lines)
-    other = max(near, key=lambda x: common_beginning(row["path"], x["path"]))
-    shared = shared_lines(np.array(row["hashes"], np.int64), np.array(other["hashes"], np.int64))
-    return "\n".join(t for (t, state), gone in zip(lines, shared, strict=True) if state == ARTICLE or not gone)
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range the first and last page, and the first and last that differ from these in host or lines."""
+    ends: dict[int, list[dict | None]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = ends.setdefault(row["range"], [None] * 4)
+            for at, sign in ((0, -1), (2, 1)):
+                most, other = own[at : at + 2]
+                beyond = lambda x: x is None or (_order(row) > _order(x)) - (_order(row) < _order(x)) == sign  # noqa: B023, E731
+                if beyond(most):
+                    own[at : at + 2] = [row, most if most and not _alike(row, most) else other]
+                elif not _alike(row, most) and beyond(other):
+                    own[at + 1] = row
+    out = [row | {"what": what} for own in ends.values() for what, row in enumerate(own) if row]
+    yield pa.RecordBatch.from_pylist(out, _LINES_ARROW.append(pa.field("what", pa.int32())))
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of pages that come in key order, range by range; ghosts are only neighbours."""
-    before = row = None
-    out: list[tuple] = []
+def _order(row: dict) -> tuple:
+    return (*_key(row["host"], row["path"], row["page_id"]), row["url"] or "", row["hashes"])
 
-    def done(before, row, after):
-        if row and not row["ghost"]:
-            same = lambda x: x if x and x["range"] == row["range"] else None
-            text = _text(row, same(before), same(after))
-            out.append((row["page_id"], row["url"], text, len(text)))
 
-    def packed():
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        out.clear()
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+def _alike(a: dict, b: dict) -> bool:
+    return a["host"] is not None and a["host"] == b["host"] and a["hashes"] == b["hashes"]
 
-    for batch in batches:
-        for after in batch.to_pylist():
-            done(before, row, after)
-            before, row = row, after
-            if len(out) == 1000:
-                yield packed()
-    done(before, row, None)
-    yield packed()
+
+def _around(ends: list[dict]) -> tuple[list[tuple[int, int, int]], dict[int, list]]:
+    """Ghosts (range, range and kind of the end it is), and of each range the paths by which its first and last run are judged.
+
+    ``ends`` has the ranges' ends in order, a digest for the lines. A run that
+    goes on in other ranges is judged by its pages nearest to its two borders.
+    """
+    pages: dict[int, dict[int, dict]] = {}
+    for e in ends:
+        pages.setdefault(e["range"], {})[e["what"]] = e
+    order = sorted(pages)
+    ghosts, judged = [], {r: [None, None] for r in order}
+    joined = [k + 1 < len(order) and _alike(pages[order[k]][2], pages[order[k + 1]][0]) for k in range(len(order))]
+    k = 0
+    while k + 1 < len(order):
+        # A border, or all borders that one run crosses.
+        last = k + 1
+        if joined[k]:
+            while 3 not in pages[order[last]] and joined[last]:
+                last += 1
+            paths = (pages[order[k]][2]["path"], pages[order[last]][0]["path"])
+            judged[order[k]][1] = judged[order[last]][0] = paths
+            for at in range(k + 1, last):
+                judged[order[at]] = [paths, paths]
+            # Different pages before and after the run, which may fill the first or the last range.
+            before = (order[k], 3) if 3 in pages[order[k]] else (order[k - 1], 2) if k else None
+            after = (order[last], 1) if 1 in pages[order[last]] else (order[last + 1], 0) if last + 1 < len(order) else None
+            ghosts += [(order[at], *before) for at in range(k + 1, last + 1) if before]
+            ghosts += [(order[at], *after) for at in range(k, last) if after]
+        else:
+            ghosts += [(order[last], order[k], 2), (order[k], order[last], 0)]
+        k = last
+    for r in order:
+        # A range that is one run is judged alike at both ends.
+        if 3 not in pages[r]:
+            both = judged[r][0] or judged[r][1]
+            judged[r] = [both, both]
+    return ghosts, {r: v for r, v in judged.items() if v != [None, None]}
+
+
+def _other_page(own: dict, before: dict | None, after: dict | None, paths: tuple[str, str]) -> dict | None:
+    """The neighbour with the longer common path; the one before on a tie."""
+    near = [(x, common_beginning(path, x["path"])) for x, path in zip((before, after), paths, strict=True) if x and x["host"] == own["host"] and own["host"] is not None]
+    return max(near, key=lambda x: x[1])[0] if near else None
+
+
+def _paired(judged: dict[int, list]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of pages that come in key order, range by range; ghosts are only neighbours."""
+        # The page before the copies at hand, the first of them, and what the texts of all of them need.
+        before = first = None
+        copies: list[tuple] = []
+        head = True
+        out: list[tuple] = []
+
+        def done(after):
+            if not copies:
+                return
+            own = judged.get(first["range"], (None, None))
+            tail = after is None or after["ghost"]
+            paths = (head and own[0]) or (tail and own[1]) or (copies[0][2], copies[-1][2])
+            other = _other_page(first, before, after, paths)
+            shared = shared_lines(np.array(first["hashes"], np.int64), np.array(other["hashes"], np.int64)) if other else [False] * len(first["lines"])
+            for page, url, _, states in copies:
+                text = "\n".join(t for t, state, gone in zip(first["lines"], states, shared, strict=True) if state == ARTICLE or not gone)
+                out.append((page, url, text, len(text)))
+                if len(out) == 1000:
+                    yield packed()
+
+        def packed():
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            out.clear()
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                fresh = first is not None and row["range"] != first["range"]
+                if first is None or fresh or first["ghost"] or row["ghost"] or not _alike(row, first):
+                    yield from done(None if fresh else row)
+                    head = first is None or fresh or (first["ghost"] and not copies and head)
+                    before, first, copies = (None if fresh else first), row, []
+                if not row["ghost"]:
+                    states = first["states"] if row["states"] == first["states"] else row["states"]
+                    copies.append((row["page_id"], row["url"], row["path"], states))
+        yield from done(None)
+        yield packed()
+
+    return run
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
     Pages are dealt out by ranges of (host, path, id), so a host of any size is
-    many tasks. A range gets the last page of the range before it and the first
-    of the one after as ghosts: one page a range, found by an aggregate.
+    many tasks. A range gets the nearest different pages before and after it as
+    ghosts: two pages a range, found by an aggregate.
     """
     spark = pages.sparkSession
     url = F.col(url_col)
@@ -278,19 +356,16 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     keys = sorted(_key(*r) for r in drawn)
     bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
-    key = F.struct("host", "path", "page_id", "url", "hashes")
-    light = raw.mapInArrow(_parsed(bounds, False), _LINES)
-    ends = light.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    light = raw.mapInArrow(_parsed(bounds, False), _LINES).mapInArrow(_ends, f"{_LINES}, what int")
+    ends = light.groupBy("range").applyInArrow(lambda t: pa.Table.from_batches(_ends(t.drop_columns("what").to_batches())), f"{_LINES}, what int")
     path = scratch_path(spark, "page-ranges")
     ends.write.parquet(path)
     ends = spark.read.schema(ends.schema).parquet(path)
-    in_order = Window.orderBy("range")
-    around = ends.select("range", F.lag("last").over(in_order).alias("before"), F.lead("first").over(in_order).alias("after"))
-    across = around.select("range", F.explode(F.array("before", "after")).alias("end")).where("end IS NOT NULL")
-    ghosts = across.select(
-        "range", F.lit(True).alias("ghost"), "end.host", "end.path", "end.page_id", "end.url",
-        F.lit(None).cast("array<string>").alias("lines"), F.lit(None).cast("array<byte>").alias("states"), "end.hashes",
-    )
+    # The driver sees four paths and digests a range.
+    digest = F.md5(F.concat_ws(",", F.col("hashes").cast("array<string>"))).alias("hashes")
+    around, judged = _around([r.asDict() for r in ends.select("range", "what", "host", "path", digest).collect()])
+    at = spark.createDataFrame(around, "for int, range int, what int")
+    ghosts = ends.join(at, ["range", "what"]).select(F.col("for").alias("range"), F.lit(True).alias("ghost"), *_LINES_ARROW.names[2:])
     together = raw.mapInArrow(_parsed(bounds, True), _LINES).unionByName(ghosts)
     ordered = together.repartition("range").sortWithinPartitions("range", "host", "path", "page_id", "ghost", "url", "hashes")
-    return ordered.mapInArrow(_paired, "page_id long, url string, text string, n_chars long")
+    return ordered.mapInArrow(_paired(judged), "page_id long, url string, text string, n_chars long")

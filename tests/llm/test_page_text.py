@@ -50,6 +50,19 @@ def test_shared_lines_of_plain_pages_go(shipped):
     assert got[90] == got[91] == whole.format(9) and got[94] == whole.format(5) and got[92] == got[93] == "" and got[None] in ("a", "a<")
 
 
+def test_copies_lose_the_lines_of_one_other_page(shipped):
+    """Runs of copies, within a range and across many: each copy gets the same text, as the first and last do."""
+    plain = "<div>Our site</div><p>Body {0}</p><div>Imprint</div>"
+    rows = [(0, "http://h.example/a", plain.format(0)), (900, "http://h.example/c", plain.format(900))]
+    rows += [(i, f"http://h.example/b?id={i}", plain.format("same")) for i in range(1, 300)]
+    rows += [(1000 + i, f"http://k.example/{i:03}", plain.format("all")) for i in range(100)] + [(1100, "http://k.example/z", plain.format("z"))]
+    rows += [(2000 + i, f"http://only.example/{i:03}", plain.format("only")) for i in range(100)]
+    got = texts(shipped, rows)
+    assert {got[i] for i in range(1, 300)} == {"Body same"} and got[0] == "Body 0" and got[900] == "Body 900"
+    assert {got[1000 + i] for i in range(100)} == {"Body all"} and got[1100] == "Body z"
+    assert {got[2000 + i] for i in range(100)} == {"Our site\nBody only\nImprint"}
+
+
 def test_articles_printed_twice_stay(shipped):
     page = "<div>Our site</div><article><p>The same article</p></article>"
     assert texts(shipped, [(1, "http://h.example/a", page + "<i>x</i>"), (2, "http://h.example/b", page)])[2] == "The same article"
