@@ -45,9 +45,17 @@ _RAW = frozenset("script style noscript template iframe svg math object canvas t
 _OTHER = frozenset("nav aside footer form button select dialog menu head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ARTICLE = frozenset(["article", "main"])
-#: Words of class, id and role that say the same.
+#: Elements that hold the article: a mark tells what stands in or beside it, not that it goes.
+_WHOLE = _ARTICLE | {"html", "body"}
+#: Blocks that end an element of these kinds which was not closed, if they stand in the same of the other blocks.
+_PARAGRAPH_ENDS = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main menu nav ol p pre section summary table ul".split()
+)
+_ENDED_BY = {"p": _PARAGRAPH_ENDS, "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"])}
+#: Words of class, id and role that say the same, at the beginning of a token or after a word of place.
 _MARKS = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|aside|comments?|commentlist|disqus|replies|"
+    r"(?<![^\s])(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|entry|article|blog)[-_])*(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|aside|comments?|commentlist|disqus|replies|"
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|footer|masthead|site-header|page-header|"
     r"search|login|toolbar|widget|pagination|skip-link|contentinfo|complementary|hidden|legal|disclaimer)(?![a-z])",
     re.I,
@@ -96,20 +104,26 @@ def lines_of(source: str) -> list[tuple[str, int]]:
             continue
         if name in _BLOCKS or name in _OTHER:
             flush()
+            for i in range(len(stack) - 1, -1, -1):
+                if name in _ENDED_BY.get(stack[i][0], ()):
+                    state = stack[i][1]
+                    del stack[i:]
+                elif stack[i][0] in _BLOCKS and stack[i][0] not in ("div", "address", "p") or stack[i][0] in _OTHER:
+                    break
         if name in _RAW:
             end = _CLOSE[name].search(source, place)
             if not m[3].rstrip().endswith("/"):
                 place = end.end() if end else len(source)
             continue
         if name in _VOID or m[3].rstrip().endswith("/") or name in ("p", "li", "b", "i", "span", "a"):
-            if not m[3] or not _other(m[3]) or name in _VOID:
+            if not m[3] or not _other(name, m[3]) or name in _VOID:
                 continue
         elif name not in _OTHER and name not in _BLOCKS and not m[3]:
             continue
         stack.append((name, state))
         if state != DROPPED:
             page_header = name == "header" and not any(x in _ARTICLE for x, _ in stack)
-            if name in _OTHER or page_header or (m[3] and _other(m[3])):
+            if name in _OTHER or page_header or (m[3] and _other(name, m[3])):
                 state = DROPPED
             elif name in _ARTICLE:
                 state = ARTICLE
@@ -117,9 +131,9 @@ def lines_of(source: str) -> list[tuple[str, int]]:
     return out
 
 
-def _other(attributes: str) -> bool:
+def _other(name: str, attributes: str) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
-        if key.lower() in ("class", "id", "role", "aria-label") and _MARKS.search("".join(values)):
+        if name not in _WHOLE and key.lower() in ("class", "id", "role", "aria-label") and _MARKS.search("".join(values)):
             return True
         if key.lower() == "style" and re.search(r"display\s*:\s*none", "".join(values), re.I):
             return True

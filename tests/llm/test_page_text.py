@@ -25,6 +25,23 @@ def test_markup():
     assert [t for t, _ in lines_of(PAGE)] == ["Main title", "First éé <b>bold text", "Second", "line", "one", "two", "Last"]
 
 
+def test_marks_that_tell_of_something_else():
+    text = lambda source: [t for t, _ in lines_of(source)]
+    for name in ("body", "main", "article", "html"):
+        for mark in ("has-sidebar", "no-sidebar", "with-related", "legal", "home sidebar"):
+            assert text(f'<{name} class="{mark}"><p>Text</p></{name}>') == ["Text"]
+    assert text('<div class="has-sidebar">Text</div><div id="layout-no-sidebar">more</div>') == ["Text", "more"]
+    assert text('<div class="x site-footer">a</div><div class="main_nav">b</div><div class="sidebar-left">c</div><p>Text') == ["Text"]
+
+
+def test_marked_elements_that_are_not_closed():
+    text = lambda source: [t for t, _ in lines_of(source)]
+    assert text('<div><p class="promo">Buy<p>One<p>Two</div>') == ["One", "Two"]
+    assert text('<div><p class="promo">Buy<br>now<div>One</div><p>Two</div>') == ["One", "Two"]
+    assert text('<ul><li class="share">Share<p>it</p><li>One<li>Two</ul>') == ["One", "Two"]
+    assert text('<ul><li class="share">Share<ul><li>a<li>b</ul><li>One</ul>') == ["One"]
+
+
 def test_subsequence_against_brute_force():
     draw = np.random.default_rng(2)
     for _ in range(300):
