@@ -40,6 +40,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.by_word = False
+        #: Strings that are one token wherever a text has them in just this case.
+        self.added: list[str] = []
         if path.endswith(".model"):
             import sentencepiece
 
@@ -55,7 +57,9 @@ class Encoder:
             self.vocabulary = tokenizer.get_vocab_size()
             self._ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             with open(path) as f:
-                self.by_word = _cut_at_blanks(json.load(f))
+                spec = json.load(f)
+            self.by_word = _cut_at_blanks(spec)
+            self.added = [t["content"] for t in spec["added_tokens"]]
         self._forget()
 
     def _forget(self) -> None:

@@ -70,6 +70,30 @@ def test_every_prefix(shipped, name):
     assert {r.doc_id: r.counts for r in rows} == {1: counts, 2: [0]}
 
 
+def unspaced(n, alphabet, seed=3):
+    draw = random.Random(seed)
+    return "".join(draw.choice(alphabet) for _ in range(n))
+
+
+@pytest.mark.parametrize("alphabet", ["中文字。，漢かなカ", "abYZ09+/=", "it'sd!{}();=1.", "<|endoftext|>!a'", "éÉe\u0301İı2.Σ'ſ🙂½가ᄀ"])
+def test_prefixes_of_long_words(alphabet):
+    own = encoder(VOCABULARY)
+    text = unspaced(150, alphabet) + "<|endoftext|>" + unspaced(150, alphabet, 4) + "<|endoftext|>x"
+    table = prefix_counts.PrefixTable(text, own)
+    counts = own.counts([text[:p] for p in range(len(text) + 1)])
+    assert [table.at(p) for p in range(len(text) + 1)] == counts
+    for budget in range(max(counts) + 1):
+        assert table.longest(budget) == max(p for p, n in enumerate(counts) if n <= budget)
+
+
+@pytest.mark.parametrize("alphabet", ["中文字。，漢かなカ", "abYZ09+/=", "中文字漢かなカ", "x"])
+def test_unspaced_texts_of_100_000(shipped, alphabet):
+    text = unspaced(100_000, alphabet)
+    (row,) = prefix_counts.token_counts(shipped.createDataFrame(wide([(1, text)]), SCHEMA), VOCABULARY).collect()
+    assert row.n_tokens == len(ids_of(text)) and row.over_limit
+    assert len(ids_of(text[: row.fits_chars])) <= 2048 < len(ids_of(text[: row.fits_chars + 1]))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 1025, 70_000, 600_000])
 def test_coder_round_trip(n):
     draw = np.random.default_rng(n)
