@@ -77,6 +77,11 @@ class Encoder:
                 stem, tail = word, ""
             stems.append(stem.lower() if stem.isascii() else stem)
             tails.append(tail)
+        # The library looks for added strings before it folds case: words that may hold one stay as they are.
+        if self._may_hold_added("\n".join(words)):
+            for i, word in enumerate(words):
+                if self._may_hold_added(word):
+                    stems[i], tails[i] = word, ""
         codes = self.codes
         fresh = [p for p in {*stems, *tails} if p not in codes]
         if fresh:
@@ -90,6 +95,10 @@ class Encoder:
             pieces[:, 1] = [codes[tails[i]] for i in joined]
             self._remember([words[i] for i in joined], self.length[pieces].sum(1), self.flat[self._places(pieces.reshape(-1))[0]])
 
+    def _may_hold_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(c in low or c in text for c in self.added)
+
     def _places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the ids of some words in ``flat``, and where each word's end."""
         ends = np.r_[0, np.cumsum(self.length[codes], dtype=np.int64)]

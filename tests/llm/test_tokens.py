@@ -9,7 +9,7 @@ from llm_rows import SF_DIR, odd_rows, shipped  # noqa: F401
 
 from sealdex.llm import prefix_counts, range_coder, token_files
 from sealdex.llm.queries import QUERIES, VOCABULARY
-from sealdex.llm.tokens import encoder
+from sealdex.llm.tokens import Encoder, encoder
 
 SCHEMA = "doc_id long, text string, n_tokens string, start int"
 LIBRARY = Tokenizer.from_file(VOCABULARY)
@@ -39,6 +39,15 @@ def test_any_mixture_of_letters(alphabet):
         assert flat[bounds[i] : bounds[i + 1]].tolist() == ids_of(text), repr(text)
 
 
+def test_special_strings_in_another_case():
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|ENDOFTEXT|>.", "<|endoftext|> <|STARTOFTEXT|>!", "<|startoftext|>?", "<|ENDOFTEXT|><|endoftext|>"]
+    for some in (texts, texts[::-1]):
+        own = Encoder(VOCABULARY)
+        flat, bounds = own.encode(some)
+        for i, text in enumerate(some):
+            assert flat[bounds[i] : bounds[i + 1]].tolist() == ids_of(text), text
+
+
 def test_counts_of_odd_rows(shipped, odd_rows):
     got = prefix_counts.token_counts(shipped.createDataFrame(wide(odd_rows), SCHEMA), VOCABULARY, limit=100).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted(
