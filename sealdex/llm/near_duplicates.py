@@ -1,8 +1,8 @@
 """Near duplicates by SetSketch registers: banded, estimated by likelihood, verified on whole sets.
 
 A register holds the smallest of many exponential variates, one per shingle, on
-an exponentially spaced scale: ``floor(1 - log_b(min))``, truncated at both
-ends. Registers of two shards of a set merge by maximum. Two sets agree in a
+an exponentially spaced scale: ``floor(1 - log_b(min))``, shifted so that the
+largest possible variate has a level of its own, and truncated at both ends. Registers of two shards of a set merge by maximum. Two sets agree in a
 register with about the probability of their Jaccard similarity.
 
 Cases: a null or empty text, or one of separators only, has no shingle, is
@@ -43,6 +43,8 @@ BAND_ROWS = 4
 #: Spacing of the register scale.
 SPACING = 1.02
 _SCALE_TOP = (1 << 15) - 1
+#: Levels below that of a variate of 1: a set of few shingles has smallest variates of up to 53 ln 2.
+_SCALE_SHIFT = 200
 #: A pair goes on to verification unless its likelihood at the threshold is below
 #: the best by this much (five standard deviations).
 LIKELIHOOD_GAP = 12.5
@@ -63,7 +65,7 @@ def registers(values: np.ndarray, first: np.ndarray, which: range = range(REGIST
         # The smallest uniform variate gives the smallest exponential one.
         least = np.minimum.reduceat((values ^ _SHIFTS[i]) * _FACTORS[i], first)
         uniform = (least.astype(np.float64) + 1.0) / 2.0**64
-        level = np.floor(1.0 - np.log(-np.log1p(-np.minimum(uniform, 1 - 2.0**-53))) / np.log(SPACING))
+        level = np.floor(1.0 + _SCALE_SHIFT - np.log(-np.log1p(-np.minimum(uniform, 1 - 2.0**-53))) / np.log(SPACING))
         out[:, place] = np.clip(level, 0, _SCALE_TOP)
     return out
 
@@ -240,7 +242,8 @@ def near_duplicate_groups(
         sketches.where("id IS NOT NULL AND n > 0").groupBy("digest", "n").agg(F.min("id").alias("class"), F.min("sketch").alias("sketch"))
     )
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND_ROWS * i + 1, 2 * BAND_ROWS)) for i in range(REGISTERS // BAND_ROWS)])
-    bands = classes.select("class", F.explode(keys).alias("key"))
+    # A set of n shingles is at best n in n + 1 like another: smaller ones have their class and meet nobody.
+    bands = classes.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("n") + 1)).select("class", F.explode(keys).alias("key"))
     shared = write(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     sized = write(bands.join(shared, "key"))
     # The pivot of a bucket is the class that meets the most others over all its buckets:

@@ -67,6 +67,22 @@ def test_query_equals_brute_force(shipped):
     check(QUERIES["op3_near_duplicates"](shipped, SF_DIR), rows)
 
 
+def test_short_texts_share_no_bucket_by_chance():
+    values = np.random.default_rng(4).integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    own = nd.registers(values, np.arange(5000))
+    assert own.min() > 0 and own.max() < nd._SCALE_TOP
+    for band in range(nd.REGISTERS // nd.BAND_ROWS):
+        assert len(np.unique(own[:, nd.BAND_ROWS * band : nd.BAND_ROWS * (band + 1)], axis=0)) > 4990
+
+
+def test_smallest_sets_that_can_link(shipped):
+    """Six shingles in seven are 85.7 %: linked; five in six are not; equal short texts are one class."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(n, " ".join(words[:n])) for n in (1, 3, 5, 8, 9, 10, 11, 12)]
+    rows += [(100 + i, f"short text {i % 40}") for i in range(80)]
+    check(nd.near_duplicate_groups(shipped.createDataFrame(rows, SCHEMA)), rows)
+
+
 def test_no_rows(shipped):
     assert nd.near_duplicate_groups(shipped.createDataFrame([], SCHEMA)).count() == 0
 
