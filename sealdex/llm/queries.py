@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sealdex.llm.clustering import clusters
 from sealdex.llm.decontamination import contaminated
+from sealdex.llm.manifest import manifest, without_line_ends
 from sealdex.llm.mixing import mixed
 from sealdex.llm.near_duplicates import near_duplicate_groups
+from sealdex.llm.oracles import clusters_sql, manifest_sql
 from sealdex.llm.page_text import main_texts
 from sealdex.llm.prefix_counts import token_counts
 from sealdex.llm.quality import scored, train
@@ -15,6 +18,8 @@ from sealdex.llm.repeats import without_repeats
 from sealdex.llm.secrets import secrets_found
 from sealdex.llm.tables import table
 from sealdex.llm.token_files import written_and_read
+from sealdex.llm.toxicity import scored as toxicity_scored
+from sealdex.llm.toxicity import train as train_toxicity
 from sealdex.llm.vector_search import QUERY_EVERY, exact_top_k
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -62,13 +67,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest(docs, without_line_ends(docs)).drop("proof")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scored(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_page_text, op2_secrets, op3_near_duplicates, op4_token_files, op5_token_counts, op6_quality, op7_decontamination,
-        op8_repeats, op9_vector_search, op10_mixing,
+        op8_repeats, op9_vector_search, op10_mixing, op11_manifest, op12_toxicity, op13_clusters,
     )
 }
 
 #: SQL over the same tables, where SQL can say it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_manifest": manifest_sql(), "op13_clusters": clusters_sql()}
