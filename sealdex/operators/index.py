@@ -8,6 +8,7 @@ computes all its chain tokens at once, in parallel, with no pointer to follow.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,7 +20,8 @@ from sealdex.functions.crypto import SecretRow, long_bytes, utf8
 from sealdex.functions.terms import fold_query
 from sealdex.operators import postings as P
 from sealdex.operators.bounds import rows_if_few
-from sealdex.operators.index_store import IndexStore, current_revisions
+from sealdex.operators.index_store import IndexStore, Run, current_revisions, flag_applicable, merged_number
+from sealdex.operators.postings import BLOCK_RUN
 from sealdex.session import staging
 
 # Entries of one query the driver may hold (words of the query times batches).
@@ -29,11 +31,12 @@ FEW_ENTRIES = 10_000
 FEW_PLACES = 256
 FEW_UIDS = 10_000
 
-# Longest run of block numbers generated within one row.
-BLOCK_RUN = 16_384
-
 FIELD_BYTES = 32
 
+# So many runs of a level become one of the next: a lookup meets fewer than
+# FAN_OUT runs a level, and a posting is moved once a level.
+FAN_OUT = 8
+
 # About what a record id takes in a block, and what a table row takes besides.
 POSTING_BYTES = 40
 ROW_BYTES = 130
@@ -70,6 +73,7 @@ class WriterKeys(ReaderKeys):
                 "word": crypto.derive(self.word, "sealdex word key"),
                 "nonce": crypto.derive(self.word, "sealdex nonce"),
                 "terms": crypto.derive(self.word, "sealdex record terms"),
+                "bad": crypto.derive(self.word, "quarantine"),
             },
         )
 
@@ -132,10 +136,11 @@ def _chain_token(pads: Column, batch: Column, block: Column) -> Column:
     return crypto.hmac_padded(pads.getField("inner"), pads.getField("outer"), message)
 
 
-def seal_blocks(blocks: DataFrame, secrets: SecretRow, batch: int) -> DataFrame:
-    """(token, sealed) from (word, block, uids)."""
+def seal_blocks(blocks: DataFrame, secrets: SecretRow, batch: int, token: Column | None = None) -> DataFrame:
+    """(token, sealed) from (word, block, uids); ``token`` is that of the word, where it is known."""
+    token = word_token(secrets, F.col("word")) if token is None else token
     keyed = blocks.select(
-        secrets.hmac("word", word_token(secrets, F.col("word"))).alias("word_key"),
+        secrets.hmac("word", token).alias("word_key"),
         "block",
         utf8(P.pack_uids(F.col("uids"))).alias("body"),
     ).withColumn("pads", crypto.hmac_pads(F.col("word_key")))
@@ -149,6 +154,20 @@ def seal_blocks(blocks: DataFrame, secrets: SecretRow, batch: int) -> DataFrame:
     return placed.select("token", sealed.alias("sealed"))
 
 
+def all_found(rows: DataFrame, keys: DataFrame) -> Column:
+    """True, or the plan fails: whether ``rows`` are the chain rows of all ``keys``, each once.
+
+    Compares the count and the combined hash of the tokens, two aggregates over
+    the token column alone. Chain rows are bound to their tokens, so a row that
+    was lost, doubled or put in another's place shows.
+    """
+    marks = [F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("token")), F.lit(0)).alias("all")]
+    asked, found = keys.agg(F.struct(*marks).alias("s")).scalar(), rows.agg(F.struct(*marks).alias("s")).scalar()
+    return F.when(asked == found, F.lit(True)).otherwise(
+        F.raise_error(F.lit("the index has lost posting blocks: rebuild it from the records")).cast("boolean")
+    )
+
+
 def open_blocks(rows: DataFrame) -> DataFrame:
     """(word, uid) from chain rows joined with their word and word key."""
     body = crypto.open_or_fail(F.col("sealed"), F.col("word_key"), F.col("token"))
@@ -233,8 +252,9 @@ class FoundWords:
 
 class SealedIndex:
     def __init__(self, store: IndexStore, keys: ReaderKeys, block_size: int = P.BLOCK_SIZE,
-                 split_above: int = P.SPLIT_ABOVE):
+                 split_above: int = P.SPLIT_ABOVE, fan_out: int = FAN_OUT):
         self.store = store
+        self.fan_out = fan_out
         self.keys = keys
         self.block_size = block_size
         self.split_above = split_above
@@ -243,51 +263,92 @@ class SealedIndex:
 
     # --- growing ---
 
-    def upsert(self, rows: DataFrame, batch: int | None = None, base: DataFrame | None = None) -> UpsertReport:
+    def upsert(self, rows: DataFrame, batch: int | None = None, base: DataFrame | None = None,
+               run: Run | None = None) -> UpsertReport:
         """Index (uid, words) rows as one batch.
 
         ``base`` is the (token, stored) state the caller's revisions build on, by
         default the store's own. Words that moved on since ``base`` are refused
         and proposed again against the present state, in the same batch: no
-        other batch is touched. The tables take one writer at a time.
+        other batch is touched. The tables take one writer at a time. ``run``: the
+        rows are those of several batches, and make up that run. A batch that was
+        merged into a run cannot be written by itself any more.
         """
-        batch = self.store.next_batch() if batch is None else batch
-        with staging(self.spark, "upsert") as stage:
-            return self._upsert(P.explode_words(rows), batch, base, stage)
-
-    def _upsert(self, postings: DataFrame, batch: int, base: DataFrame | None, stage) -> UpsertReport:
-        counts = stage(
-            P.with_blocks(P.word_counts(postings), self.block_size).select(
-                word_token(self.secrets, F.col("word")).alias("token"), "word_hash", "n", "blocks"
-            ),
-            "word-counts",
+        batch = (self.store.next_batch() if run is None else run.number) if batch is None else batch
+        with self._together(), staging(self.spark, "upsert") as stage:
+            if run is None:
+                covering = self.run_of(batch)
+                if covering is not None and covering.number != batch:
+                    raise ValueError(f"batch {batch} is part of run {covering.number}: write that run")
+            else:
+                self.store.describe(run)
+            report = self._upsert(P.explode_words(rows), batch, base, stage, min(run.covers) if run else batch)
+        self._merge_full_levels()
+        return report
+
+    def run_of(self, batch: int) -> Run | None:
+        """The run that holds a batch."""
+        return next((r for r in self._runs() if batch in r.covers), None)
+
+    def _runs(self) -> list[Run]:
+        return self.store.runs() if hasattr(self.store, "runs") else []
+
+    def _together(self):
+        return self.store.together() if hasattr(self.store, "together") else nullcontext()
+
+    def _upsert(self, postings: DataFrame, batch: int, base: DataFrame | None, stage, before: int) -> UpsertReport:
+        counted = P.with_blocks(P.word_counts(postings), self.block_size)
+        # Words of several blocks are needed again; no word is staged in the clear.
+        counted = counted.select(
+            word_token(self.secrets, F.col("word")).alias("token"), "word_hash", "n", "blocks",
+            F.when(F.col("blocks") > 1, self._hidden(F.col("word"))).alias("hidden"),
         )
+        shown = crypto.open_or_fail(F.col("hidden"), self.secrets.key("nonce"), F.col("token"))
+        counts = stage(counted, "word-counts").withColumn("word", F.decode(shown, "UTF-8"))
         totals = P.word_totals(counts)
-        threshold = totals.split_threshold(self.split_above)
-        splits = P.split_words(counts, threshold) if totals.most > threshold else None
-        # Only the entries of this batch's words are looked at, however many there are.
-        stored = current_revisions(self.store.get_entries(counts.select("token"), before=batch))
+        stored = self._stored(counts.select("token"), before, stage)
         proposed = self._proposals(counts, stored if base is None else base)
 
-        lost = None if base is None else self._stale(proposed, stored, stage)
+        lost = None if base is None else self._refused(proposed, stored, stage)
         if lost is not None:
             again = self._proposals(counts.join(lost, "token", "left_semi"), stored)
             proposed = proposed.join(lost, "token", "left_anti").unionByName(again)
 
+        self._write(postings, counts, totals, proposed, batch)
+        conflicts = 0 if lost is None else lost.count()
+        return UpsertReport(batch, totals.words, totals.postings, conflicts)
+
+    def _write(self, postings: DataFrame, counts: DataFrame, totals: P.WordTotals, entries: DataFrame, batch: int,
+               token: Column | None = None) -> None:
+        """The chain, sketch and entry rows of a run."""
+        threshold = totals.split_threshold(self.split_above)
+        splits = P.split_words(counts, threshold) if totals.most > threshold else None
         blocks = P.block_postings(postings, counts, splits)
         chain_size = totals.postings * POSTING_BYTES + totals.words * ROW_BYTES
-        self.store.upsert_chain(seal_blocks(blocks, self.secrets, batch), batch, chain_size)
-        entries = seal_entries(proposed, self.secrets, batch)
-        self.store.append_entries(entries, batch, totals.words * ROW_BYTES)
+        self.store.upsert_chain(seal_blocks(blocks, self.secrets, batch, token), batch, chain_size)
+        if hasattr(self.store, "append_sketch"):
+            self.store.append_sketch(counts.select("token"), batch, totals.words)
+        self.store.append_entries(seal_entries(entries, self.secrets, batch), batch, totals.words * ROW_BYTES)
 
-        conflicts = 0 if lost is None else lost.count()
-        return UpsertReport(batch, totals.words, totals.postings, conflicts)
+    def _hidden(self, word: Column) -> Column:
+        nonce = crypto.nonce_from(self.secrets.hmac("terms", utf8(word)))
+        return crypto.seal(utf8(word), self.secrets.key("nonce"), nonce, word_token(self.secrets, word))
+
+    def _stored(self, tokens: DataFrame, before: int, stage) -> DataFrame:
+        """Latest stored revision of each token that earlier batches have.
+
+        Sketches rule most new words out, so only those that may be stored are
+        looked up; where none may, no entry is read.
+        """
+        if hasattr(self.store, "maybe_stored"):
+            tokens = stage(self.store.maybe_stored(tokens, before), "maybe-stored")
+            if tokens.isEmpty():
+                return tokens.select("token", F.lit(0).alias("stored"))
+        return current_revisions(self.store.get_entries(tokens, before=before))
 
-    def _stale(self, proposed: DataFrame, stored: DataFrame, stage) -> DataFrame | None:
+    def _refused(self, proposed: DataFrame, stored: DataFrame, stage) -> DataFrame | None:
         """Tokens whose proposed revision no longer follows the stored one."""
-        flagged = proposed.join(stored.withColumnRenamed("stored", "present"), "token", "left")
-        follows = F.when(F.col("revision") > 0, F.col("revision") - 1)
-        lost = stage(flagged.where(~F.col("present").eqNullSafe(follows)).select("token"), "stale-words")
+        lost = stage(flag_applicable(proposed, stored).where(~F.col("applied")).select("token"), "stale-words")
         return None if lost.isEmpty() else lost
 
     def _proposals(self, counts: DataFrame, stored: DataFrame) -> DataFrame:
@@ -295,6 +356,42 @@ class SealedIndex:
         revision = F.coalesce(F.col("stored") + 1, F.lit(0)).cast("int")
         return counts.join(stored, "token", "left").select("token", revision.alias("revision"), "blocks", "n")
 
+    # --- merging ---
+
+    def _merge_full_levels(self) -> None:
+        while True:
+            levels: dict[int, list[Run]] = {}
+            for run in self._runs():
+                levels.setdefault(run.level, []).append(run)
+            full = [runs for _, runs in sorted(levels.items()) if len(runs) >= self.fan_out]
+            if not full:
+                return
+            self.merge(sorted(full[0], key=lambda r: max(r.covers))[: self.fan_out])
+
+    def merge(self, runs: list[Run]) -> Run:
+        """Make one run of several: a word's postings in blocks of their own, under its last revision.
+
+        Readers see either the old runs or the new one. Postings are grouped as
+        when a batch is indexed, so a hot word spreads over as many tasks as it has blocks.
+        """
+        covers = tuple(sorted(b for r in runs for b in r.covers))
+        level = max(r.level for r in runs) + 1
+        run = Run(merged_number(level, covers), level, covers)
+        part = self.store.only(runs)
+        with self._together(), staging(self.spark, "merge") as stage:
+            entries = part.entries().withColumn("key", F.col("token")).select("key", "token", "revision", "sealed")
+            opened = open_entries(entries, self.secrets)
+            word = F.base64("key").alias("word")
+            totals = opened.groupBy("key").agg(F.sum("n").alias("n"), F.max("revision").alias("revision"))
+            counts = P.with_blocks(totals.select(word, F.col("key").alias("token"), "n", "revision"), self.block_size)
+            counts = stage(counts, "word-counts")
+            keys = chain_keys(opened.select(word, "word_key", "batch", "blocks"), spread=True)
+            postings = open_blocks(self._whole(part.get_chain(keys), keys))
+            self.store.describe(run)
+            self._write(postings, counts, P.word_totals(counts), counts.select("token", "revision", "blocks", "n"), run.number, F.unbase64("word"))
+            self.store.drop(runs)
+        return run
+
     # --- looking up ---
 
     def query_tokens(self, words: list[str]) -> DataFrame:
@@ -320,7 +417,10 @@ class SealedIndex:
         """(word, uid) of the found words."""
         spread = found.blocks is None or found.blocks > BLOCK_RUN
         keys = chain_keys(found.entries, spread)
-        return open_blocks(self.store.get_chain(keys))
+        return open_blocks(self._whole(self.store.get_chain(keys), keys))
+
+    def _whole(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        return rows.where(all_found(rows, keys))
 
     def postings_of(self, found: FoundWords, uids: DataFrame) -> DataFrame:
         """(word, uid) of the found words, for some ids (a broadcastable frame)."""
@@ -332,7 +432,7 @@ class SealedIndex:
             uids = crypto.local_frame(self.spark, held, {"uid": pa.binary()})
         if rows is not None and len(rows) * len(found.places) < found.blocks:
             keys = chain_keys_within(found.entries, found.places, uids)
-            postings = open_blocks(self.store.get_chain(keys))
+            postings = open_blocks(self._whole(self.store.get_chain(keys), keys))
         else:
             postings = self.postings(found)
         return postings.join(F.broadcast(uids), "uid", "left_semi")

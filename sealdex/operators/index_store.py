@@ -1,11 +1,12 @@
-"""Where the two index tables live: lookups, conditional upserts, truncation.
+"""Where the index tables live: lookups, conditional upserts, runs, truncation.
 
-``entry`` has a row per word and batch, ``chain`` a row per posting block. Both
-are append-only Parquet tables under ``<root>/gen=<g>/<table>/batch=<b>``, a
-batch being visible once its write is committed. A batch's chain rows are
-written before its entry rows, and nothing refers to a chain row but an entry,
-so readers see a batch whole or not at all. Truncating or rebuilding starts a new
-generation, which readers follow once it is published.
+``entry`` has a row per word and run, ``chain`` a row per posting block, ``sketch``
+a few rows per run that tell which words it surely has not. A run holds one batch, or
+the batches that were merged into it. All are Parquet folders under
+``<root>/gen=<g>/<table>/batch=<folder>``, and the ledger says which of them count:
+readers see a run whole or not at all, and a run that is written again takes another
+folder. Truncating or rebuilding starts a new generation, which readers follow once
+it is published.
 
 Tokens are keyed hashes and hence uniform, so a token's leading bits say where
 its row goes: every file of a batch holds one narrow token range, and files lie
@@ -16,14 +17,19 @@ token with whatever prefix a folder has.
 
 from __future__ import annotations
 
+import copy
+from contextlib import AbstractContextManager
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sealdex.operators import sketch
 from sealdex.operators.bounds import rows_if_few
-from sealdex.session import published_folders, started_folders
+from sealdex.operators.ledger import Ledger, Piece, batch_in
+from sealdex.session import delete_path, started_folders
 
 ENTRY_SCHEMA = T.StructType(
     [
@@ -48,9 +54,19 @@ MAX_FILES = 1 << 16
 # Folder of a batch too small to be divided.
 _WHOLE = "_"
 
+# A merged run's level stands above its highest batch in its number.
+_LEVEL_BITS = 34
+
+# Numbers from here on are of batches that were not numbered in turn.
+SPECIAL = 1 << (_LEVEL_BITS - 1)
+
 
 class IndexStore(Protocol):
-    """What an index needs from its tables; every argument and result is a DataFrame."""
+    """What an index needs from its tables; every argument and result is a DataFrame.
+
+    A store may also offer :class:`RunStore`; without it batches are never merged,
+    and every word of a batch is looked up.
+    """
 
     spark: SparkSession
 
@@ -81,6 +97,44 @@ class IndexStore(Protocol):
     def row_counts(self) -> DataFrame: ...
 
 
+@dataclass(frozen=True)
+class Run:
+    """A batch, or batches that were merged: its number, how often, and of what."""
+
+    number: int
+    level: int
+    covers: tuple[int, ...]
+
+
+class RunStore(Protocol):
+    def runs(self) -> list[Run]: ...
+
+    def describe(self, run: Run) -> None:
+        """Say what the run being written covers, before its entries are appended."""
+        ...
+
+    def only(self, runs: list[Run]) -> IndexStore:
+        """The same store as if it held nothing but these runs."""
+        ...
+
+    def drop(self, runs: list[Run]) -> None: ...
+
+    def append_sketch(self, tokens: DataFrame, batch: int, words: int) -> None: ...
+
+    def maybe_stored(self, tokens: DataFrame, before: int) -> DataFrame:
+        """Those of ``tokens`` that the sketches of earlier runs do not rule out."""
+        ...
+
+    def together(self) -> AbstractContextManager:
+        """Writes inside become visible at once."""
+        ...
+
+
+def merged_number(level: int, covers) -> int:
+    """Number of a merged run; apart from all batch numbers, so that its chain rows are its own."""
+    return (level << _LEVEL_BITS) | max(covers)
+
+
 def current_revisions(entries: DataFrame) -> DataFrame:
     """Latest revision of each token."""
     return entries.groupBy("token").agg(F.max("revision").alias("stored"))
@@ -112,35 +166,41 @@ def token_slot(token: Column, slots: int) -> Column:
 
 class ParquetIndexStore:
     def __init__(self, spark: SparkSession, root: str, file_bytes: int = FILE_BYTES,
-                 generation: int | None = None):
-        """Follows the latest published generation unless bound to one."""
+                 generation: int | None = None, ledger: Ledger | None = None):
+        """Follows the latest published generation unless bound to one.
+
+        ``ledger``: that of a larger whole whose commits the index is part of.
+        """
         self.spark = spark
         self.root = root.rstrip("/")
         self.file_bytes = file_bytes
         self.generation = generation
+        self.ledger = ledger or Ledger(spark, f"{self.root}/ledger")
+        self._only: frozenset[int] | None = None
 
     # --- layout ---
 
     def _generation(self) -> int | None:
-        if self.generation is not None:
-            return self.generation
-        published = [
-            int(g)
-            for g in started_folders(self.spark, self.root, "gen")
-            if "0" in published_folders(self.spark, f"{self.root}/gen={g}/entry", "batch")
-        ]
-        return max(published, default=None)
-
-    def _folder(self, table: str) -> str:
+        return self.ledger.fact("generation") if self.generation is None else self.generation
+
+    def _table(self, table: str) -> str:
         generation = self._generation()
         if generation is None:
             raise ValueError(f"no index at {self.root}; call create() first")
-        return f"{self.root}/gen={generation}/{table}"
+        return f"gen={generation}/{table}"
+
+    def _pieces(self, table: str, before: int | None = None) -> list[Piece]:
+        pieces = self.ledger.pieces(self._table(table))
+        if self._only is not None:
+            pieces = [p for p in pieces if p.batch in self._only]
+        if before is not None:
+            covers = {r.number: r.covers for r in self.runs()}
+            pieces = [p for p in pieces if max(covers.get(p.batch, (p.batch,))) < before]
+        return pieces
 
     def _read(self, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-        folder = self._folder(table)
-        batches = sorted(int(b) for b in published_folders(self.spark, folder, "batch"))
-        visible = [f"{folder}/batch={b}" for b in batches if 0 < b < (before or b + 1)]
+        folder = f"{self.root}/{self._table(table)}"
+        visible = [f"{folder}/batch={p.folder}" for p in self._pieces(table, before)]
         full = T.StructType(schema.fields + _PLACEMENT)
         if not visible:
             # A false filter lets the optimizer drop joins with the empty table.
@@ -154,16 +214,22 @@ class ParquetIndexStore:
         for_cores = min(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
         return min(max(for_size, for_cores, 1), MAX_FILES)
 
-    def _write(self, rows: DataFrame, folder: str, batch: int, size: int | None) -> None:
+    def _new(self, table: str, batch: int) -> tuple[str, int]:
+        parent = f"{self.root}/{self._table(table)}"
+        folder = self.ledger.new_folder(parent, batch)
+        return f"{parent}/batch={folder}", folder
+
+    def _write(self, rows: DataFrame, table: str, batch: int, size: int | None) -> None:
+        path, folder = self._new(table, batch)
         files = self._files(size)
         (
             rows.withColumn("shard", token_shard(F.col("token"), shard_digits(files)))
             .repartitionById(files, token_slot(F.col("token"), files))
             .sortWithinPartitions("shard", "token")
-            .write.mode("overwrite")
-            .partitionBy("shard")
-            .parquet(f"{folder}/batch={batch}")
+            .write.partitionBy("shard")
+            .parquet(path)
         )
+        self.ledger.put(Piece(self._table(table), batch, folder))
 
     # --- life cycle ---
 
@@ -175,22 +241,77 @@ class ParquetIndexStore:
         self.begin().publish()
 
     def begin(self) -> ParquetIndexStore:
-        started = [int(g) for g in started_folders(self.spark, self.root, "gen")]
-        store = ParquetIndexStore(self.spark, self.root, self.file_bytes, max(started, default=-1) + 1)
-        store._write_marker("chain", CHAIN_SCHEMA)
-        return store
+        started = self.ledger.fact("generations", 0)
+        self.ledger.note("generations", started + 1)
+        return ParquetIndexStore(self.spark, self.root, self.file_bytes, started, self.ledger)
 
     def publish(self) -> None:
         """Make a generation begun earlier the one that readers follow."""
-        self._write_marker("entry", ENTRY_SCHEMA)
-
-    def _write_marker(self, table: str, schema: T.StructType) -> None:
-        empty = self.spark.createDataFrame([], schema)
-        empty.write.mode("overwrite").parquet(f"{self._folder(table)}/batch=0")
+        with self.ledger.together() as state:
+            state.facts["generation"] = self.generation
+            mine = f"gen={self.generation}/"
+            for held in (state.pieces, state.facts):
+                for name in [n for n in held if n.startswith("gen=") and not n.startswith(mine)]:
+                    del held[name]
 
     def next_batch(self) -> int:
-        tables = [self._folder(t) for t in ("entry", "chain")]
-        return max((int(b) for t in tables for b in started_folders(self.spark, t, "batch")), default=0) + 1
+        held = [batch_in(p.folder) for t in ("entry", "chain") for p in self._pieces(t) if p.batch < 1 << _LEVEL_BITS]
+        covered = [b for r in self.runs() for b in r.covers]
+        return max([b for b in [*held, *covered] if b < SPECIAL], default=0) + 1
+
+    def together(self):
+        return self.ledger.together()
+
+    def tidy(self) -> int:
+        """Delete the folders that no kept commit names; how many there were."""
+        gone = 0
+        for name in started_folders(self.spark, self.root, "gen"):
+            for table in ("entry", "chain", "sketch"):
+                for path in self.ledger.unused(f"gen={name}/{table}", f"{self.root}/gen={name}/{table}"):
+                    delete_path(self.spark, path)
+                    gone += 1
+        return gone
+
+    # --- runs ---
+
+    def runs(self) -> list[Run]:
+        """What the entries are of, by number; a batch not described otherwise is a run of its own."""
+        said = self.ledger.fact(f"{self._table('runs')}", {})
+        numbers = [p.batch for p in self.ledger.pieces(self._table("entry")) if self._only is None or p.batch in self._only]
+        return [Run(n, *said.get(str(n), (0, (n,)))) for n in numbers]
+
+    def describe(self, run: Run) -> None:
+        with self.ledger.together() as state:
+            state.facts.setdefault(self._table("runs"), {})[str(run.number)] = [run.level, list(run.covers)]
+
+    def only(self, runs: list[Run]) -> ParquetIndexStore:
+        part = copy.copy(self)
+        part._only = frozenset(r.number for r in runs)
+        return part
+
+    def drop(self, runs: list[Run]) -> None:
+        with self.ledger.together() as state:
+            for table in ("entry", "chain", "sketch"):
+                self.ledger.drop(self._table(table), [r.number for r in runs])
+            for run in runs:
+                state.facts.get(self._table("runs"), {}).pop(str(run.number), None)
+
+    def append_sketch(self, tokens: DataFrame, batch: int, words: int) -> None:
+        path, folder = self._new("sketch", batch)
+        slots = sketch.slots_for(words)
+        sketch.built(tokens, slots).write.parquet(path)
+        self.ledger.put(Piece(self._table("sketch"), batch, folder, {"slots": slots}))
+
+    def maybe_stored(self, tokens: DataFrame, before: int) -> DataFrame:
+        root = f"{self.root}/{self._table('sketch')}"
+        sketches = {p.batch: p for p in self._pieces("sketch")}
+        told: dict[int, list[str]] = {}
+        for piece in self._pieces("entry", before):
+            known = sketches.get(piece.batch)
+            if known is None:
+                return tokens
+            told.setdefault(known.info["slots"], []).append(f"{root}/batch={known.folder}")
+        return sketch.possible(tokens, told)
 
     # --- reads ---
 
@@ -230,10 +351,10 @@ class ParquetIndexStore:
 
         ``size`` is about how many bytes the rows take; it decides on the files.
         """
-        self._write(rows.select(ENTRY_SCHEMA.fieldNames()), self._folder("entry"), batch, size)
+        self._write(rows.select(ENTRY_SCHEMA.fieldNames()), "entry", batch, size)
 
     def upsert_chain(self, rows: DataFrame, batch: int, size: int | None = None) -> None:
-        self._write(rows.select(CHAIN_SCHEMA.fieldNames()), self._folder("chain"), batch, size)
+        self._write(rows.select(CHAIN_SCHEMA.fieldNames()), "chain", batch, size)
 
 
 def _lookup(table: DataFrame, keys: DataFrame) -> DataFrame:

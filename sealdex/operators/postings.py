@@ -17,6 +17,9 @@ MAX_SPLIT_WORDS = 500_000
 
 UID_SEPARATOR = ","
 
+# Longest run of block numbers generated within one row.
+BLOCK_RUN = 16_384
+
 
 def explode_words(df: DataFrame) -> DataFrame:
     """(uid, word) from (uid, words), each word of a record once.
@@ -78,17 +81,27 @@ def block_postings(postings: DataFrame, counts: DataFrame, splits: DataFrame | N
     it spreads over as many groups as it has blocks; its block count comes with
     the broadcast ``splits``. No group outgrows the split threshold. ``splits``
     is None where no word is that frequent.
+
+    Every block of a word is there, also one that no id falls into: a reader can
+    tell a lost block from an empty one.
     """
-    hashed = postings.withColumn("place", F.xxhash64("word"))
+    several = counts.where(F.col("blocks") > 1)
+    runs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1, F.lit(BLOCK_RUN).cast("bigint")))
+    ends = several.select("word", "word_hash", "blocks", runs.alias("first"))
+    last = F.least(F.col("first") + (BLOCK_RUN - 1), F.col("blocks") - 1)
+    every = ends.select("word", "word_hash", "blocks", F.explode(F.sequence("first", last)).alias("own"))
+    hashed = postings.withColumn("place", F.xxhash64("word")).withColumn("own", F.lit(None).cast("bigint"))
+    empty = every.select(F.lit(None).cast("binary").alias("uid"), "word", F.col("word_hash").alias("place"), "own")
+    hashed = hashed.select("uid", "word", "place", "own").unionByName(empty)
     split_blocks = F.lit(None).cast("bigint").alias("split_blocks")
     if splits is not None:
         hashed = hashed.join(F.broadcast(splits.withColumnRenamed("word_hash", "place")), "place", "left")
-        apart = F.xxhash64("place", block_of(F.col("uid"), F.col("split_blocks")))
+        apart = F.xxhash64("place", F.coalesce("own", block_of(F.col("uid"), F.col("split_blocks"))))
         hashed = hashed.withColumn("place", F.when(F.col("split_blocks").isNotNull(), apart).otherwise(F.col("place")))
         split_blocks = F.col("split_blocks")
     sizes = counts.groupBy(F.col("word_hash").alias("place")).agg(F.max("blocks").alias("blocks"))
-    sized = hashed.select("uid", "word", "place", split_blocks).join(sizes.hint("merge"), "place", "left")
-    block = block_of(F.col("uid"), F.coalesce("split_blocks", "blocks"))
+    sized = hashed.select("uid", "word", "place", "own", split_blocks).join(sizes.hint("merge"), "place", "left")
+    block = F.coalesce("own", block_of(F.col("uid"), F.coalesce("split_blocks", "blocks")))
     return (
         sized.select("place", "word", block.alias("block"), "uid")
         .groupBy("place", "word", "block")
@@ -103,5 +116,5 @@ def pack_uids(uids: Column) -> Column:
 
 def unpack_uids(blocks: DataFrame) -> DataFrame:
     """(word, uid) from (word, body): one row per record id of a block body."""
-    texts = blocks.select("word", F.explode(F.split("body", UID_SEPARATOR)).alias("text"))
+    texts = blocks.where(F.col("body") != "").select("word", F.explode(F.split("body", UID_SEPARATOR)).alias("text"))
     return texts.select("word", F.unbase64("text").alias("uid"))

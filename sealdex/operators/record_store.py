@@ -1,8 +1,13 @@
 """Sealed records and their wrapped keys as Parquet tables.
 
-``records/batch=<b>/class_token=<t>`` holds one column per part, so a reader
+``records/batch=<folder>/class_token=<t>`` holds one column per part, so a reader
 opens only the classes and parts a keyring allows. ``headers/epoch=<e>`` holds
 the wrapped class keys of a key epoch and is written before its first records.
+The ledger says which folders of records count, so a batch that runs again
+takes the place of the old one at its commit, and readers of the old one go on.
+
+Lines that are no records, or that wait behind the end of a stream, are sealed in
+the same pass into classes of their own, which only their owners read.
 """
 
 from __future__ import annotations
@@ -13,9 +18,11 @@ from pyspark.sql import types as T
 
 from sealdex.functions.uid import batch_of, partition_of
 from sealdex.operators.bounds import rows_if_few
+from sealdex.operators.index_store import SPECIAL
 from sealdex.operators.keyring import HEADER_SCHEMA
-from sealdex.operators.sealing import TERMS
-from sealdex.session import published_folders, started_folders
+from sealdex.operators.ledger import Ledger, Piece
+from sealdex.operators.sealing import LINE_CLASSES, PLACE, SEALED_LINE, TERMS
+from sealdex.session import delete_path, published_folders
 
 # Up to this many hit files a fetch names them to the scan; beyond, it joins.
 FEW_FILES = 1_000
@@ -25,23 +32,28 @@ _PART_FILE = r"^part-(\d+)-"
 
 
 class RecordStore:
-    def __init__(self, spark: SparkSession, root: str, part_names: list[str], tolerant: bool = False):
+    def __init__(self, spark: SparkSession, root: str, part_names: list[str], tolerant: bool = False,
+                 ledger: Ledger | None = None):
         """``tolerant`` skips unreadable or vanished files instead of failing."""
         self.spark = spark
+        self.ledger = ledger or Ledger(spark, f"{root.rstrip('/')}/ledger")
         self.root = root.rstrip("/")
         self.part_names = list(part_names)
         self.tolerant = tolerant
 
-    def _records(self, batch: int | None = None) -> str:
-        return f"{self.root}/records" + ("" if batch is None else f"/batch={batch}")
+    @property
+    def _records(self) -> str:
+        return f"{self.root}/records"
+
+    def pieces(self) -> list[Piece]:
+        return self.ledger.pieces("records")
 
     def batches(self) -> list[int]:
         """Committed batches."""
-        return sorted(int(b) for b in published_folders(self.spark, self._records(), "batch"))
+        return [p.batch for p in self.pieces()]
 
     def next_batch(self) -> int:
-        started = started_folders(self.spark, self._records(), "batch")
-        return max((int(b) for b in started), default=0) + 1
+        return max((b for b in self.batches() if b < SPECIAL), default=0) + 1
 
     def schema(self) -> T.StructType:
         sealed = [T.StructField(n, T.BinaryType()) for n in [*self.part_names, TERMS]]
@@ -50,6 +62,8 @@ class RecordStore:
                 T.StructField("file", T.StringType()),
                 T.StructField("pos", T.LongType()),
                 *sealed,
+                T.StructField(PLACE, T.StringType()),
+                T.StructField(SEALED_LINE, T.BinaryType()),
                 T.StructField("batch", T.LongType()),
                 T.StructField("class_token", T.StringType()),
             ]
@@ -61,29 +75,48 @@ class RecordStore:
     def append_headers(self, headers: DataFrame, epoch: str) -> None:
         headers.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/headers/epoch={epoch}")
 
-    def append(self, sealed: DataFrame, batch: int, max_rows_per_file: int = 0) -> None:
+    def append(self, sealed: DataFrame, batch: int, max_rows_per_file: int = 0, **info) -> None:
         """Write one batch; writing the same batch again replaces it.
 
         Nothing is shuffled: each task splits its rows by class into files of at
-        most ``max_rows_per_file`` records (0: no limit).
+        most ``max_rows_per_file`` records (0: no limit). ``info`` stays with the batch.
         """
+        folder = self.ledger.new_folder(self._records, batch)
         (
-            sealed.write.mode("overwrite")
-            .option("maxRecordsPerFile", max_rows_per_file)
+            sealed.write.option("maxRecordsPerFile", max_rows_per_file)
             .partitionBy("class_token")
-            .parquet(self._records(batch))
+            .parquet(f"{self._records}/batch={folder}")
         )
+        self.ledger.put(Piece("records", batch, folder, info))
 
     def read(self, batches: list[int] | None = None) -> DataFrame:
         """All committed sealed records, or those of some batches."""
-        committed = self.batches()
-        wanted = committed if batches is None else [b for b in batches if b in committed]
-        if not wanted:
+        rows = self._all(batches)
+        return rows.where(~F.col("class_token").isin(*LINE_CLASSES)).drop(PLACE, SEALED_LINE)
+
+    def read_lines(self, line_class: str, batches: list[int] | None = None) -> DataFrame:
+        """(file, pos, place, sealed_line) of the lines of a class, which are no records."""
+        return self._all(batches).where(F.col("class_token") == line_class).select("file", "pos", PLACE, SEALED_LINE)
+
+    def read_placed(self, batches: list[int]) -> DataFrame:
+        """Everything some batches hold, with the places of their lines in a stream."""
+        return self._all(batches)
+
+    def _all(self, batches: list[int] | None) -> DataFrame:
+        pieces = [p for p in self.pieces() if batches is None or p.batch in set(batches)]
+        if not pieces:
             return self.spark.createDataFrame([], self.schema()).where(F.lit(False))
-        reader = self.spark.read.schema(self.schema()).option("basePath", self._records())
+        reader = self.spark.read.schema(self.schema()).option("basePath", self._records)
         if self.tolerant:
             reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        return reader.parquet(*[self._records(b) for b in wanted])
+        return reader.parquet(*[f"{self._records}/batch={p.folder}" for p in pieces])
+
+    def tidy(self) -> int:
+        """Delete the folders that no kept commit names; how many there were."""
+        gone = self.ledger.unused("records", self._records)
+        for path in gone:
+            delete_path(self.spark, path)
+        return len(gone)
 
     def headers(self) -> DataFrame:
         """Wrapped class keys of every epoch."""

@@ -16,6 +16,16 @@ from sealdex.operators.keyring import FEW_CLASSES, Keyring, key_column
 from sealdex.operators.specs import RecordSpec
 
 TERMS = "terms"
+
+#: Where in its stream a line stood, as text that sorts as the lines do.
+PLACE = "place"
+#: A line that is no record, or not yet one, sealed for index writers.
+SEALED_LINE = "sealed_line"
+#: Classes of such lines: set aside as bad, or waiting behind the end of a stream.
+REJECTED, WAITING = "-rejected", "-waiting"
+LINE_CLASSES = (REJECTED, WAITING)
+#: Helper columns of rows on their way to be sealed.
+LINE_CLASS, LINE_BODY = "_line_class", "_line_body"
 RECORD_FRAME_BYTES = 4
 PART_FRAME_BYTES = 8
 
@@ -32,9 +42,19 @@ def seal_records(df: DataFrame, spec: RecordSpec, classes: DataFrame, writer: Se
     so its nonce repeats only for identical content, and parts may share it
     because each is sealed under its own key. The index words travel with the
     record as one more sealed part that only the index writer opens.
+
+    Rows may carry ``LINE_CLASS`` and ``LINE_BODY``: where a class is set the row is
+    no record, and its body is sealed under the key of such lines. A place in a
+    stream (``PLACE``) stays with its row.
     """
     row = F.col(spec.row_field)
+    has_lines = LINE_CLASS in df.columns
+    line_class = F.col(LINE_CLASS) if has_lines else F.lit(None).cast("string")
+    line_body = F.col(LINE_BODY) if has_lines else F.lit(None).cast("string")
+    place = F.col(PLACE) if PLACE in df.columns else F.lit(None).cast("string")
+    is_record = line_class.isNull()
     token = F.coalesce(
+        line_class,
         F.col("class_token"),
         F.raise_error(F.concat(F.lit("no seal class for "), F.coalesce(row, F.lit("NULL")))).cast("string"),
     )
@@ -45,9 +65,11 @@ def seal_records(df: DataFrame, spec: RecordSpec, classes: DataFrame, writer: Se
         "pos",
         token.alias("class_token"),
         uid_bytes(F.col("file"), F.col("pos")).alias("uid"),
-        *[p.json().alias(f"body_{p.name}") for p in spec.parts],
-        F.to_json(spec.index.column()).alias(f"body_{TERMS}"),
+        *[F.when(is_record, p.json()).alias(f"body_{p.name}") for p in spec.parts],
+        F.when(is_record, F.to_json(spec.index.column())).alias(f"body_{TERMS}"),
         *[key_column(name) for name in bodies],
+        place.alias(PLACE),
+        F.when(~is_record, utf8(line_body)).alias("line"),
     )
     covered = F.concat(F.col("uid"), utf8(F.concat_ws("\x1f", *bodies.values())))
     prepared = prepared.withColumn("nonce", crypto.nonce_from(writer.hmac("nonce", covered)))
@@ -56,7 +78,26 @@ def seal_records(df: DataFrame, spec: RecordSpec, classes: DataFrame, writer: Se
         key, uid = F.col(key_column(part)), F.col("uid")
         return crypto.seal(utf8(bodies[part]), key, F.col("nonce"), _binding(uid, part)).alias(part)
 
-    return prepared.select("file", "pos", "class_token", *[sealed(name) for name in bodies])
+    line = F.when(F.col("line").isNotNull(), _sealed_line(F.col("line"), writer)) if has_lines else F.lit(None).cast("binary")
+    return prepared.select("file", "pos", "class_token", *[sealed(name) for name in bodies], PLACE, line.alias(SEALED_LINE))
+
+
+_LINE_BINDING = "quarantine"
+
+
+def _sealed_line(body: Column, writer: SecretRow) -> Column:
+    nonce = crypto.nonce_from(writer.hmac("bad", body))
+    return crypto.seal(body, writer.key("bad"), nonce, utf8(F.lit(_LINE_BINDING)))
+
+
+def line_body(line: Column, fault: Column) -> Column:
+    return F.to_json(F.struct(line.alias("value"), fault.alias("fault")))
+
+
+def open_lines(lines: DataFrame, writer: SecretRow, *kept: str) -> DataFrame:
+    """(value, fault) of sealed lines, and the columns named."""
+    plain = crypto.open_or_fail(F.col(SEALED_LINE), writer.key("bad"), utf8(F.lit(_LINE_BINDING))).cast("string")
+    return lines.select(*kept, F.from_json(plain, "value string, fault string").alias("line")).select(*kept, "line.*")
 
 
 def _terms_key(writer: SecretRow) -> Column:
@@ -76,13 +117,13 @@ def open_terms(records: DataFrame, tokens: DataFrame, writer: SecretRow) -> Data
     return records.join(keys, "class_token").select(uid.alias("uid"), words.alias("words"))
 
 
-def open_records(records: DataFrame, keyring: Keyring, spec: RecordSpec) -> DataFrame:
+def open_records(records: DataFrame, keyring: Keyring, spec: RecordSpec, kept: tuple[str, ...] = ()) -> DataFrame:
     """One flat row per record the keyring may see; closed parts stay NULL.
 
     The gate part is opened and parsed by a generator that yields no row where
     it stays closed. A filter would be pushed below and open the part twice.
     Parts that no class of this keyring opens are never read from the files.
-    Where parts share a column the later part wins.
+    Where parts share a column the later part wins. Columns in ``kept`` stay.
     """
     if keyring.is_small:
         records = records.where(F.col("class_token").isin(keyring.tokens))
@@ -99,12 +140,14 @@ def open_records(records: DataFrame, keyring: Keyring, spec: RecordSpec) -> Data
     parsed = records.join(keys, "class_token").select(
         "file",
         "pos",
+        *kept,
         *[c for p in others for c in (p.name, key_column(p.name))],
         F.inline(F.from_json(body(gate.name), T.ArrayType(gate.schema()))).alias(*gate_names),
     )
     parsed = parsed.select(
         "file",
         "pos",
+        *kept,
         *[F.col(f"`{n}`") for n in gate_names],
         *[F.from_json(body(p.name), p.schema()).alias(p.name) for p in others],
     )
@@ -119,7 +162,7 @@ def open_records(records: DataFrame, keyring: Keyring, spec: RecordSpec) -> Data
                 value = F.lit(None).cast("string")
             holders.setdefault(name, []).insert(0, value)
     values = [(F.coalesce(*cols) if len(cols) > 1 else cols[0]).alias(n) for n, cols in holders.items()]
-    return parsed.select("file", "pos", *values)
+    return parsed.select("file", "pos", *kept, *values)
 
 
 def clear_json(opened: DataFrame, spec: RecordSpec) -> DataFrame:

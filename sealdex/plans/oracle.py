@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sealdex.plans.queries import DEMO, ROLL_BYTES
+from sealdex.plans.queries import DEMO, LEVEL_FAN_OUT, ROLL_BYTES
 
 _DIRECTORY = """
   SELECT c_custkey AS custkey, c_name AS name, r_name AS region, c_mktsegment AS segment,
@@ -163,6 +163,19 @@ def oracle_sql() -> dict[str, str]:
         """,
         "index_incremental": f"SELECT word, count(*) AS n, CAST(count(DISTINCT lang) - 1 AS INTEGER) AS revision "
         f"FROM ({_WORDS}) GROUP BY word",
+        "index_levels": f"""
+          WITH w AS (SELECT word, count(*) AS n, CAST(count(DISTINCT source) - 1 AS INTEGER) AS revision
+                     FROM (SELECT * FROM ({_WORDS}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)) GROUP BY word),
+               s AS (SELECT count(DISTINCT source) AS n FROM documents)
+          SELECT word, n, revision, CAST((SELECT list_sum(list_transform(range(0, 16),
+            lambda k: s.n // CAST(pow({LEVEL_FAN_OUT}, k) AS BIGINT) % {LEVEL_FAN_OUT})) FROM s) AS INTEGER) AS runs FROM w
+        """,
+        "index_lost_block": f"SELECT count(*) AS found, 'refused' AS without_a_block FROM documents WHERE {_has('the')} OR {_has('in')}",
+        "replay_snapshot": f"""
+          SELECT step, region, count(*) AS n
+          FROM ({_DIRECTORY}), (SELECT unnest(['before', 'read late', 'replaced', 'broken off']) AS step)
+          WHERE region = 'EUROPE' OR (region = 'ASIA' AND step IN ('before', 'read late')) GROUP BY ALL
+        """,
         "entry_conditional_upsert": _CONDITIONAL,
         "index_truncate_rebuild": _INDEX_STATE,
         "token_dictionary": _token_dictionary(),
@@ -238,6 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_ingest_equals_batch": _EVENTS,
         "stream_index_search": f"{_EVENTS} WHERE event_type IN ('click', 'purchase')",
         "stream_sentinel": f"{_EVENTS} WHERE event_id < (SELECT (max(event_id) + 1) // 2 FROM events)",
+        "stream_behind_the_end": f"SELECT *, event_id < (SELECT (max(event_id) + 1) // 2 FROM events) AS early FROM ({_EVENTS})",
         "stage_metrics": """
           WITH s AS (SELECT event_type AS stage, count(*) AS events,
                             CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS micros

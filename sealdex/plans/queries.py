@@ -6,9 +6,12 @@ the queries that only read them. Each has its oracle in :mod:`oracle`.
 
 from __future__ import annotations
 
+import contextlib
+import copy
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from sealdex.functions.uid import uid_bytes, uid_file, uid_pos, uid_text
 from sealdex.operators import layout, metrics, sealing
 from sealdex.operators import postings as P
 from sealdex.operators.boolean import find
-from sealdex.operators.index import FoundWords, SealedIndex, open_entries, word_token
+from sealdex.operators.index import FoundWords, SealedIndex, chain_keys, open_entries, word_token
 from sealdex.operators.index_store import ParquetIndexStore
 from sealdex.operators.keyring import keyring_for, seal_classes
 from sealdex.operators.sinks import write_clear_lines
@@ -26,7 +29,7 @@ from sealdex.plans.vault import Secrets, Vault
 from sealdex.session import scratch_path, staged
 from sealdex.sources.lines import read_lines, union_lines
 from sealdex.sources.records import parse_records, record_lines, rejected_lines
-from sealdex.streaming.ingest import END_LINE, ingest_stream, run_to_end, stream_file_lines
+from sealdex.streaming.ingest import END_LINE, NUMBERED_ORDER, ingest_stream, run_to_end, stream_file_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -250,6 +253,75 @@ def index_incremental(spark, sf_dir):
     return opened.groupBy("word").agg(F.sum("n").alias("n"), F.max("revision").alias("revision"))
 
 
+LEVEL_FAN_OUT = 4
+
+
+@query
+def index_levels(spark, sf_dir):
+    """A batch per source, merged four at a time: each word's postings and how often it was touched,
+    and of how many runs a lookup reads."""
+    store = ParquetIndexStore(spark, scratch_path(spark, "levels"))
+    store.create()
+    index = SealedIndex(store, DEMO.writer(), fan_out=LEVEL_FAN_OUT)
+    docs = staged(tb.document_words(spark, sf_dir), "document-words")
+    for row in docs.select("source").distinct().orderBy("source").collect():
+        index.upsert(docs.where(F.col("source").eqNullSafe(row["source"])))
+    words = P.explode_words(docs).select("word").distinct()
+    keys = words.withColumn("token", word_token(index.secrets, F.col("word")))
+    revisions = open_entries(store.get_entries(keys), index.secrets).groupBy("word").agg(F.max("revision").alias("revision"))
+    counts = _all_postings(index, words).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(revisions, "word").select("word", "n", "revision", F.lit(len(store.runs())).alias("runs"))
+
+
+@query
+def index_lost_block(spark, sf_dir):
+    """Documents a search finds, and what it says once one posting block is gone."""
+    index = document_index(spark, sf_dir)
+    words = ["the", "in"]
+    found = find(index, words, disjunction=True).agg(F.count(F.lit(1)).alias("found"))
+    lost = chain_keys(index.find_words(words).entries, spread=False).agg(F.min("token")).first()[0]
+    chain = index.store.chain().where(F.col("token") != F.lit(bytes(lost)))
+    poorer = copy.copy(index.store)
+    poorer.chain = lambda: chain
+    try:
+        outcome = str(find(SealedIndex(poorer, DEMO.reader()), words, disjunction=True).count())
+    except SparkRuntimeException as failure:
+        outcome = "refused" if "lost posting blocks" in str(failure) else str(failure)
+    return found.select("found", F.lit(outcome).alias("without_a_block"))
+
+
+@query
+def replay_snapshot(spark, sf_dir):
+    """Records of two regions that searches open: before a batch is replaced, with a result from
+    before that is read after it, after it, and after another replacement that broke off."""
+    people = staged(tb.directory(spark, sf_dir), "people")
+    vault = Vault(spark, scratch_path(spark, "replaced"), tb.DIRECTORY)
+    keys = _user(vault, "super")
+
+    def searched() -> DataFrame:
+        return vault.search(["region=asia", "region=europe"], DEMO.reader(), keys, disjunction=True).records
+
+    def counted(step: str, rows: DataFrame) -> DataFrame:
+        return staged(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), "region", "n"), "replaced")
+
+    vault.ingest(people, DEMO, batch=1)
+    keys = vault.unlock(_user(vault, "super"))
+    early = searched()
+    steps = [counted("before", early)]
+    vault.ingest(people.where(F.col("region") != "ASIA"), DEMO, batch=1)
+    steps += [counted("read late", early), counted("replaced", searched())]
+
+    def broken(*_, **__):
+        raise InterruptedError("between records and entries")
+
+    write, vault.index_store.append_entries = vault.index_store.append_entries, broken
+    with contextlib.suppress(InterruptedError):
+        vault.ingest(people.where(F.col("region") == "ASIA"), DEMO, batch=1)
+    vault.index_store.append_entries = write
+    steps.append(counted("broken off", searched()))
+    return reduce(lambda a, b: a.unionByName(b), steps)
+
+
 @query
 def entry_conditional_upsert(spark, sf_dir):
     """Four conditional upserts, and how many words each applied or refused."""
@@ -631,26 +703,44 @@ def stream_index_search(spark, sf_dir):
     return _typed_events(found.records)
 
 
-@query
-def stream_sentinel(spark, sf_dir):
-    """Events streamed in order, with an end line halfway: the first half remains."""
+def _ended_events(spark, sf_dir) -> str:
+    """Event lines in four numbered files, with an end line halfway; the files' ages are in no order."""
     events = tb.event_records(spark, sf_dir)
     half = tb.table(spark, sf_dir, "events").agg(F.floor((F.max("event_id") + 1) / 2).alias("half"))
     place = F.col("event_id").cast("double")
-    lines = record_lines(events, tb.EVENT_RECORDS)
     ordered = events.select(place.alias("place"), F.to_json(F.struct(*events.columns)).alias("value"))
     end = half.select((F.col("half") - 0.5).alias("place"), F.lit(END_LINE).alias("value"))
     blank = half.select((F.col("half") - 0.75).alias("place"), F.lit("  ").alias("value"))
     lines = ordered.unionByName(end).unionByName(blank).repartitionByRange(4, "place").sortWithinPartitions("place")
-    path = _written_lines(spark, lines, "event-lines-with-end")
+    return _written_lines(spark, lines, "event-lines-with-end")
+
+
+def _run_ended(vault: Vault, path: str, progress: str, files: int) -> None:
+    lines = stream_file_lines(vault.spark, path, files, number=r"part-(\d+)")
+    run_to_end(*ingest_stream(vault, lines, DEMO, progress, NUMBERED_ORDER, available_now=True))
+
+
+@query
+def stream_sentinel(spark, sf_dir):
+    """Events streamed with an end line halfway, a file a batch in whatever order: the first half remains."""
     vault = Vault(spark, scratch_path(spark, "ended-events"), tb.EVENT_RECORDS)
-    started = ingest_stream(
-        vault, stream_file_lines(spark, path), DEMO, scratch_path(spark, "ended-progress"), available_now=True
-    )
-    run_to_end(*started)
+    _run_ended(vault, _ended_events(spark, sf_dir), scratch_path(spark, "ended-progress"), 1)
     return _typed_events(vault.open_all(_event_keys(vault)))
 
 
+@query
+def stream_behind_the_end(spark, sf_dir):
+    """All events after a second run, and which of them the first run, up to the end line, had."""
+    vault = Vault(spark, scratch_path(spark, "resumed-events"), tb.EVENT_RECORDS)
+    path, progress = _ended_events(spark, sf_dir), scratch_path(spark, "resumed-progress")
+    _run_ended(vault, path, progress, 3)
+    first = staged(vault.open_all(_event_keys(vault)).select("event_id"), "first-run").withColumn("early", F.lit(True))
+    _run_ended(vault, path, progress, 3)
+    events = _typed_events(vault.open_all(_event_keys(vault)))
+    early = first.select(F.col("event_id").cast("bigint").alias("event_id"), "early")
+    return events.join(early, "event_id", "left").withColumn("early", F.coalesce("early", F.lit(False)))
+
+
 # --- metrics -------------------------------------------------------------------------------------
 
 

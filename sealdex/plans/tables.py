@@ -133,11 +133,12 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(uid, lang, words) of every whole document text."""
+    """(uid, lang, source, words) of every whole document text."""
     docs = on_all_cores(table(spark, sf_dir, "documents"))
     return docs.select(
         uid_bytes(F.lit("documents"), F.col("doc_id")).alias("uid"),
         "lang",
+        "source",
         text_words(F.col("text")).alias("words"),
     )
 

@@ -4,27 +4,31 @@ from __future__ import annotations
 
 import os
 import warnings
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sealdex.functions import crypto
 from sealdex.functions.policy import Rule
 from sealdex.functions.uid import assign_uids, uid_file, uid_pos
 from sealdex.operators import sealing
 from sealdex.operators.boolean import find
-from sealdex.operators.index import ReaderKeys, SealedIndex, UpsertReport, WriterKeys
-from sealdex.operators.index_store import IndexStore, ParquetIndexStore
+from sealdex.operators.index import FAN_OUT, ReaderKeys, SealedIndex, UpsertReport, WriterKeys
+from sealdex.operators.index_store import SPECIAL, IndexStore, ParquetIndexStore, Run, merged_number
 from sealdex.operators.keyring import Keyring, issue_user_keys, keyring_for, seal_classes, seal_headers
 from sealdex.operators.layout import rows_per_file
-from sealdex.operators.metrics import StageClock, counted
+from sealdex.operators.ledger import BATCH_BITS, Ledger, Piece
+from sealdex.operators.metrics import StageClock
 from sealdex.operators.record_store import RecordStore
+from sealdex.operators.sealing import LINE_BODY, LINE_CLASS, PLACE
 from sealdex.operators.specs import RecordSpec
-from sealdex.session import published_folders, staged
-from sealdex.sources.records import parse_records, rejected_lines
+from sealdex.session import staged
+from sealdex.sources.records import FAULT, LINE, judged_lines
 
 
+# Batches of lines that waited behind the end of a stream count from here, apart from all others.
+WAITED = SPECIAL
+
 # Records of one key epoch up to which derived 96-bit nonces hardly ever meet.
 EPOCH_RECORDS = 1 << 32
 
@@ -54,6 +58,7 @@ class IngestReport:
     records: int
     index: UpsertReport
     rejected: int = 0
+    waiting: int = 0
 
 
 @dataclass(frozen=True)
@@ -68,6 +73,13 @@ class SearchResult:
         return self.hits.agg(F.count(F.lit(1)).alias("found")).select("found", opened.scalar().alias("opened"))
 
 
+def _run_of(batches: list[int]) -> Run:
+    level = 1
+    while FAN_OUT**level < len(batches):
+        level += 1
+    return Run(merged_number(level, batches), level, tuple(batches))
+
+
 class Vault:
     """Sealed records of one kind, with their keyword index."""
 
@@ -76,8 +88,9 @@ class Vault:
         self.spark = spark
         self.spec = spec
         self.root = root.rstrip("/")
-        self.records = RecordStore(spark, f"{root}/store", spec.part_names(), tolerant)
-        self.index_store = index_store or ParquetIndexStore(spark, f"{root}/index")
+        self.ledger = Ledger(spark, f"{self.root}/ledger")
+        self.records = RecordStore(spark, f"{self.root}/store", spec.part_names(), tolerant, self.ledger)
+        self.index_store = index_store or ParquetIndexStore(spark, f"{self.root}/index", ledger=self.ledger)
         self.index_store.create()
         self.clock = StageClock(spark)
 
@@ -88,98 +101,120 @@ class Vault:
                max_file_mb: int | None = None) -> IngestReport:
         """Seal records, append them, then index what was written.
 
-        Each batch is its own key epoch unless one is named; an epoch should
-        stay within ``EPOCH_RECORDS``. Re-running a batch number replaces that
-        batch.
+        Records, quarantine and index become visible in one commit. Each batch is
+        its own key epoch unless one is named; an epoch should stay within
+        ``EPOCH_RECORDS``. Re-running a batch number replaces that batch at the
+        commit; readers go on with the old one until then.
         """
-        if drop_indexes:
-            self.index_store.truncate()
-            self._mark_covered([])
-        if batch is None:
-            batch = max(self.records.next_batch(), self.index_store.next_batch())
-        epoch = str(batch) if epoch is None else epoch
-        writer = secrets.writer().secrets(self.spark)
-
-        rows = 0
-        if max_file_mb is not None:
-            rows = rows_per_file(records, sealing.planned_size(self.spec), max_file_mb << 20)
+        return self._ingest(records, secrets, batch, epoch, drop_indexes, max_file_mb)
+
+    def ingest_lines(self, lines: DataFrame, secrets: Secrets, strict: bool = False, **options) -> IngestReport:
+        """Like :meth:`ingest`, for JSON lines. Each line is parsed once: those that are
+        no records are sealed in the same pass into the batch's quarantine and
+        counted; see :meth:`rejected`."""
+        judged = judged_lines(lines, self.spec, strict)
+        bad = F.when(F.col(FAULT).isNotNull(), F.lit(sealing.REJECTED))
+        return self._ingest(self._as_lines(judged, bad), secrets, **options)
+
+    def _as_lines(self, judged: DataFrame, line_class: Column) -> DataFrame:
+        body = sealing.line_body(F.col(LINE), F.col(FAULT))
+        more = [PLACE] if PLACE in judged.columns else []
+        return judged.select(*self.spec.fields, *more, line_class.alias(LINE_CLASS), body.alias(LINE_BODY))
+
+    def _ingest(self, rows: DataFrame, secrets: Secrets, batch: int | None = None, epoch: str | None = None,
+                drop_indexes: bool = False, max_file_mb: int | None = None, **info) -> IngestReport:
+        with self.ledger.together(), self.clock.stage("total"):
+            if drop_indexes:
+                self.index_store.truncate()
+            if batch is None:
+                batch = max(self.records.next_batch(), self.index_store.next_batch())
+            epoch = str(batch) if epoch is None else epoch
+            classes = self._classes(secrets, epoch)
+            good, bad, waiting = self._append(rows, classes, secrets, batch, max_file_mb, **info)
+            if good > EPOCH_RECORDS:
+                warnings.warn(f"batch {batch} sealed more than {EPOCH_RECORDS} records in one key epoch", stacklevel=3)
+            self._set_aside(batch, bad)
+            with self.clock.stage("index"):
+                report = self._index_batch(batch, classes, secrets)
+        return IngestReport(batch, good, report, bad, waiting)
+
+    def _classes(self, secrets: Secrets, epoch: str) -> DataFrame:
+        """Class keys of an epoch, whose wrapped form is written before its first records."""
         if not self.records.has_headers(epoch):
             with self.clock.stage("headers"):
                 headers = seal_headers(self.spark, self.spec, secrets.master, epoch)
                 self.records.append_headers(headers, epoch)
-        classes = seal_classes(self.spark, self.spec, secrets.master, epoch)
-        numbered, seen = counted(assign_uids(records, batch))
-        sealed = sealing.seal_records(numbered, self.spec, classes, writer)
-        with self.clock.stage("records"):
-            self.records.append(sealed, batch, rows)
-        if seen.get["rows"] > EPOCH_RECORDS:
-            warnings.warn(f"batch {batch} sealed more than {EPOCH_RECORDS} records in one key epoch", stacklevel=2)
-        with self.clock.stage("index"):
-            if batch in self._covered():
-                # The rebuilt index holds the rows this run replaced, among others.
-                report = self.reindex(secrets)
-            else:
-                report = self._index(self.index_store, [batch], classes, secrets, batch)
-        return IngestReport(batch, seen.get["rows"], report)
+        return seal_classes(self.spark, self.spec, secrets.master, epoch)
 
-    def ingest_lines(self, lines: DataFrame, secrets: Secrets, strict: bool = False, **options) -> IngestReport:
-        """Like :meth:`ingest`, for JSON lines. Lines that are no records are
-        sealed into the batch's quarantine and counted; see :meth:`rejected`."""
-        report = self.ingest(parse_records(lines, self.spec, strict), secrets, **options)
-        return report if strict else replace(report, rejected=self._quarantine(lines, secrets, report.batch))
-
-    def _quarantine(self, lines: DataFrame, secrets: Secrets, batch: int) -> int:
-        key = self._quarantine_key(secrets)
-        plain = F.to_json(F.struct("value", "fault")).cast("binary")
-        bad, seen = counted(rejected_lines(lines, self.spec).select(plain.alias("plain")))
-        sealed = crypto.seal(F.col("plain"), key.key("bad"), crypto.nonce_from(key.hmac("bad", F.col("plain"))), crypto.utf8(F.lit("quarantine")))
-        bad.select(sealed.alias("sealed")).write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch}")
-        return seen.get["rows"]
-
-    def _quarantine_key(self, secrets: Secrets) -> crypto.SecretRow:
-        return crypto.SecretRow(self.spark, {"bad": crypto.derive(secrets.word, "quarantine")})
+    def _append(self, rows: DataFrame, classes: DataFrame, secrets: Secrets, batch: int, max_file_mb: int | None,
+                **info) -> tuple[int, int, int]:
+        """Seal and write rows in one pass: how many records, bad lines and waiting lines."""
+        most = 0
+        if max_file_mb is not None:
+            most = rows_per_file(rows, sealing.planned_size(self.spec), max_file_mb << 20)
+        line_class = F.col(LINE_CLASS) if LINE_CLASS in rows.columns else F.lit(None).cast("string")
+        seen = Observation()
+        counts = {"good": line_class.isNull(), "bad": line_class == sealing.REJECTED, "waiting": line_class == sealing.WAITING}
+        numbered = assign_uids(rows, batch).observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()])
+        sealed = sealing.seal_records(numbered, self.spec, classes, secrets.writer().secrets(self.spark))
+        with self.clock.stage("records"):
+            self.records.append(sealed, batch, most, **info)
+        return tuple(seen.get[n] for n in counts)
+
+    def _set_aside(self, batch: int, bad: int) -> None:
+        """Keep a batch's bad lines in a table of their own, sealed as they are."""
+        root = f"{self.root}/quarantine"
+        if not bad:
+            self.ledger.drop("quarantine", [batch])
+            return
+        folder = self.ledger.new_folder(root, batch)
+        lines = self.records.read_lines(sealing.REJECTED, [batch]).select(F.col(sealing.SEALED_LINE).alias("sealed"))
+        lines.write.parquet(f"{root}/batch={folder}")
+        self.ledger.put(Piece("quarantine", batch, folder))
 
     def rejected(self, secrets: Secrets) -> DataFrame:
         """(batch, value, fault) of every line set aside."""
-        key = self._quarantine_key(secrets)
-        batches = published_folders(self.spark, f"{self.root}/quarantine", "batch")
-        if not batches:
+        root, pieces = f"{self.root}/quarantine", self.ledger.pieces("quarantine")
+        if not pieces:
             return self.spark.createDataFrame([], "batch long, value string, fault string")
-        stored = self.spark.read.schema("sealed binary, batch long").option("basePath", f"{self.root}/quarantine")
-        rows = stored.parquet(*[f"{self.root}/quarantine/batch={b}" for b in batches])
-        plain = crypto.open_or_fail(F.col("sealed"), key.key("bad"), crypto.utf8(F.lit("quarantine"))).cast("string")
-        return rows.select("batch", F.from_json(plain, "value string, fault string").alias("line")).select("batch", "line.*")
+        stored = self.spark.read.schema("sealed binary, batch long").option("basePath", root)
+        rows = stored.parquet(*[f"{root}/batch={p.folder}" for p in pieces])
+        batch = F.col("batch").bitwiseAND(F.lit((1 << BATCH_BITS) - 1)).alias("batch")
+        lines = rows.select(batch, F.col("sealed").alias(sealing.SEALED_LINE))
+        return sealing.open_lines(lines, secrets.writer().secrets(self.spark), "batch")
 
     def reindex(self, secrets: Secrets) -> UpsertReport:
-        """Build the index again from the sealed records alone, as one batch.
+        """Build the index again from the sealed records alone, as one run.
 
-        Searches go on with the old index until the new one is complete. It is
-        numbered as the last batch it covers, and a covered batch that runs again
-        has the index rebuilt: neither can overwrite or double what it holds.
+        Searches go on with the old index until the new one is complete. A batch
+        that runs again later has the run that holds it rebuilt.
         """
-        covered = self.records.batches()
-        store = self.index_store.begin()
-        report = self._index(store, None, self.records.headers(), secrets, max(covered, default=1))
-        self._mark_covered(covered)
-        store.publish()
+        with self.ledger.together():
+            store = self.index_store.begin()
+            covers = self.records.batches()
+            report = self._index(store, covers, self.records.headers(), secrets, None if len(covers) < 2 else _run_of(covers))
+            store.publish()
         return report
 
-    def _mark_covered(self, batches: list[int]) -> None:
-        marked = self.spark.createDataFrame([(b,) for b in batches], "batch long")
-        marked.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/covered/state=1")
-
-    def _covered(self) -> set[int]:
-        """Batches that a rebuilt index holds in its own first batch."""
-        if not published_folders(self.spark, f"{self.root}/covered", "state"):
-            return set()
-        return {r["batch"] for r in self.spark.read.schema("batch long").parquet(f"{self.root}/covered/state=1").collect()}
+    def _index_batch(self, batch: int, classes: DataFrame, secrets: Secrets) -> UpsertReport:
+        """Index a batch that was written, with all others of its run if it was merged into one."""
+        run = SealedIndex(self.index_store, secrets.reader()).run_of(batch)
+        if run is None or run.number == batch:
+            return self._index(self.index_store, [batch], classes, secrets)
+        return self._index(self.index_store, list(run.covers), self.records.headers(), secrets, run)
 
-    def _index(self, store: IndexStore, batches: list[int] | None, classes: DataFrame, secrets: Secrets,
-               batch: int | None) -> UpsertReport:
+    def _index(self, store: IndexStore, batches: list[int], classes: DataFrame, secrets: Secrets,
+               run: Run | None = None) -> UpsertReport:
         writer = secrets.writer()
         tokens = classes.select("class_token").distinct()
         rows = sealing.open_terms(self.records.read(batches), tokens, writer.secrets(self.spark))
-        return SealedIndex(store, writer).upsert(rows, batch)
+        number = max(batches, default=1) if run is None else run.number
+        return SealedIndex(store, writer).upsert(rows, number, run=run)
+
+    def tidy(self) -> int:
+        """Delete what no reader can still be using: folders that the last commits do not name."""
+        gone = self.records.tidy()
+        return gone + (self.index_store.tidy() if hasattr(self.index_store, "tidy") else 0)
 
     # --- reading ---
 
@@ -204,11 +239,12 @@ class Vault:
     def search(self, words, keys: ReaderKeys, user_keys: DataFrame | Keyring,
                disjunction: bool = False) -> SearchResult:
         """Matching records, as far as the user's keys open them."""
-        with self.clock.stage("find"):
-            hits = staged(self.find(words, keys, disjunction), "hits")
-        with self.clock.stage("choose files"):
-            chosen = self.records.read_selected(hits)
-        return SearchResult(hits, sealing.open_records(chosen, self._keyring(user_keys), self.spec))
+        with self.ledger.pinned():
+            with self.clock.stage("find"):
+                hits = staged(self.find(words, keys, disjunction), "hits")
+            with self.clock.stage("choose files"):
+                chosen = self.records.read_selected(hits)
+            return SearchResult(hits, sealing.open_records(chosen, self._keyring(user_keys), self.spec))
 
     def open_all(self, user_keys: DataFrame | Keyring) -> DataFrame:
         """Every record the user's keys open, without the index."""

@@ -73,8 +73,7 @@ def staging(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str
     try:
         yield lambda df, table: _write_table(df, f"{root}/{table}")
     finally:
-        path, fs = _resolve(spark, root)
-        fs.delete(path, True)
+        delete_path(spark, root)
 
 
 def _write_table(df: DataFrame, path: str) -> DataFrame:
@@ -95,6 +94,43 @@ def started_folders(spark: SparkSession, path: str, key: str) -> list[str]:
     return sorted(s.getPath().getName().split("=", 1)[1] for s in fs.globStatus(pattern) or [])
 
 
+def list_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files and folders that match."""
+    glob, fs = _resolve(spark, pattern)
+    return sorted(s.getPath().getName() for s in fs.globStatus(glob) or [])
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    file, fs = _resolve(spark, path)
+    stream = fs.open(file)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    file, fs = _resolve(spark, path)
+    stream = fs.create(file, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def move_file(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a file its name, unless that is taken."""
+    old, fs = _resolve(spark, source)
+    new, _ = _resolve(spark, target)
+    return not fs.exists(new) and fs.rename(old, new)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    old, fs = _resolve(spark, path)
+    fs.delete(old, True)
+
+
 def _resolve(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -10,6 +10,7 @@ from sealdex.operators.specs import RecordSpec
 
 # Helper columns, named apart from any field.
 _BAD, _LINE, _FAULT = "_malformed", "_line", "_fault"
+LINE, FAULT = _LINE, _FAULT
 
 
 def _parsed(lines: DataFrame, spec: RecordSpec) -> DataFrame:
@@ -17,7 +18,8 @@ def _parsed(lines: DataFrame, spec: RecordSpec) -> DataFrame:
     the line a second time, as it would with a plain projection."""
     schema = T.StructType([*spec.schema().fields, T.StructField(_BAD, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    return lines.select(F.col("value").alias(_LINE), F.inline(F.array(F.from_json("value", schema, options))))
+    more = [c for c in lines.columns if c != "value"]
+    return lines.select(F.col("value").alias(_LINE), *more, F.inline(F.array(F.from_json("value", schema, options))))
 
 
 def _fault(spec: RecordSpec) -> Column:
@@ -53,6 +55,16 @@ def rejected_lines(lines: DataFrame, spec: RecordSpec) -> DataFrame:
     return judged.where(F.col(_FAULT).isNotNull()).select(F.col(_LINE).alias("value"), F.col(_FAULT).alias("fault"))
 
 
+def judged_lines(lines: DataFrame, spec: RecordSpec, strict: bool = False) -> DataFrame:
+    """Good and bad lines in one pass: the fields, the line itself, why it is no record,
+    and the further columns of ``lines``. ``strict`` fails the job on a bad line."""
+    fault = _fault(spec)
+    if strict:
+        fault = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("bad record: "), fault)).cast("string"))
+    more = [c for c in lines.columns if c != "value"]
+    return _parsed(lines, spec).select(*spec.fields, *more, _LINE, fault.alias(_FAULT))
+
+
 def record_lines(records: DataFrame, spec: RecordSpec) -> DataFrame:
     """Records as JSON lines, the inverse of :func:`parse_records`."""
     fields = [F.col(name).cast("string").alias(name) for name in spec.fields]
