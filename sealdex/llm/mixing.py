@@ -1,31 +1,38 @@
 """Mixing of sources to target weights by entropy balancing.
 
-The rates closest in relative entropy to "every document once" that meet the
-token target of every source are exponential tilts: the multiplier of a source
-is the root of its strictly convex dual, found by Newton steps whose gradient
-and curvature Spark sums over the documents' histogram of sizes. Rates are then
-rounded into whole copies along the sizes of a source, so the running error
+Of all rates that meet the token target of every source and stay within ``MOST``,
+those closest in relative entropy to "every document once" are exponential
+tilts by size: rate = min(MOST, exp(multiplier * size)). The multiplier of a source
+is the root of its convex dual. Newton steps find it, kept inside a bracket; their
+gradient (tokens taken less the target) and curvature (tokens weighed by size) are
+sums that Spark takes over the documents' histogram of sizes. Rates are then
+rounded into whole copies along the sizes of a source, so that its running error
 never exceeds the largest size.
 
-Cases: a null or empty text has size 0 and takes nothing. Null is a source of
-its own and the last one. Repeated rows count once each. With no words at all
-every target is 0. An empty table gives no rows. Rows need not have an id; ties
-in size are broken by a hash of id and text.
+Cases: a null or empty text has size 0, rate 1 and takes nothing. Null is a source
+of its own and the last one. Repeated rows count once each. With no words at all
+every target is 0. An empty table gives no rows. Rows need not have an id; ties in
+size are broken by a hash of the row, so rows that tie there too are equal and reruns
+take the same. Further columns may have any name. A very long text costs one count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sealdex.session import scratch_path
+from sealdex.session import staged, staging
 
 #: Base weights in the order of the sources, repeating.
 WEIGHTS = (1, 2, 3)
 #: No source and no document is taken more often than this.
 MOST = 3
 NEWTON_STEPS = 60
-TOLERANCE = 1e-12
+#: A source is solved when its tokens are this close to its target, relative to it.
+TOLERANCE = 1e-9
 #: Rows of one source and size that are ranked together; more are dealt over several groups.
 RANKED_TOGETHER = 256
 
@@ -54,43 +61,95 @@ def water_filled(sources: DataFrame) -> DataFrame:
     return levels.withColumn("target", F.least(F.col("common") * F.col("weight"), F.lit(float(MOST)) * F.col("mass")))
 
 
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _draw(docs: DataFrame) -> Column:
+    """A hash of the whole row."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*hashed)
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, source) for every row of ``docs``."""
     sized = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("draw"),
-    )
-    return _copies(sized).select(
-        "doc_id", "size", F.col("mass").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source"
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), _size(text_col).alias("size"), _draw(docs).alias("draw")
     )
+    with staging(docs.sparkSession, "mixing") as stage:
+        return staged(
+            _copies(sized, stage).select(
+                "doc_id", "size", F.col("mass").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source"
+            ),
+            "mixed",
+        )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+def mixed_rows(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows are written once under numbers of their own, by which they meet their
+    copies: no group of equal rows or of one id is brought together. The result reads
+    tables of the workspace.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("row"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("draw"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    copies = _copies(keyed.select("doc_id", "source", "size", "draw"))
-    # Equal rows share what they got together.
-    total = copies.groupBy("draw", "doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    nth = F.row_number().over(Window.partitionBy("draw", "doc_id").orderBy("size"))
-    rows = keyed.select("row", "draw", "doc_id", "size").repartition("draw").withColumn("nth", nth)
-    taken = rows.join(total, (rows["draw"] == total["draw"]) & rows["doc_id"].eqNullSafe(total["doc_id"])).select(
-        "row", (F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") <= F.col("copies") % F.col("rows")).cast("int")).cast("int").alias("n")
+    keyed = staged(
+        docs.select(
+            row.alias("row"), F.monotonically_increasing_id().alias("at"), F.col(f"`{source_col}`").alias("source"), _size(text_col).alias("size"), _draw(docs).alias("draw")
+        ),
+        "mixing-rows",
     )
-    return taken.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
+    with staging(docs.sparkSession, "mixing") as stage:
+        copies = _copies(keyed.select(F.col("at").alias("doc_id"), "source", "size", "draw"), stage)
+        copies = staged(copies.where("copies > 0").select(F.col("doc_id").alias("at"), "copies"), "mixing-copies")
+    taken = keyed.select("row", "at").join(copies, "at")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
-def _copies(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, size, draw, mass, target, copies) of (doc_id, source, size, draw)."""
-    spark = documents.sparkSession
-    root = scratch_path(spark, "mixing")
+def rate(multiplier: Column, size: Column) -> Column:
+    """The tilt, at most MOST."""
+    return F.least(F.exp(F.least(multiplier * size, F.lit(math.log(MOST)))), F.lit(float(MOST)))
+
+
+def _multipliers(histogram: DataFrame, targets: DataFrame, stage) -> DataFrame:
+    """(source, multiplier) of the sources that are neither empty nor taken whole MOST times.
+
+    f(multiplier) = sum of docs * size * rate grows with the multiplier, so every
+    step narrows the bracket [low, high] about the root; a Newton step that would
+    leave it is replaced by its middle.
+    """
+    tilted = targets.where(F.col("target") < F.col("mass") * MOST * (1 - TOLERANCE)).where("target > 0")
+    # At one end every size is taken MOST times, at the other all together less than the target.
+    ends = histogram.where("size > 0").groupBy("source").agg(F.min("size").alias("least"))
+    state = tilted.join(ends, tilted["source"].eqNullSafe(ends["source"])).select(
+        tilted["source"],
+        "target",
+        F.lit(0.0).alias("multiplier"),
+        F.least((F.log(F.col("target") / F.col("mass")) - 1) / F.col("least"), F.lit(0.0)).alias("low"),
+        (F.lit(math.log(MOST)) / F.col("least")).alias("high"),
+    )
+    state = stage(state.select(F.col("source").alias("s"), "target", "multiplier", "low", "high", F.lit(1.0).alias("off")), "step-0")
+    for step in range(1, NEWTON_STEPS + 1):
+        tokens = F.col("docs") * F.col("size") * rate(F.col("multiplier"), F.col("size"))
+        inside = F.col("multiplier") * F.col("size") < math.log(MOST)
+        sums = histogram.join(state, histogram["source"].eqNullSafe(state["s"])).groupBy("s", "target", "multiplier", "low", "high").agg(
+            (F.sum(tokens) - F.col("target")).alias("gradient"), F.sum(F.when(inside, tokens * F.col("size")).otherwise(0.0)).alias("curvature")
+        )
+        low = F.when(F.col("gradient") < 0, F.col("multiplier")).otherwise(F.col("low"))
+        high = F.when(F.col("gradient") > 0, F.col("multiplier")).otherwise(F.col("high"))
+        newton = F.when(F.col("curvature") > 0, F.col("multiplier") - F.col("gradient") / F.col("curvature"))
+        sums = sums.select("s", "target", low.alias("low"), high.alias("high"), "multiplier", newton.alias("newton"), (F.abs("gradient") / F.col("target")).alias("off"))
+        moved = F.when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
+        moved = F.when(F.col("off") <= TOLERANCE, F.col("multiplier")).otherwise(moved)
+        state = stage(sums.select("s", "target", moved.alias("multiplier"), "low", "high", "off"), f"step-{step}")
+        if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
+            break
+    return state.select(F.col("s").alias("source"), "multiplier")
 
-    def write(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
+def _copies(documents: DataFrame, stage) -> DataFrame:
+    """(doc_id, source, size, draw, mass, target, copies) of (doc_id, source, size, draw)."""
+    write = stage
     sized = write(documents, "sized")
     histogram = write(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "histogram")
 
@@ -104,34 +163,22 @@ def _copies(documents: DataFrame) -> DataFrame:
     )
     targets = write(water_filled(sources).select("source", "rank", "mass", F.coalesce("target", F.lit(0.0)).alias("target")), "targets")
 
-    # Rates, stated by size: tilt(size) = exp(multiplier), the same for every token of a source.
-    multipliers = write(targets.select("source", F.lit(0.0).alias("multiplier")), "multipliers-0")
-    for step in range(1, NEWTON_STEPS + 1):
-        tilted = histogram.join(multipliers, histogram["source"].eqNullSafe(multipliers["source"])).select(
-            multipliers["source"], "multiplier", (F.col("docs") * F.col("size") * F.exp("multiplier")).alias("tokens")
-        )
-        sums = tilted.groupBy("source", "multiplier").agg(F.sum("tokens").alias("tokens"))
-        moved = sums.join(targets, sums["source"].eqNullSafe(targets["source"])).select(
-            sums["source"],
-            "multiplier",
-            # Gradient and curvature of the dual: tokens - target and tokens.
-            F.when((F.col("tokens") > 0) & (F.col("target") > 0), (F.col("target") - F.col("tokens")) / F.col("tokens")).otherwise(0.0).alias("move"),
-        )
-        multipliers = write(moved.select("source", (F.col("multiplier") + F.col("move")).alias("multiplier"), F.abs("move").alias("moved")), f"multipliers-{step}")
-        if (multipliers.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
-            break
-    rates = targets.join(multipliers, targets["source"].eqNullSafe(multipliers["source"])).select(
-        targets["source"],
-        "mass",
-        "target",
-        F.when(F.col("target") > 0, F.least(F.exp("multiplier"), F.lit(float(MOST)))).otherwise(0.0).alias("rate"),
+    multipliers = _multipliers(histogram, targets, stage)
+    # Sources without a multiplier are empty, or taken MOST times.
+    rates = targets.join(multipliers, targets["source"].eqNullSafe(multipliers["source"]), "left").select(
+        targets["source"], "mass", "target", "multiplier"
     )
 
     # Copies of a size: whole copies for all, one more for some, so that the running
     # sum of copies along the sizes of a source follows the running sum of rates.
     along = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plan = histogram.join(rates, histogram["source"].eqNullSafe(rates["source"])).select(
-        histogram["source"].alias("source"), "size", "docs", "mass", "target", "rate"
+        histogram["source"].alias("source"),
+        "size",
+        "docs",
+        "mass",
+        "target",
+        F.when(F.col("target") <= 0, 0.0).when(F.col("multiplier").isNull(), float(MOST)).otherwise(rate(F.col("multiplier"), F.col("size"))).alias("rate"),
     )
     plan = (
         plan.withColumn("upto", F.floor(F.sum(F.col("docs") * F.col("rate")).over(along) + 0.5))
