@@ -53,26 +53,93 @@ _PARAGRAPH_ENDS = frozenset(
     "header hgroup hr li main menu nav ol p pre section summary table ul".split()
 )
 _ENDED_BY = {"p": _PARAGRAPH_ENDS, "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"])}
-#: Words of class, id and role that say the same, at the beginning of a token or after a word of place.
+#: Words of class, id and role that say the same: as a whole token, before or behind words of place.
 _MARKS = re.compile(
-    r"(?<![^\s])(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|entry|article|blog)[-_])*(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|aside|comments?|commentlist|disqus|replies|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|footer|masthead|site-header|page-header|"
-    r"search|login|toolbar|widget|pagination|skip-link|contentinfo|complementary|hidden|legal|disclaimer)(?![a-z])",
+    r"(?<![^\s])(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|entry|article|blog)[-_])*+(?:ads?|advert\w*+|banner|sponsor\w*+|promo\w*+|nav|navbar|navigation|menu\w*+|breadcrumbs?|sidebar|side-bar|aside|comments?|commentlist|disqus|replies|"
+    r"cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*+|footer|masthead|site-header|page-header|"
+    r"login|toolbar|widget|pagination|skip-link|contentinfo|complementary|hidden|legal|disclaimer)"
+    r"(?:[-_](?:area|banner|bar|block|buttons?|container|form|inner|items?|left|links?|list|menu|nav|notice|overlay|panel|posts?|right|section|slot|unit|widget|wrapper|\d+))*+(?!\S)",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: The same where quotes do not match up: a tag ends at the next >.
+_LOOSE_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_TAG_START = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
+_ATTRIBUTE = re.compile(r"""(?<![\w:-])([\w:-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))""")
 _SPACE = re.compile(r"\s+")
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 
 DROPPED, OPEN, ARTICLE = 0, 1, 2
 
 
+class _Open:
+    """Elements that are open, with the places of each name: no search goes through all of them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        #: Places of blocks that an unclosed paragraph or item below them survives.
+        self.walls: list[int] = []
+
+    def push(self, name: str, state: int) -> None:
+        place = len(self.stack)
+        self.stack.append((name, state))
+        self.places.setdefault(name, []).append(place)
+        if name in _OTHER or name in _BLOCKS and name not in ("div", "address", "p"):
+            self.walls.append(place)
+
+    def last(self, name: str) -> int:
+        return (self.places.get(name) or [-1])[-1]
+
+    def close(self, place: int) -> int:
+        """Close the element at a place and all in it; the state before it."""
+        state = self.stack[place][1]
+        while len(self.stack) > place:
+            name, _ = self.stack.pop()
+            self.places[name].pop()
+            if self.walls and self.walls[-1] == len(self.stack):
+                self.walls.pop()
+        return state
+
+    def inside(self, names: frozenset[str]) -> bool:
+        return any(self.places.get(n) for n in names)
+
+
+def _tags(source: str) -> Iterator[tuple[str, re.Match | None]]:
+    """Text and the tag behind it, in one pass.
+
+    A tag whose quotes do not match up costs one look at the rest of the page; from
+    there on tags end at the next >. What has no > behind it is text.
+    """
+    last, place, text_from, tag = source.rfind(">"), 0, 0, _TAG
+    while True:
+        start = _TAG_START.search(source, place)
+        at = start.start() if start else len(source)
+        comment = source.startswith("<!--", at)
+        if not start or (at > last and not comment):
+            yield source[text_from:], None
+            return
+        found = tag.match(source, at)
+        if not found and tag is _TAG:
+            tag = _LOOSE_TAG
+            found = tag.match(source, at)
+        if not found:
+            place = at + 1
+            continue
+        skip = yield source[text_from:at], found
+        place = text_from = found.end() if skip is None else skip
+        if skip is not None:
+            yield "", None
+
+
 def lines_of(source: str) -> list[tuple[str, int]]:
-    """Text blocks of a page in order, each with what its markup says: dropped, open or article."""
+    """Text blocks of a page in order, each with what its markup says: dropped, open or article.
+
+    Time and memory grow with the page, whatever stands in it.
+    """
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
-    state, place, parts = OPEN, 0, []
+    open_ = _Open()
+    state, parts = OPEN, []
 
     def flush() -> None:
         if parts:
@@ -81,48 +148,39 @@ def lines_of(source: str) -> list[tuple[str, int]]:
             if text and state != DROPPED:
                 out.append((text, state))
 
-    for_tag = _TAG.search
-    while True:
-        m = for_tag(source, place)
-        if not m:
-            parts.append(source[place:])
-            break
-        parts.append(source[place : m.start()])
-        place = m.end()
-        name = m[2]
-        if name is None:
+    tags = _tags(source)
+    for text, m in tags:
+        parts.append(text)
+        if m is None or m[2] is None:
             continue
-        name = name.lower()
+        name = m[2].lower()
         if m[1]:
             if name in _BLOCKS or name in _OTHER:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    state = stack[i][1]
-                    del stack[i:]
-                    break
+            if open_.last(name) >= 0:
+                state = open_.close(open_.last(name))
             continue
         if name in _BLOCKS or name in _OTHER:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if name in _ENDED_BY.get(stack[i][0], ()):
-                    state = stack[i][1]
-                    del stack[i:]
-                elif stack[i][0] in _BLOCKS and stack[i][0] not in ("div", "address", "p") or stack[i][0] in _OTHER:
+            while True:
+                ended = max((open_.last(k) for k, by in _ENDED_BY.items() if name in by), default=-1)
+                if ended < 0 or (open_.walls and ended < open_.walls[-1]):
                     break
+                state = open_.close(ended)
+        closed = m[3].rstrip().endswith("/")
         if name in _RAW:
-            end = _CLOSE[name].search(source, place)
-            if not m[3].rstrip().endswith("/"):
-                place = end.end() if end else len(source)
+            if not closed:
+                end = _CLOSE[name].search(source, m.end())
+                tags.send(end.end() if end else len(source))
             continue
-        if name in _VOID or m[3].rstrip().endswith("/") or name in ("p", "li", "b", "i", "span", "a"):
+        if name in _VOID or closed or name in ("p", "li", "b", "i", "span", "a"):
             if not m[3] or not _other(name, m[3]) or name in _VOID:
                 continue
         elif name not in _OTHER and name not in _BLOCKS and not m[3]:
             continue
-        stack.append((name, state))
+        open_.push(name, state)
         if state != DROPPED:
-            page_header = name == "header" and not any(x in _ARTICLE for x, _ in stack)
+            page_header = name == "header" and not open_.inside(_ARTICLE)
             if name in _OTHER or page_header or (m[3] and _other(name, m[3])):
                 state = DROPPED
             elif name in _ARTICLE:
@@ -133,6 +191,8 @@ def lines_of(source: str) -> list[tuple[str, int]]:
 
 def _other(name: str, attributes: str) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
+        if key.lower() == "role" and "search" in values:
+            return True
         if name not in _WHOLE and key.lower() in ("class", "id", "role", "aria-label") and _MARKS.search("".join(values)):
             return True
         if key.lower() == "style" and re.search(r"display\s*:\s*none", "".join(values), re.I):

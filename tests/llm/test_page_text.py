@@ -1,6 +1,10 @@
+import time
+
 import numpy as np
+import pytest
 from llm_rows import SF_DIR, shipped  # noqa: F401
 
+from sealdex.llm import page_text
 from sealdex.llm.page_text import common_beginning, lines_of, main_texts, shared_lines
 from sealdex.llm.queries import QUERIES
 
@@ -106,3 +110,24 @@ def test_query_against_every_pair(shipped):
 
 def test_no_rows(shipped):
     assert texts(shipped, []) == {}
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 1_000_000, "<a '>' " * 300_000, '<a ">' * 400_000 + "'", "<div>" * 200_000 + "</x>" * 200_000,
+     "<p class=ad><td>" + "<div>" * 200_000, "<canvas/>" * 200_000, "<a " + "b" * 2_000_000 + ">", "<!" * 1_000_000, "< " * 1_000_000 + ">"],
+)
+def test_hostile_pages_take_time_in_proportion(page):
+    start = time.process_time()
+    page_text.lines_of(page)
+    assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("name, kept", [("search results", 1), ("legal-text", 1), ("share-price", 1), ("comments-policy", 1), ("alert-box", 1), ("ad", 0), ("ad-slot", 0), ("site-footer", 0), ("cookie-banner main", 0)])
+def test_marks_are_whole_tokens(name, kept):
+    assert len(page_text.lines_of(f'<div class="{name}">words</div>')) == kept
+
+
+def test_text_that_only_looks_like_tags():
+    lines = page_text.lines_of("<p>a < b and c <d e=\"f'> g</p><p title='it's'>h</p> <3 <")
+    assert [t for t, _ in lines][0].startswith("a < b and c") and lines[-1][0].endswith("<3 <")
