@@ -2,6 +2,49 @@
 
 from __future__ import annotations
 
+import string
+
+
+def vector_search_sql(k: int = 10, every: int = 100) -> str:
+    """Every inner product of a query's row with another row."""
+    return f"""WITH sound AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id,
+                   list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::BIGINT) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        scores AS (
+            SELECT q.r, q.vec_id AS query_id, c.r AS other, c.vec_id,
+                   coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+            FROM sound q JOIN sound c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % {every} = 0)
+        SELECT query_id, rank::INT AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS rank FROM scores) WHERE rank <= {k}"""
+
+
+_LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def near_duplicates_sql(width: int = 5, percent: int = 85) -> str:
+    """Intersections counted shingle by shingle, links followed until nothing changes. Equal sets
+    are one node, so that hot shingles of copies are not paired with one another."""
+    return rf"""WITH RECURSIVE words AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^ 	-]+') AS w FROM documents),
+        shingled AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1),
+                   lambda i: array_to_string(w[i:least(i + {width - 1}, len(w))], ' ')))) END AS s FROM words),
+        classes AS MATERIALIZED (
+            SELECT min(doc_id) AS c, s, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
+        pieces AS MATERIALIZED (SELECT c, n, unnest(s) AS x FROM classes),
+        links AS MATERIALIZED (
+            SELECT a.c AS one, b.c AS two FROM pieces a JOIN pieces b ON a.x = b.x AND a.c <> b.c
+            GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+        reached(c, root) AS (
+            SELECT c, c FROM classes UNION SELECT links.two, reached.root FROM reached JOIN links ON links.one = reached.c),
+        roots AS (SELECT c, min(root) AS root FROM reached GROUP BY c),
+        joined AS (
+            SELECT shingled.doc_id, len(shingled.s)::BIGINT AS n_shingles, coalesce(roots.root, shingled.doc_id) AS component_id
+            FROM shingled LEFT JOIN classes ON classes.s = shingled.s LEFT JOIN roots ON roots.c = classes.c)
+        SELECT *, component_id = doc_id AS kept FROM joined"""
+
 
 def clusters_sql(centroids: int = 16, rounds: int = 3) -> str:
     """Rounds of assignment and means as a chain of tables; every distance is computed."""

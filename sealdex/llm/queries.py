@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sealdex.llm.clustering import clusters
 from sealdex.llm.decontamination import contaminated
 from sealdex.llm.manifest import manifest, without_line_ends
 from sealdex.llm.mixing import mixed
 from sealdex.llm.near_duplicates import near_duplicate_groups
-from sealdex.llm.oracles import clusters_sql, manifest_sql
+from sealdex.llm.oracles import clusters_sql, manifest_sql, near_duplicates_sql, vector_search_sql
 from sealdex.llm.page_text import main_texts
 from sealdex.llm.prefix_counts import token_counts
 from sealdex.llm.quality import scored, train
@@ -59,8 +60,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return exact_top_k(vectors.where(f"vec_id % {QUERY_EVERY} = 0"), vectors)
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,9 @@ QUERIES = {
 }
 
 #: SQL over the same tables, where SQL can say it.
-ORACLES: dict[str, str] = {"op11_manifest": manifest_sql(), "op13_clusters": clusters_sql()}
+ORACLES: dict[str, str] = {
+    "op3_near_duplicates": near_duplicates_sql(),
+    "op9_vector_search": vector_search_sql(),
+    "op11_manifest": manifest_sql(),
+    "op13_clusters": clusters_sql(),
+}

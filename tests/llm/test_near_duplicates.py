@@ -3,10 +3,11 @@ import re
 from itertools import combinations
 
 import numpy as np
+from compare import compare, connect
 from llm_rows import SF_DIR, odd_rows, shipped  # noqa: F401
 
 from sealdex.llm import near_duplicates as nd
-from sealdex.llm.queries import QUERIES
+from sealdex.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string"
 
@@ -94,3 +95,8 @@ def test_registers_merge_and_follow_similarity():
     ra, rb = nd.registers(a, np.array([0])), nd.registers(b, np.array([0]))
     assert (nd.merge(ra, rb) == nd.registers(np.concatenate([a, right]), np.array([0]))).all()
     assert abs((ra == rb).mean() - 0.8) < 0.12
+
+
+def test_sql(shipped):
+    matches, _, _, difference = compare(shipped, connect(SF_DIR), SF_DIR, QUERIES["op3_near_duplicates"], ORACLES["op3_near_duplicates"])
+    assert matches, difference
