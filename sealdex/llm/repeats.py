@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, piece: int):
     return row[new], place[new], starts[new], starts[last], first
 
 
-def _anchored(length: int, piece: int, light: bool):
+def _anchored(length: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = utf8_column(batch, "text")
@@ -93,12 +93,9 @@ def _anchored(length: int, piece: int, light: bool):
                 lead = (place - begin).astype(np.uint64)
                 one = mix(first(begin, end + length) + lead).view(np.int64)
                 two = mix(second(begin, end + length) ^ lead).view(np.int64)
-                columns = [first(place, place + piece).view(np.int64), one, two]
-                names = ["anchor", "one", "two"]
-                if not light:
-                    took = pa.array(low + row)
-                    columns += [batch.column(0).take(took), batch.column(1).take(took), begin - own[row], end - begin + length, place - begin]
-                    names += ["id", "key", "begin", "size", "lead"]
+                took = pa.array(low + row)
+                columns = [first(place, place + piece).view(np.int64), one, two, batch.column(0).take(took), batch.column(1).take(took), begin - own[row], end - begin + length]
+                names = ["anchor", "one", "two", "id", "key", "begin", "size"]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names)
 
     return run
@@ -319,16 +316,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, i
     plain = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")
     )
-    first = plain.mapInArrow(_anchored(length, piece, True), "anchor long, one long, two long")
+    # Texts are hashed once; what repeats is picked from the written contexts.
+    anchored = write(plain.mapInArrow(_anchored(length, piece), "anchor long, one long, two long, id long, key long, begin long, size long"), "anchored")
     common = write(
-        first.groupBy("anchor")
+        anchored.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("one").alias("a"), F.max("one").alias("b"), F.min("two").alias("c"), F.max("two").alias("d"))
         .where("n > 1")
         .select("anchor", F.expr("a = b AND c = d").alias("whole")),
         "common",
     )
-    full = "anchor long, one long, two long, id long, key long, begin long, size long, lead long"
-    followed = write(plain.mapInArrow(_anchored(length, piece, False), full).join(common, "anchor").drop("lead"), "followed")
+    followed = write(anchored.join(common, "anchor"), "followed")
 
     # Of contexts that differ, one of each kind is compared with the others.
     kind = ["anchor", "one", "two"]
