@@ -10,27 +10,34 @@ from pyspark.sql import functions as F
 from sealdex.llm.decontamination import contaminated
 from sealdex.llm.mixing import mixed_rows
 from sealdex.llm.near_duplicates import near_duplicate_groups
-from sealdex.llm.quality import scored, train
+from sealdex.llm.quality import accepted, train
 from sealdex.llm.queries import VOCABULARY
 from sealdex.llm.tables import ship, table
 from sealdex.llm.token_files import written_and_read
-from sealdex.session import scratch_path
+from sealdex.session import scratch_path, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; those without an id stay."""
+    """Rows that the classifier rejects go; those without an id stay."""
     ship(spark)
-    model = train(docs, table(spark, sf_dir, "labels"))
-    rejected = scored(docs, model).where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return accepted(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, and one row of a repeated one; those without an id stay."""
+    """One document of each group stays, and one row of a repeated id; those without an id stay.
+
+    Decisions are made on ids alone. Texts are shuffled once, to meet them; rows of
+    a repeated id, which only a table with such ids has, are sorted out after that.
+    """
     ship(spark)
-    gone = near_duplicate_groups(docs).where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    ids = near_duplicate_groups(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows"))
+    ids = staged(ids, "near-duplicate-ids")
+    kept = docs.join(ids.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if ids.where("kept AND rows > 1").isEmpty():
+        return kept
+    repeated = ids.where("kept AND rows > 1").select("doc_id")
+    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
