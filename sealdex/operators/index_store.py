@@ -278,7 +278,8 @@ class ParquetIndexStore:
         """What the entries are of, by number; a batch not described otherwise is a run of its own."""
         said = self.ledger.fact(f"{self._table('runs')}", {})
         numbers = [p.batch for p in self.ledger.pieces(self._table("entry")) if self._only is None or p.batch in self._only]
-        return [Run(n, *said.get(str(n), (0, (n,)))) for n in numbers]
+        known = {n: said.get(str(n), (0, (n,))) for n in numbers}
+        return [Run(n, level, tuple(covers)) for n, (level, covers) in known.items()]
 
     def describe(self, run: Run) -> None:
         with self.ledger.together() as state:

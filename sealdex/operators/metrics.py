@@ -43,6 +43,17 @@ class StageClock:
         yield
         self._rows.append((name, events, int((time.perf_counter() - start) * 1e6)))
 
+    def mark(self) -> tuple[int, float]:
+        """A point to measure a whole job from."""
+        return len(self._rows), time.perf_counter()
+
+    def since(self, mark: tuple[int, float]) -> dict[str, int]:
+        """Micros of each stage since a mark, and of all of it as ``total``."""
+        taken: dict[str, int] = {}
+        for name, _, micros in self._rows[mark[0] :]:
+            taken[name] = taken.get(name, 0) + micros
+        return taken | {"total": int((time.perf_counter() - mark[1]) * 1e6)}
+
     def timings(self) -> DataFrame:
         schema = {"stage": pa.string(), "events": pa.int64(), "micros": pa.int64()}
         return local_frame(self._spark, self._rows, schema)

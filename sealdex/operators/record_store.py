@@ -129,12 +129,15 @@ class RecordStore:
     def read_selected(self, hits: DataFrame) -> DataFrame:
         """Sealed records named by (file, pos) hits.
 
-        Few distinct files are passed to the scan by name: only their batches'
-        folders are listed, and other files not opened. The semi-join decides either way.
+        Only batches that hold hits are listed, however many hits there are. The files
+        of few distinct names are passed to the scan, and others not opened. The
+        semi-join decides either way.
         """
         few = rows_if_few(hits.select("file").distinct(), FEW_FILES)
         if few is None:
-            records = self.read()
+            # As many numbers at most as the ledger holds batches.
+            batch = F.substring_index("file", "-", 1).cast("long").alias("batch")
+            records = self.read([r["batch"] for r in hits.select(batch).distinct().collect()])
         else:
             names = sorted(r["file"] for r in few)
             held = {batch_of(n) for n in names}.intersection(self.batches())

@@ -44,17 +44,15 @@ def built(tokens: DataFrame, slots: int) -> DataFrame:
     return each.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def holds(bits: Column, token: Column) -> Column:
-    """Whether all bits of a token are set."""
+def holds(bits: str, token: str) -> Column:
+    """Whether all bits of a token are set, of two columns named."""
 
-    def is_set(bit: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-        return F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    def is_set(i: int) -> str:
+        bit = f"(conv(hex(substring({token}, {5 + 4 * i}, 4)), 16, 10)::bigint % {SLOT_BITS})"
+        byte = f"conv(hex(substring({bits}, ({bit} >> 3)::int + 1, 1)), 16, 10)::int"
+        return f"(({byte} >> ({bit} % 8)::int) & 1) = 1"
 
-    out = F.lit(True)
-    for bit in _bits(token):
-        out = out & is_set(bit)
-    return out
+    return F.expr(" AND ".join(is_set(i) for i in range(HASHES)))
 
 
 def possible(tokens: DataFrame, sketches: dict[int, list[str]]) -> DataFrame:
@@ -62,10 +60,15 @@ def possible(tokens: DataFrame, sketches: dict[int, list[str]]) -> DataFrame:
 
     ``sketches`` are the folders of sketches by their number of slots.
     """
-    out = None
+    if not sketches:
+        return tokens.where(F.lit(False))
+    reader = tokens.sparkSession.read.schema("slot int, bits binary")
+    stored = None
     for slots, paths in sorted(sketches.items()):
-        stored = tokens.sparkSession.read.schema("slot int, bits binary").parquet(*paths)
-        asked = tokens.withColumn("slot", _slot(F.col("token"), slots))
-        met = asked.join(stored, "slot").where(holds(F.col("bits"), F.col("token"))).select("token")
-        out = met if out is None else out.unionByName(met)
-    return tokens.where(F.lit(False)) if out is None else out.distinct()
+        rows = reader.parquet(*paths).select(F.lit(slots).alias("slots"), "slot", "bits")
+        stored = rows if stored is None else stored.unionByName(rows)
+    asked = tokens.select("token", F.explode(F.array(*map(F.lit, sketches))).alias("slots"))
+    asked = asked.withColumn("slot", F.expr("(conv(hex(substring(token, 1, 4)), 16, 10)::bigint % slots)::int"))
+    met = asked.join(stored, ["slots", "slot"]).where(holds("bits", "token"))
+    # Sketches of one size are asked once a token; a token held by several is one.
+    return met.select("token").distinct()

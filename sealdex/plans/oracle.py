@@ -251,6 +251,14 @@ def oracle_sql() -> dict[str, str]:
         "stream_ingest_equals_batch": _EVENTS,
         "stream_index_search": f"{_EVENTS} WHERE event_type IN ('click', 'purchase')",
         "stream_sentinel": f"{_EVENTS} WHERE event_id < (SELECT (max(event_id) + 1) // 2 FROM events)",
+        "input_reconciliation": """
+          SELECT c_mktsegment AS segment, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'vanished' ELSE 'read' END AS outcome,
+                 CASE WHEN c_mktsegment = 'FURNITURE' THEN 0 ELSE count(*) END AS lines FROM customer GROUP BY 1
+          UNION ALL SELECT 'archive', 'skipped', 0
+        """,
+        "vault_stages": """
+          SELECT unnest(['records', 'index', 'total']) AS stage, 2 AS batches, count(*) AS events, TRUE AS sound FROM events
+        """,
         "stream_behind_the_end": f"SELECT *, event_id < (SELECT (max(event_id) + 1) // 2 FROM events) AS early FROM ({_EVENTS})",
         "stage_metrics": """
           WITH s AS (SELECT event_type AS stage, count(*) AS events,

@@ -26,8 +26,8 @@ from sealdex.operators.keyring import keyring_for, seal_classes
 from sealdex.operators.sinks import write_clear_lines
 from sealdex.plans import tables as tb
 from sealdex.plans.vault import Secrets, Vault
-from sealdex.session import scratch_path, staged
-from sealdex.sources.lines import read_lines, union_lines
+from sealdex.session import delete_path, list_names, scratch_path, staged, write_file
+from sealdex.sources.lines import listed_files, outcome_of, read_lines, union_lines
 from sealdex.sources.records import parse_records, record_lines, rejected_lines
 from sealdex.streaming.ingest import END_LINE, NUMBERED_ORDER, ingest_stream, run_to_end, stream_file_lines
 
@@ -653,6 +653,25 @@ def multi_input_union(spark, sf_dir):
     return union_lines([both, read_lines(spark, suppliers)]).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def input_reconciliation(spark, sf_dir):
+    """What a tolerant read made of each file: customers in a file per segment, one of which vanishes
+    after it was listed, and one more that is no archive though its name says so."""
+    root = scratch_path(spark, "segments")
+    rows = tb.table(spark, sf_dir, "customer").repartition("c_mktsegment")
+    rows.select("c_mktsegment", F.col("c_name").alias("value")).write.partitionBy("c_mktsegment").text(root)
+    write_file(spark, f"{root}/c_mktsegment=archive/part.gz", "no archive")
+    folders = [f"{root}/{name}" for name in list_names(spark, f"{root}/c_mktsegment=*")]
+    listed = listed_files(spark, folders)
+    lines = read_lines(spark, folders, tolerant=True)
+    (gone,) = [f for f in folders if f.endswith("=FURNITURE")]
+    for name in list_names(spark, f"{gone}/part-*"):
+        delete_path(spark, f"{gone}/{name}")
+    files = outcome_of(listed, lines, listed_files(spark, [f for f in folders if f != gone]))
+    label = F.regexp_extract("path", "c_mktsegment=([^/]+)/", 1).alias("segment")
+    return staged(files.groupBy(label, "outcome").agg(F.sum("lines").alias("lines")), "reconciled")
+
+
 def _typed_events(opened: DataFrame) -> DataFrame:
     return opened.select(
         F.col("event_id").cast("bigint").alias("event_id"),
@@ -744,6 +763,17 @@ def stream_behind_the_end(spark, sf_dir):
 # --- metrics -------------------------------------------------------------------------------------
 
 
+@query
+def vault_stages(spark, sf_dir):
+    """Stages of a vault's own streamed ingest: batches, records, and whether their times and shares add up."""
+    vault = streamed_events_vault(spark, sf_dir)
+    shares = metrics.stage_shares(metrics.stage_totals(vault.stages()), whole="total")
+    batches = vault.stages().groupBy("stage").agg(F.count(F.lit(1)).alias("batches"))
+    sound = (F.col("micros") > 0) & (F.col("mean_micros") >= 0) & F.col("share").between(0, 100)
+    joined = shares.join(batches, "stage").where(F.col("stage") != "headers")
+    return joined.select("stage", "batches", "events", sound.alias("sound"))
+
+
 @query
 def stage_metrics(spark, sf_dir):
     """Event types taken as stages: events, time, mean, and share of one stage."""

@@ -11,12 +11,15 @@ for the next segment.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sealdex.operators import sealing
-from sealdex.operators.keyring import Keyring, key_column, seal_classes
+from sealdex.operators.keyring import Keyring, key_column
 from sealdex.operators.sealing import LINE_BODY, LINE_CLASS, PLACE, REJECTED, SEALED_LINE, WAITING
+from sealdex.plans import vault as vault_module
 from sealdex.plans.vault import WAITED, IngestReport, Secrets, Vault
 from sealdex.sources.records import FAULT, LINE, judged_lines
 
@@ -39,6 +42,18 @@ class VaultStream:
     def _say(self, **changes) -> None:
         self.vault.ledger.note(f"stream/{self.name}", self._said() | changes)
 
+    def _epochs(self) -> list[str]:
+        """Key epochs of the stream, the one in use last."""
+        return [self.name, *(f"{self.name}~{k}" for k in range(1, self._said().get("epoch", 0) + 1))]
+
+    def _epoch(self) -> str:
+        """The epoch to seal with: a new one begins once half of what one may hold is sealed."""
+        used = self._epochs()[-1]
+        if self.vault.epoch_records(used) <= vault_module.EPOCH_RECORDS // 2:
+            return used
+        self._say(epoch=self._said().get("epoch", 0) + 1)
+        return self._epochs()[-1]
+
     @property
     def ended(self) -> bool:
         return bool(self._said()["cuts"])
@@ -78,16 +93,16 @@ class VaultStream:
         vault = self.vault
         with vault.ledger.together():
             said = self._said()
-            cuts = said["cuts"]
+            cuts, epoch = said["cuts"], self._epoch()
             info = {"stream": self.name, "segment": said["segment"]}
             seen = Observation()
-            report = vault._ingest(self._cut_lines(lines, cuts, strict, seen), self.secrets, batch, self.name, **info)
+            report = vault._ingest(self._cut_lines(lines, cuts, strict, seen), self.secrets, batch, epoch, **info)
             if seen.get["ends"]:
                 # Once a stream: the batch is read again, now cut at its end line.
                 found = self._ends(lines)
                 moved = {g: c for g, c in found.items() if g not in cuts or c < cuts[g]}
                 self._say(cuts=cuts | moved)
-                report = vault._ingest(self._cut_lines(lines, cuts | moved, strict, Observation()), self.secrets, batch, self.name, **info)
+                report = vault._ingest(self._cut_lines(lines, cuts | moved, strict, Observation()), self.secrets, batch, epoch, **info)
                 self._cut_earlier([b for b in self._batches(said["segment"]) if b != batch], moved)
         return report
 
@@ -112,7 +127,7 @@ class VaultStream:
         # The folder's number holds the batch in its low bits.
         folders = {r["batch"] for r in late.select("batch").distinct().collect()}
         for piece in [p for p in vault.records.pieces() if p.batch in batches and p.folder in folders]:
-            classes = vault._classes(self.secrets, self.name)
+            classes = reduce(DataFrame.unionByName, [vault._classes(self.secrets, e) for e in self._epochs()])
             rows = vault.records.read_placed([piece.batch])
             behind = (F.col("class_token") != WAITING) & self._behind(cuts)
             kept = rows.where(~behind).drop("batch")
@@ -135,7 +150,7 @@ class VaultStream:
         bad = sealing.open_lines(bad, writer, "file", "pos", PLACE).drop("fault")
         body = sealing.line_body(F.col("value"), F.lit(None).cast("string"))
         lines = lines.unionByName(bad).select("file", "pos", PLACE, F.lit(WAITING).alias(LINE_CLASS), body.alias(LINE_BODY), *[F.lit(None).cast("string").alias(n) for n in spec.fields])
-        return sealing.seal_records(lines, spec, classes, writer)
+        return sealing.seal_records(lines, spec, classes.limit(0), writer)
 
     # --- segments ---
 

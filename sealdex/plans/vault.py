@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import warnings
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sealdex.functions.crypto import local_frame
 from sealdex.functions.policy import Rule
 from sealdex.functions.uid import assign_uids, uid_file, uid_pos
 from sealdex.operators import sealing
@@ -102,8 +103,8 @@ class Vault:
         """Seal records, append them, then index what was written.
 
         Records, quarantine and index become visible in one commit. Each batch is
-        its own key epoch unless one is named; an epoch should stay within
-        ``EPOCH_RECORDS``. Re-running a batch number replaces that batch at the
+        its own key epoch unless one is named; what would take an epoch beyond
+        ``EPOCH_RECORDS`` is an error, and not committed. Re-running a batch number replaces that batch at the
         commit; readers go on with the old one until then.
         """
         return self._ingest(records, secrets, batch, epoch, drop_indexes, max_file_mb)
@@ -123,7 +124,8 @@ class Vault:
 
     def _ingest(self, rows: DataFrame, secrets: Secrets, batch: int | None = None, epoch: str | None = None,
                 drop_indexes: bool = False, max_file_mb: int | None = None, **info) -> IngestReport:
-        with self.ledger.together(), self.clock.stage("total"):
+        with self.ledger.together():
+            begun = self.clock.mark()
             if drop_indexes:
                 self.index_store.truncate()
             if batch is None:
@@ -131,13 +133,32 @@ class Vault:
             epoch = str(batch) if epoch is None else epoch
             classes = self._classes(secrets, epoch)
             good, bad, waiting = self._append(rows, classes, secrets, batch, max_file_mb, **info)
-            if good > EPOCH_RECORDS:
-                warnings.warn(f"batch {batch} sealed more than {EPOCH_RECORDS} records in one key epoch", stacklevel=3)
+            if good + self.epoch_records(epoch, batch) > EPOCH_RECORDS:
+                # Nothing was committed: what was sealed is in no table that anyone reads.
+                raise ValueError(f"more than {EPOCH_RECORDS} records in key epoch {epoch}: split batch {batch} or name another epoch")
             self._set_aside(batch, bad)
             with self.clock.stage("index"):
                 report = self._index_batch(batch, classes, secrets)
+            # Part of the commit: a batch that runs again replaces its figures too.
+            self.ledger.note(f"stages/{batch}", {"epoch": epoch, "records": good, "lines": good + bad + waiting, "micros": self.clock.since(begun)})
         return IngestReport(batch, good, report, bad, waiting)
 
+    def epoch_records(self, epoch: str, but: int | None = None) -> int:
+        """Records that committed batches, one left out, sealed in a key epoch."""
+        facts = self.ledger.state().facts
+        said = (f for n, f in facts.items() if n.startswith("stages/") and n != f"stages/{but}")
+        return sum(f["records"] for f in said if f["epoch"] == epoch)
+
+    def stages(self) -> DataFrame:
+        """(batch, stage, events, micros) of every committed ingest, by batch or stream: what each
+        stage took, and ``total`` for the whole; events are the records."""
+        rows = []
+        for name, said in self.ledger.state().facts.items():
+            if name.startswith("stages/"):
+                rows += [(int(name[7:]), stage, said["records"], micros) for stage, micros in said["micros"].items()]
+        schema = {"batch": pa.int64(), "stage": pa.string(), "events": pa.int64(), "micros": pa.int64()}
+        return local_frame(self.spark, rows, schema)
+
     def _classes(self, secrets: Secrets, epoch: str) -> DataFrame:
         """Class keys of an epoch, whose wrapped form is written before its first records."""
         if not self.records.has_headers(epoch):
