@@ -12,8 +12,9 @@ need no placeholders, so a copy is found whatever its line ends and its case. A
 long unbroken run of an item's windows counts whatever the item's length.
 
 Cases: null or empty texts hold nothing, and items without a word cannot be
-held. An item of fewer words than a window is one window; below LEAST_WORDS words it
-is not looked for. Windows with less than half plain words are looked for only as
+held. An item of fewer words than a window is one window; one of fewer than LEAST_WORDS
+words, too common to be told from chance within a sentence, is held where it is a whole line,
+in letters of any case (its ``place`` is null). Windows with less than half plain words are looked for only as
 they stand, and an item of nothing else only as a whole. Repeated rows of a document
 count as one document, repeated items as one item. Documents without an id are
 never reported. With an empty benchmark, or no documents, there are no rows.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealdex.llm.words import mix, powers, prefix_hashes, row_slices, span_hashes, utf8_column, word_spans
-from sealdex.session import scratch_path
+from sealdex.session import staged, staging
 
 WINDOW = 8
 #: Share of an item's windows that a document must hold on one alignment.
@@ -41,7 +42,7 @@ NEARBY = 16
 #: Bits of the filter that windows pass before they are shuffled: a fixed size,
 #: whatever the benchmark's; more windows only let more pass.
 FILTER_BITS = 1 << 24
-#: Items of fewer words are too common to be told from chance and not looked for.
+#: Items of fewer words are looked for as whole lines only.
 LEAST_WORDS = 5
 
 UNITS = (
@@ -192,14 +193,33 @@ def contaminated(
     ``place`` is the word of the document where the item's first word stands (or
     would), ``reparameterised`` tells whether placeholders are filled otherwise.
     """
-    spark = docs.sparkSession
-    root = scratch_path(spark, "decontamination")
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where("id IS NOT NULL").distinct()
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
+    with staging(docs.sparkSession, "decontamination") as stage:
+        held = _held(plain, items, window, coverage, stage)
+        short = stage(_plain_words(items, "text").where(f"size(words) BETWEEN 1 AND {LEAST_WORDS - 1}"), "short")
+        if not short.isEmpty():
+            held = held.unionByName(_held_lines(plain, short))
+        return staged(held, "contaminated")
 
-    def write(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL").distinct()
+def _plain_words(rows: DataFrame, text_col: str) -> DataFrame:
+    """(id, words): the words of a text in lower-case letters."""
+    lower = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return rows.select("id", F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
+
+
+def _held_lines(plain: DataFrame, short: DataFrame) -> DataFrame:
+    """Documents of which a whole line is an item too short for windows."""
+    lines = _plain_words(plain.select("id", F.explode(F.split("text", "\n")).alias("line")), "line")
+    lines = lines.where(f"size(words) BETWEEN 1 AND {LEAST_WORDS - 1}").distinct()
+    met = lines.join(short.select(F.col("id").alias("item_id"), "words"), "words").select(F.col("id").alias("doc_id"), "item_id").distinct()
+    one = F.lit(1).cast("long")
+    return met.select("doc_id", "item_id", one.alias("matched"), one.alias("windows"), F.lit(None).cast("long").alias("place"), F.lit(False).alias("reparameterised"))
+
+
+def _held(plain: DataFrame, items: DataFrame, window: int, coverage: float, write) -> DataFrame:
+    spark = plain.sparkSession
     everything = lambda keys: np.ones(len(keys), bool)
     known = write(
         items.mapInArrow(_emit([(window, False), *((w, True) for w in range(LEAST_WORDS, window))], everything, True), _ROWS).select(F.col("id").alias("item"), "key", F.col("readings").alias("item_readings"), "dense", F.col("place").alias("item_place"), F.col("fillers").alias("item_fillers")),
@@ -219,7 +239,6 @@ def contaminated(
         bits = np.frombuffer(packed.value, np.uint32)[at >> 5]
         return (bits >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     found = plain.mapInArrow(_emit([(w, False) for w in widths], accept, False), _ROWS).drop("dense")
     met = found.join(known, "key").where(F.size("fillers") == F.size("item_fillers")).withColumn("both", F.col("readings").bitwiseAND(F.col("item_readings"))).where("both <> 0")
     hits = write(met.select("id", "item", "item_place", "dense", "fillers", "item_fillers", "both", (F.col("place") - F.col("item_place")).alias("shift")), "hits")

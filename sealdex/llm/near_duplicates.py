@@ -32,7 +32,7 @@ from sealdex.llm.words import (
     word_hashes,
     word_spans,
 )
-from sealdex.session import scratch_path
+from sealdex.session import staged, staging
 
 WIDTH = 5
 #: Link where 100 * intersection >= PERCENT * union.
@@ -190,16 +190,14 @@ def likely(left: pd.Series, right: pd.Series, n_left: pd.Series, n_right: pd.Ser
 
 
 class _Tables:
-    """Written tables of one run, in the shared folder."""
+    """Written tables of one run, numbered."""
 
-    def __init__(self, spark, name):
-        self.spark, self.root, self.n = spark, scratch_path(spark, name), 0
+    def __init__(self, stage):
+        self.stage, self.n = stage, 0
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.stage(df, str(self.n))
 
 
 def components(links: DataFrame, write) -> DataFrame:
@@ -233,8 +231,11 @@ def near_duplicate_groups(
     of a bucket and may link, so a large group of near copies costs about one
     pair a member and no link between components is missed.
     """
-    spark = docs.sparkSession
-    write = _Tables(spark, "near-duplicates").write
+    with staging(docs.sparkSession, "near-duplicates") as stage:
+        return staged(_groups(docs, id_col, text_col, width, percent, _Tables(stage).write), "near-duplicate-groups")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, write) -> DataFrame:
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = write(plain.mapInArrow(_sketches(width), "id long, n long, digest binary, sketch binary"))
 

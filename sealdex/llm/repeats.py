@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealdex.llm.words import mix, powers, row_slices, utf8_column
-from sealdex.session import scratch_path
+from sealdex.session import staged, staging
 
 LENGTH = 200
 PIECE = 64
@@ -305,12 +305,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
-    spark = docs.sparkSession
-    root = scratch_path(spark, "repeats")
+    with staging(docs.sparkSession, "repeats") as stage:
+        return staged(_without_repeats(docs, length, piece, id_col, text_col, stage), "without-repeats")
 
-    def write(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+def _without_repeats(docs: DataFrame, length: int, piece: int, id_col: str, text_col: str, write) -> DataFrame:
 
     # The key tells rows of one id with different texts apart.
     plain = docs.select(

@@ -28,6 +28,11 @@ def test_short_items(shipped):
     assert run(shipped, [(1, "so he said five little words here and left"), (2, "five little words there")], [(9, "five little words here and")]) == {(1, 9): False}
 
 
+def test_items_too_short_for_windows_are_held_as_whole_lines(shipped):
+    docs = [(1, "Some text.\n  Name  the CAPITAL \nmore"), (2, "so name the capital then"), (3, "name the capital"), (3, "name the capital"), (None, "name the capital"), (4, None), (5, "")]
+    assert run(shipped, docs, [(7, "Name the capital"), (8, " "), (9, None)]) == {(1, 7): False, (3, 7): False}
+
+
 def test_copies_however_they_are_set(shipped):
     """Running text, other line ends, other case, dense items, a word put in, part of a long item."""
     capital, dense = "What is the capital of France", "Anna Bert Carl 12 13 14 15 Dora 16 17 Emil 18"
