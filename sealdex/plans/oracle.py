@@ -251,6 +251,20 @@ def oracle_sql() -> dict[str, str]:
         "stream_ingest_equals_batch": _EVENTS,
         "stream_index_search": f"{_EVENTS} WHERE event_type IN ('click', 'purchase')",
         "stream_sentinel": f"{_EVENTS} WHERE event_id < (SELECT (max(event_id) + 1) // 2 FROM events)",
+        "index_stale_writer": f"""
+          WITH w AS ({_WORDS})
+          SELECT (SELECT count(DISTINCT word) FROM w WHERE lang = 'de') AS proposed,
+                 (SELECT count(*) FROM (SELECT word FROM w WHERE lang = 'de' INTERSECT SELECT word FROM w WHERE lang = 'fr')) AS refused,
+                 (SELECT count(*) FROM w WHERE lang IN ('en', 'fr', 'de')) AS postings
+        """,
+        "key_lengths": """
+          SELECT c_custkey, left(rpad(hex(encode(c_name || repeat(c_mktsegment, CAST(c_custkey % 4 AS BIGINT)))), 64, '0'), 64) AS key FROM customer
+        """,
+        "stream_restarts": """
+          WITH h AS (SELECT (max(event_id) + 1) // 2 AS half FROM events)
+          SELECT 1 AS run, count(*) AS records FROM events, h WHERE event_id < half
+          UNION ALL SELECT 2, count(*) FROM events, h WHERE event_id >= half UNION ALL SELECT 3, 0
+        """,
         "input_reconciliation": """
           SELECT c_mktsegment AS segment, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'vanished' ELSE 'read' END AS outcome,
                  CASE WHEN c_mktsegment = 'FURNITURE' THEN 0 ELSE count(*) END AS lines FROM customer GROUP BY 1

@@ -11,17 +11,19 @@ import copy
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealdex.functions.crypto import as_key, local_frame, utf8
 from sealdex.functions.terms import fold_query
 from sealdex.functions.uid import uid_bytes, uid_file, uid_pos, uid_text
 from sealdex.operators import layout, metrics, sealing
 from sealdex.operators import postings as P
 from sealdex.operators.boolean import find
 from sealdex.operators.index import FoundWords, SealedIndex, chain_keys, open_entries, word_token
-from sealdex.operators.index_store import ParquetIndexStore
+from sealdex.operators.index_store import ParquetIndexStore, current_revisions
 from sealdex.operators.keyring import keyring_for, seal_classes
 from sealdex.operators.sinks import write_clear_lines
 from sealdex.plans import tables as tb
@@ -354,6 +356,31 @@ def entry_conditional_upsert(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), steps)
 
 
+@query
+def index_stale_writer(spark, sf_dir):
+    """Words a writer proposes against an old state: how many were refused, proposed again, and all found after."""
+    store = ParquetIndexStore(spark, scratch_path(spark, "stale"))
+    store.create()
+    index = SealedIndex(store, DEMO.writer())
+    docs = staged(tb.document_words(spark, sf_dir), "document-words")
+    of = {lang: docs.where(F.col("lang") == lang) for lang in ("en", "fr", "de")}
+    index.upsert(of["en"])
+    seen = staged(current_revisions(store.entries()), "seen-revisions")
+    index.upsert(of["fr"])
+    report = index.upsert(of["de"], base=seen)
+    words = P.explode_words(docs).select("word").distinct()
+    found = _all_postings(index, words).agg(F.count(F.lit(1)).alias("postings"))
+    return found.select(F.lit(report.words).cast("bigint").alias("proposed"), F.lit(report.conflicts).cast("bigint").alias("refused"), "postings")
+
+
+@query
+def key_lengths(spark, sf_dir):
+    """Texts of any length as 32-byte keys."""
+    text = F.concat("c_name", F.repeat("c_mktsegment", (F.col("c_custkey") % 4).cast("int")))
+    rows = tb.table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", F.hex(as_key(utf8(text))).alias("key"))
+
+
 @query
 def index_truncate_rebuild(spark, sf_dir):
     vault = _new_directory_vault(spark, sf_dir)
@@ -747,6 +774,30 @@ def stream_sentinel(spark, sf_dir):
     return _typed_events(vault.open_all(_event_keys(vault)))
 
 
+@query
+def stream_restarts(spark, sf_dir):
+    """Records of three runs of one stream: drained, polled until the end line came, and drained with nothing left."""
+    path, progress = scratch_path(spark, "growing"), scratch_path(spark, "growing-progress")
+    events = tb.event_records(spark, sf_dir)
+    half = tb.table(spark, sf_dir, "events").agg(F.floor((F.max("event_id") + 1) / 2)).scalar()
+    vault = Vault(spark, scratch_path(spark, "growing-events"), tb.EVENT_RECORDS)
+    early = F.col("event_id").cast("double") < half
+    records: list[tuple[int, int]] = []
+
+    def run(**options) -> None:
+        started = ingest_stream(vault, stream_file_lines(spark, path), DEMO, progress, **options)
+        records.append((len(records) + 1, run_to_end(*started).records))
+
+    record_lines(events.where(early).repartition(2), tb.EVENT_RECORDS).write.text(path)
+    run(available_now=True)
+    record_lines(events.where(~early).repartition(2), tb.EVENT_RECORDS).write.mode("append").text(path)
+    # Later than all lines by its file's age.
+    spark.createDataFrame([(END_LINE,)], "value string").coalesce(1).write.mode("append").text(path)
+    run(interval="1 second")
+    run(available_now=True)
+    return local_frame(spark, records, {"run": pa.int32(), "records": pa.int64()})
+
+
 @query
 def stream_behind_the_end(spark, sf_dir):
     """All events after a second run, and which of them the first run, up to the end line, had."""
