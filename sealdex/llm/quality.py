@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,18 +220,17 @@ def scored(docs: DataFrame, model: Model | Constant, id_col: str = "doc_id", tex
 
 
 def accepted(docs: DataFrame, model: Model | Constant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model accepts, and those without an id; each is judged
-    where it lies, and nothing is shuffled."""
-    at = docs.columns.index(text_col)
-    key = docs.columns.index(id_col)
+    """The rows of ``docs`` that the model accepts, and those without an id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = utf8_column(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), "text")
-            for low, high in row_slices(bounds):
-                score = model.score(*features(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]))
-                rows = batch.slice(low, high - low)
-                keep = pa.array(score.astype(np.float64) >= 0.5)
-                yield rows.filter(pc.or_(keep, pc.is_null(rows.column(key))))
+    Each is judged where it lies: only texts go to the workers, only scores come back.
+    """
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        data, bounds = utf8_column(pa.RecordBatch.from_arrays([text], names=["text"]), "text")
+        parts = [np.zeros(0)]
+        for low, high in row_slices(bounds):
+            parts.append(model.score(*features(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])).astype(np.float64))
+        return pa.array(np.concatenate(parts))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where((score(F.col(f"`{text_col}`")) >= 0.5) | F.col(f"`{id_col}`").isNull())
