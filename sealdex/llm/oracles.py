@@ -27,7 +27,8 @@ def near_duplicates_sql(width: int = 5, percent: int = 85) -> str:
     """Intersections counted shingle by shingle, links followed until nothing changes. Equal sets
     are one node, so that hot shingles of copies are not paired with one another."""
     return rf"""WITH RECURSIVE words AS MATERIALIZED (
-            SELECT doc_id, regexp_extract_all({_LOWER}, '[^ 	-]+') AS w FROM documents),
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^ 	-
+]+') AS w FROM documents),
         shingled AS MATERIALIZED (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1),
                    lambda i: array_to_string(w[i:least(i + {width - 1}, len(w))], ' ')))) END AS s FROM words),
@@ -46,6 +47,28 @@ def near_duplicates_sql(width: int = 5, percent: int = 85) -> str:
         SELECT *, component_id = doc_id AS kept FROM joined"""
 
 
+def repeats_sql(length: int = 200) -> str:
+    """Every byte string of the length, by its digest; covered runs are cut out of the text's hexadecimal form."""
+    return f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        strings AS MATERIALIZED (
+            SELECT r, p, md5(b[p + 1:p + {length}]) AS h FROM (SELECT r, b, unnest(range(0, octet_length(b) - {length - 1})) AS p FROM docs)),
+        again AS (SELECT r, p FROM strings WHERE h IN (SELECT h FROM strings GROUP BY h HAVING count(*) > 1)),
+        marked AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + {length} THEN 1 ELSE 0 END AS fresh FROM again),
+        runs AS (
+            SELECT r, min(p) AS a, max(p) + {length} AS e
+            FROM (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM marked) GROUP BY r, run),
+        cuts AS (
+            SELECT r, list_prepend(0, list(e ORDER BY a)) AS starts, list(a ORDER BY a) AS ends, sum(e - a)::BIGINT AS removed, count(*) AS spans
+            FROM runs GROUP BY r),
+        cut AS (
+            SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, b,
+                   hex(b) AS x, coalesce(starts, [0]) AS starts, list_append(coalesce(ends, []), octet_length(b)) AS ends
+            FROM docs LEFT JOIN cuts USING (r))
+        SELECT doc_id, n_bytes, n_removed, n_spans,
+               sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1), lambda i: x[2 * starts[i] + 1:2 * ends[i]]), ''))) AS kept_sha256
+        FROM cut"""
+
+
 def clusters_sql(centroids: int = 16, rounds: int = 3) -> str:
     """Rounds of assignment and means as a chain of tables; every distance is computed."""
     parts = [

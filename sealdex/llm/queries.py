@@ -11,7 +11,7 @@ from sealdex.llm.decontamination import contaminated
 from sealdex.llm.manifest import manifest, without_line_ends
 from sealdex.llm.mixing import mixed
 from sealdex.llm.near_duplicates import near_duplicate_groups
-from sealdex.llm.oracles import clusters_sql, manifest_sql, near_duplicates_sql, vector_search_sql
+from sealdex.llm.oracles import clusters_sql, manifest_sql, near_duplicates_sql, repeats_sql, vector_search_sql
 from sealdex.llm.page_text import main_texts
 from sealdex.llm.prefix_counts import token_counts
 from sealdex.llm.quality import scored, train
@@ -92,6 +92,7 @@ QUERIES = {
 #: SQL over the same tables, where SQL can say it.
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": near_duplicates_sql(),
+    "op8_repeats": repeats_sql(),
     "op9_vector_search": vector_search_sql(),
     "op11_manifest": manifest_sql(),
     "op13_clusters": clusters_sql(),

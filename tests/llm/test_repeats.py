@@ -4,10 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from compare import compare, connect
 from llm_rows import SF_DIR, odd_rows, prose, shipped  # noqa: F401
 
 from sealdex.llm import repeats
-from sealdex.llm.queries import QUERIES
+from sealdex.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, n_bytes string, begin int"
 
@@ -116,3 +117,8 @@ def test_query(shipped):
 
 def test_no_rows(shipped):
     assert repeats.without_repeats(shipped.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sql(shipped):
+    matches, _, _, difference = compare(shipped, connect(SF_DIR), SF_DIR, QUERIES["op8_repeats"], ORACLES["op8_repeats"])
+    assert matches, difference
