@@ -2,33 +2,9 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-from sealdex.session import scratch_path
-
-_PACKAGE = Path(__file__).resolve().parent.parent
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Let the workers import this package, wherever the driver found it: once an application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    body = io.BytesIO()
-    with zipfile.ZipFile(body, "w") as archive:
-        for file in sorted(_PACKAGE.rglob("*.py")):
-            archive.write(file, str(file.relative_to(_PACKAGE.parent)))
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "package") + ".zip")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(body.getvalue()))
-    out.close()
-    spark.sparkContext.addPyFile(path.toString())
-    _SHIPPED.add(app)
+from sealdex.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from contextlib import nullcontext
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealdex.functions import crypto
@@ -20,7 +20,7 @@ from sealdex.functions.crypto import SecretRow, long_bytes, utf8
 from sealdex.functions.terms import fold_query
 from sealdex.operators import postings as P
 from sealdex.operators.bounds import rows_if_few
-from sealdex.operators.index_store import IndexStore, Run, current_revisions, flag_applicable, merged_number
+from sealdex.operators.index_store import IndexStore, Run, Seal, current_revisions, flag_applicable, merged_number
 from sealdex.operators.postings import BLOCK_RUN
 from sealdex.session import staging
 
@@ -38,7 +38,7 @@ FIELD_BYTES = 32
 FAN_OUT = 8
 
 # About what a record id takes in a block, and what a table row takes besides.
-POSTING_BYTES = 40
+POSTING_BYTES = 12
 ROW_BYTES = 130
 
 
@@ -136,22 +136,23 @@ def _chain_token(pads: Column, batch: Column, block: Column) -> Column:
     return crypto.hmac_padded(pads.getField("inner"), pads.getField("outer"), message)
 
 
-def seal_blocks(blocks: DataFrame, secrets: SecretRow, batch: int, token: Column | None = None) -> DataFrame:
-    """(token, sealed) from (word, block, uids); ``token`` is that of the word, where it is known."""
-    token = word_token(secrets, F.col("word")) if token is None else token
-    keyed = blocks.select(
-        secrets.hmac("word", token).alias("word_key"),
-        "block",
-        utf8(P.pack_uids(F.col("uids"))).alias("body"),
-    ).withColumn("pads", crypto.hmac_pads(F.col("word_key")))
-    placed = keyed.select(
-        _chain_token(F.col("pads"), F.lit(batch).cast("bigint"), F.col("block")).alias("token"),
-        "word_key",
-        "body",
-    )
+def place_blocks(blocks: DataFrame, secrets: SecretRow, batch: int, token: Column | None = None) -> DataFrame:
+    """(token, word, body) from (word, block, body); ``token`` is that of the word, where it is known."""
+    keyed = blocks.select("word", "block", "body", _word_key(secrets, token).alias("word_key"))
+    keyed = keyed.select("word", "block", "body", crypto.hmac_pads(F.col("word_key")).alias("pads"))
+    return keyed.select(_chain_token(F.col("pads"), F.lit(batch).cast("bigint"), F.col("block")).alias("token"), "word", "body")
+
+
+def seal_blocks(placed: DataFrame, secrets: SecretRow, token: Column | None = None) -> DataFrame:
+    """(token, sealed) of placed blocks."""
+    keyed = placed.select("token", _word_key(secrets, token).alias("word_key"), utf8(F.col("body")).alias("body"))
     nonce = crypto.nonce_from(secrets.hmac("nonce", F.concat("token", "body")))
     sealed = crypto.seal(F.col("body"), F.col("word_key"), nonce, F.col("token"))
-    return placed.select("token", sealed.alias("sealed"))
+    return keyed.select("token", sealed.alias("sealed"))
+
+
+def _word_key(secrets: SecretRow, token: Column | None) -> Column:
+    return secrets.hmac("word", word_token(secrets, F.col("word")) if token is None else token)
 
 
 def all_found(rows: DataFrame, keys: DataFrame) -> Column:
@@ -163,9 +164,24 @@ def all_found(rows: DataFrame, keys: DataFrame) -> Column:
     """
     marks = [F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("token")), F.lit(0)).alias("all")]
     asked, found = keys.agg(F.struct(*marks).alias("s")).scalar(), rows.agg(F.struct(*marks).alias("s")).scalar()
-    return F.when(asked == found, F.lit(True)).otherwise(
-        F.raise_error(F.lit("the index has lost posting blocks: rebuild it from the records")).cast("boolean")
-    )
+    return F.when(asked == found, F.lit(True)).otherwise(_lost("boolean"))
+
+
+def _lost(kind: str) -> Column:
+    return F.raise_error(F.lit("the index has lost posting blocks: rebuild it from the records")).cast(kind)
+
+
+def whole_chain(chain: DataFrame, keys: DataFrame) -> DataFrame:
+    """The chain rows of many ``keys``, or the plan fails: each must be there, once.
+
+    Says what :func:`all_found` says, row by row where the rows meet their keys, so
+    that keys which are costly to compute are computed once. The failure is in the
+    value itself: a filter beside later ones would let the join drop lost rows first.
+    """
+    copies = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    met = keys.join(chain.select("token", "sealed", copies.alias("copies")), "token", "left")
+    sealed = F.when(F.col("copies") == 1, F.col("sealed")).otherwise(_lost("binary"))
+    return met.withColumn("sealed", sealed).drop("copies")
 
 
 def open_blocks(rows: DataFrame) -> DataFrame:
@@ -179,22 +195,20 @@ def chain_keys(entries: DataFrame, spread: bool) -> DataFrame:
 
     Block numbers come from two nested ranges so that no row ever holds more
     than a run of them; ``spread`` puts the runs of a frequent word on many tasks.
+    Words of one run stay where they are.
     """
     last = F.col("blocks") - 1
-    runs = entries.select(
-        "word",
-        "word_key",
-        crypto.hmac_pads(F.col("word_key")).alias("pads"),
-        "batch",
-        "blocks",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(BLOCK_RUN).cast("bigint"))).alias("first"),
-    )
+    entries = entries.select("word", "word_key", "batch", "blocks")
+    runs = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(BLOCK_RUN).cast("bigint"))).alias("first")
+    runs = entries.select("*", runs)
     if spread:
-        runs = runs.repartition("word", "batch", "first")
+        many = F.col("blocks") > BLOCK_RUN
+        few = entries.where(~many).withColumn("first", F.lit(0).cast("bigint"))
+        runs = few.unionByName(runs.where(many).repartition("word", "batch", "first"))
     final = F.least(F.col("first") + (BLOCK_RUN - 1), last)
-    return _placed_keys(
-        runs.select("word", "word_key", "pads", "batch", F.explode(F.sequence("first", final)).alias("block"))
-    )
+    pads = crypto.hmac_pads(F.col("word_key")).alias("pads")
+    runs = runs.select("word", "word_key", pads, "batch", F.sequence("first", final).alias("own"))
+    return _placed_keys(runs.select("word", "word_key", "pads", "batch", F.explode("own").alias("block")))
 
 
 def chain_keys_within(entries: DataFrame, places: list[tuple[str, int, int]], uids: DataFrame) -> DataFrame:
@@ -323,12 +337,18 @@ class SealedIndex:
         """The chain, sketch and entry rows of a run."""
         threshold = totals.split_threshold(self.split_above)
         splits = P.split_words(counts, threshold) if totals.most > threshold else None
-        blocks = P.block_postings(postings, counts, splits)
+        blocks = place_blocks(P.block_postings(postings, counts, splits), self.secrets, batch, token)
         chain_size = totals.postings * POSTING_BYTES + totals.words * ROW_BYTES
-        self.store.upsert_chain(seal_blocks(blocks, self.secrets, batch, token), batch, chain_size)
+        self._append(self.store.upsert_chain, blocks, batch, chain_size, lambda placed: seal_blocks(placed, self.secrets, token))
         if hasattr(self.store, "append_sketch"):
             self.store.append_sketch(counts.select("token"), batch, totals.words)
-        self.store.append_entries(seal_entries(entries, self.secrets, batch), batch, totals.words * ROW_BYTES)
+        self._append(self.store.append_entries, entries, batch, totals.words * ROW_BYTES, lambda placed: seal_entries(placed, self.secrets, batch))
+
+    def _append(self, write, rows: DataFrame, batch: int, size: int, seal: Seal) -> None:
+        if hasattr(self.store, "runs"):
+            write(rows, batch, size, seal)
+        else:
+            write(seal(rows), batch, size)
 
     def _hidden(self, word: Column) -> Column:
         nonce = crypto.nonce_from(self.secrets.hmac("terms", utf8(word)))
@@ -386,7 +406,7 @@ class SealedIndex:
             counts = P.with_blocks(totals.select(word, F.col("key").alias("token"), "n", "revision"), self.block_size)
             counts = stage(counts, "word-counts")
             keys = chain_keys(opened.select(word, "word_key", "batch", "blocks"), spread=True)
-            postings = open_blocks(self._whole(part.get_chain(keys), keys))
+            postings = open_blocks(whole_chain(part.chain(), keys))
             self.store.describe(run)
             self._write(postings, counts, P.word_totals(counts), counts.select("token", "revision", "blocks", "n"), run.number, F.unbase64("word"))
             self.store.drop(runs)
@@ -417,6 +437,8 @@ class SealedIndex:
         """(word, uid) of the found words."""
         spread = found.blocks is None or found.blocks > BLOCK_RUN
         keys = chain_keys(found.entries, spread)
+        if found.blocks is None and hasattr(self.store, "chain"):
+            return open_blocks(whole_chain(self.store.chain(), keys))
         return open_blocks(self._whole(self.store.get_chain(keys), keys))
 
     def _whole(self, rows: DataFrame, keys: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ token with whatever prefix a folder has.
 from __future__ import annotations
 
 import copy
+from collections.abc import Callable
 from contextlib import AbstractContextManager
 from dataclasses import dataclass
 from typing import Protocol
@@ -61,6 +62,10 @@ _LEVEL_BITS = 34
 SPECIAL = 1 << (_LEVEL_BITS - 1)
 
 
+# Makes the stored rows of rows that carry their token, once these are where they are written.
+Seal = Callable[[DataFrame], DataFrame]
+
+
 class IndexStore(Protocol):
     """What an index needs from its tables; every argument and result is a DataFrame.
 
@@ -107,6 +112,10 @@ class Run:
 
 
 class RunStore(Protocol):
+    """Its ``append_entries`` and ``upsert_chain`` also take a :data:`Seal`."""
+
+    def chain(self) -> DataFrame: ...
+
     def runs(self) -> list[Run]: ...
 
     def describe(self, run: Run) -> None:
@@ -219,12 +228,14 @@ class ParquetIndexStore:
         folder = self.ledger.new_folder(parent, batch)
         return f"{parent}/batch={folder}", folder
 
-    def _write(self, rows: DataFrame, table: str, batch: int, size: int | None) -> None:
+    def _write(self, rows: DataFrame, schema: T.StructType, table: str, batch: int, size: int | None, seal: Seal | None) -> None:
         path, folder = self._new(table, batch)
         files = self._files(size)
+        placed = rows.repartitionById(files, token_slot(F.col("token"), files))
+        # Ciphertext does not shrink on the wire: rows travel as they are and are sealed where they lie.
+        stored = (placed if seal is None else seal(placed)).select(schema.fieldNames())
         (
-            rows.withColumn("shard", token_shard(F.col("token"), shard_digits(files)))
-            .repartitionById(files, token_slot(F.col("token"), files))
+            stored.withColumn("shard", token_shard(F.col("token"), shard_digits(files)))
             .sortWithinPartitions("shard", "token")
             .write.partitionBy("shard")
             .parquet(path)
@@ -347,15 +358,15 @@ class ParquetIndexStore:
         self.append_entries(flagged.where("applied"), batch)
         return flagged.select("token", "revision", "applied")
 
-    def append_entries(self, rows: DataFrame, batch: int, size: int | None = None) -> None:
+    def append_entries(self, rows: DataFrame, batch: int, size: int | None = None, seal: Seal | None = None) -> None:
         """Store rows whose revisions were computed from this store's own state.
 
         ``size`` is about how many bytes the rows take; it decides on the files.
         """
-        self._write(rows.select(ENTRY_SCHEMA.fieldNames()), "entry", batch, size)
+        self._write(rows, ENTRY_SCHEMA, "entry", batch, size, seal)
 
-    def upsert_chain(self, rows: DataFrame, batch: int, size: int | None = None) -> None:
-        self._write(rows.select(CHAIN_SCHEMA.fieldNames()), "chain", batch, size)
+    def upsert_chain(self, rows: DataFrame, batch: int, size: int | None = None, seal: Seal | None = None) -> None:
+        self._write(rows, CHAIN_SCHEMA, "chain", batch, size, seal)
 
 
 def _lookup(table: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from base64 import b64encode
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealdex.functions.uid import POSITION_BYTES
+from sealdex.session import ship
+
 BLOCK_SIZE = 64
 
 # A word is split ahead of the shuffle once it has more postings than
@@ -15,7 +22,11 @@ BLOCK_SIZE = 64
 SPLIT_ABOVE = 4_096
 MAX_SPLIT_WORDS = 500_000
 
-UID_SEPARATOR = ","
+# Within a block body: between ids of a file, after its name, and between files.
+UID_SEPARATOR, NAME_END, GROUP_SEPARATOR = ",", ":", ";"
+
+# Blocks, and characters of them, that a worker hands back at once.
+OUT_ROWS, OUT_CHARS = 10_000, 4 << 20
 
 # Longest run of block numbers generated within one row.
 BLOCK_RUN = 16_384
@@ -72,49 +83,132 @@ def split_words(counts: DataFrame, threshold: int) -> DataFrame:
     return frequent.groupBy("word_hash").agg(F.max("blocks").alias("split_blocks"))
 
 
-def block_postings(postings: DataFrame, counts: DataFrame, splits: DataFrame | None) -> DataFrame:
-    """(word, block, uids): every word's postings in blocks of about the block size.
+def block_postings(postings: DataFrame, counts: DataFrame, splits: DataFrame | None, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """(word, block, body, uids): every word's postings in blocks of about ``block_size``.
 
-    A record id's hash says which of its word's blocks it is in. The block count
-    comes from the staged ``counts``, joined where the postings are grouped
-    anyway: one shuffle serves both. A frequent word is placed block by block, so
-    it spreads over as many groups as it has blocks; its block count comes with
-    the broadcast ``splits``. No group outgrows the split threshold. ``splits``
-    is None where no word is that frequent.
+    A record id's hash says which of its word's blocks it is in. Where a word has
+    several, their count travels to its postings as one more row from the staged
+    ``counts``, ahead of them in their order: one shuffle and one sort serve all. A frequent word is
+    placed block by block, so it spreads over as many groups as it has blocks; its
+    block count comes with the broadcast ``splits``. No group outgrows the split
+    threshold. ``splits`` is None where no word is that frequent.
 
     Every block of a word is there, also one that no id falls into: a reader can
     tell a lost block from an empty one.
     """
-    several = counts.where(F.col("blocks") > 1)
-    runs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1, F.lit(BLOCK_RUN).cast("bigint")))
-    ends = several.select("word", "word_hash", "blocks", runs.alias("first"))
-    last = F.least(F.col("first") + (BLOCK_RUN - 1), F.col("blocks") - 1)
-    every = ends.select("word", "word_hash", "blocks", F.explode(F.sequence("first", last)).alias("own"))
-    hashed = postings.withColumn("place", F.xxhash64("word")).withColumn("own", F.lit(None).cast("bigint"))
-    empty = every.select(F.lit(None).cast("binary").alias("uid"), "word", F.col("word_hash").alias("place"), "own")
-    hashed = hashed.select("uid", "word", "place", "own").unionByName(empty)
-    split_blocks = F.lit(None).cast("bigint").alias("split_blocks")
-    if splits is not None:
-        hashed = hashed.join(F.broadcast(splits.withColumnRenamed("word_hash", "place")), "place", "left")
-        apart = F.xxhash64("place", F.coalesce("own", block_of(F.col("uid"), F.col("split_blocks"))))
-        hashed = hashed.withColumn("place", F.when(F.col("split_blocks").isNotNull(), apart).otherwise(F.col("place")))
-        split_blocks = F.col("split_blocks")
-    sizes = counts.groupBy(F.col("word_hash").alias("place")).agg(F.max("blocks").alias("blocks"))
-    sized = hashed.select("uid", "word", "place", "own", split_blocks).join(sizes.hint("merge"), "place", "left")
-    block = F.coalesce("own", block_of(F.col("uid"), F.coalesce("split_blocks", "blocks")))
-    return (
-        sized.select("place", "word", block.alias("block"), "uid")
-        .groupBy("place", "word", "block")
-        .agg(F.sort_array(F.collect_list(F.base64("uid"))).alias("uids"))
-        .select("word", "block", "uids")
-    )
-
-
-def pack_uids(uids: Column) -> Column:
-    return F.array_join(uids, UID_SEPARATOR)
+    ship(postings.sparkSession)
+    no_part, no_blocks = F.lit(None).cast("bigint").alias("part"), F.lit(None).cast("bigint").alias("blocks")
+    heads = counts.where(F.col("blocks") > 1).select("word", "word_hash", "blocks")
+    no_uid = F.lit(None).cast("binary").alias("uid")
+    if splits is None:
+        rows = postings.select("word", no_part, no_blocks, "uid").unionByName(heads.select("word", no_part, "blocks", no_uid))
+    else:
+        split = F.broadcast(splits)
+        placed = postings.withColumn("word_hash", F.xxhash64("word")).join(split, "word_hash", "left")
+        part = F.when(F.col("split_blocks").isNotNull(), block_of(F.col("uid"), F.col("split_blocks")))
+        heads = heads.join(split, "word_hash", "left")
+        last = F.col("split_blocks") - 1
+        runs = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(BLOCK_RUN).cast("bigint"))).alias("first")
+        runs = heads.where(F.col("split_blocks").isNotNull()).select("word", "split_blocks", runs)
+        end = F.least(F.col("first") + (BLOCK_RUN - 1), F.col("split_blocks") - 1)
+        apart = runs.select("word", F.explode(F.sequence("first", end)).alias("part"), F.col("split_blocks").alias("blocks"), no_uid)
+        whole = heads.where(F.col("split_blocks").isNull()).select("word", no_part, "blocks", no_uid)
+        rows = placed.select("word", part.alias("part"), no_blocks, "uid").unionByName(whole).unionByName(apart)
+    # The row that tells the block count stands first.
+    rows = rows.repartition("word", "part").sortWithinPartitions("word", "part", F.col("blocks").desc(), "uid")
+    cut = rows.select("word", "part", "blocks", F.xxhash64("uid").alias("mark"), "uid")
+    blocks = cut.mapInArrow(_cut_blocks, "word string, block bigint, body string")
+    return blocks.select("word", "block", "body", uids_of(F.col("body")).alias("uids"))
+
+
+def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (word, part, blocks, mark, uid) that stand by word, part and uid.
+
+    A word without a count has one block. Rows without an id are in a block, but not of its ids.
+    """
+    out: list[tuple[str, int, str]] = []
+    size = 0
+    for word, part, blocks, marks, uids in _groups(batches):
+        if part >= 0 or not blocks:
+            found = {max(part, 0): [uid for uid in uids if uid is not None]}
+        else:
+            found = {block: [] for block in range(blocks)}
+            for mark, uid in zip(marks, uids, strict=True):
+                if uid is not None:
+                    found[mark % blocks].append(uid)
+        for block, own in found.items():
+            out.append((word, block, _packed(own)))
+            size += len(word) + len(out[-1][2])
+        if len(out) >= OUT_ROWS or size >= OUT_CHARS:
+            yield _block_rows(out)
+            out, size = [], 0
+    if out:
+        yield _block_rows(out)
+
+
+def _block_rows(out: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    words, blocks, bodies = zip(*out, strict=True)
+    arrays = [pa.array(words, pa.string()), pa.array(blocks, pa.int64()), pa.array(bodies, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, ["word", "block", "body"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list, list]]:
+    """(word, part or -1, blocks or 0, marks, uids) of every word and part; its rows may lie in several batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words, uids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4))
+        parts, blocks = batch.column(1).fill_null(-1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+        ends = [*(np.flatnonzero((words[1:] != words[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist(), len(words)]
+        words, parts, blocks, uids, marks = words.tolist(), parts.tolist(), blocks.tolist(), uids.tolist(), batch.column(3).to_numpy().tolist()
+        low = 0
+        for end in ends:
+            own = words[low], parts[low], blocks[low], marks[low:end], uids[low:end]
+            if held is not None and held[:2] == own[:2]:
+                held[3].extend(own[3])
+                held[4].extend(own[4])
+            else:
+                if held is not None:
+                    yield held
+                held = own
+            low = end
+    if held is not None:
+        yield held
+
+
+def _packed(uids: list[bytes]) -> str:
+    """Ids by file: each file's name once, before its positions in hexadecimal. Ids too short
+    to end in a position stand in a group without a name."""
+    files: dict[bytes, list[str]] = {}
+    short = []
+    for uid in uids:
+        if len(uid) < POSITION_BYTES:
+            short.append(b64encode(uid).decode())
+        else:
+            files.setdefault(uid[:-POSITION_BYTES], []).append(uid[-POSITION_BYTES:].hex().lstrip("0"))
+    groups = [b64encode(name).decode() + NAME_END + UID_SEPARATOR.join(places) for name, places in files.items()]
+    if short:
+        groups.append(UID_SEPARATOR.join(short))
+    return GROUP_SEPARATOR.join(groups)
+
+
+def uids_of(body: Column) -> Column:
+    """The record ids of a block body, as an array.
+
+    A group without a file's name lists whole ids, as all bodies once did.
+    """
+
+    def of_group(group: Column) -> Column:
+        name = F.unbase64(F.substring_index(group, NAME_END, 1))
+        texts = F.split(F.substring_index(group, NAME_END, -1), UID_SEPARATOR)
+        placed = F.transform(texts, lambda t: F.concat(name, F.unhex(F.lpad(t, 2 * POSITION_BYTES, "0"))))
+        return F.when(F.contains(group, F.lit(NAME_END)), placed).otherwise(F.transform(texts, lambda t: F.unbase64(t)))
+
+    every = F.flatten(F.transform(F.split(body, GROUP_SEPARATOR), of_group))
+    return F.when(body == "", F.array().cast("array<binary>")).otherwise(every)
 
 
 def unpack_uids(blocks: DataFrame) -> DataFrame:
     """(word, uid) from (word, body): one row per record id of a block body."""
-    texts = blocks.where(F.col("body") != "").select("word", F.explode(F.split("body", UID_SEPARATOR)).alias("text"))
-    return texts.select("word", F.unbase64("text").alias("uid"))
+    return blocks.where(F.col("body") != "").select("word", F.explode(uids_of(F.col("body"))).alias("uid"))

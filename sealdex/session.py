@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +34,9 @@ def build_session(app: str = "sealdex", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_PACKAGE = Path(__file__).resolve().parent
+_SHIPPED: set[str] = set()
+
 # Workspaces chosen for applications whose cluster names none, by application.
 _CHOSEN: dict[str, str] = {}
 
@@ -57,6 +63,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(workspace(spark), app, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the workers import this package, wherever the driver found it: once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as archive:
+        for file in sorted(_PACKAGE.rglob("*.py")):
+            archive.write(file, str(file.relative_to(_PACKAGE.parent)))
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "package") + ".zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(body.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
+    _SHIPPED.add(app)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a workspace table and return the table.
 

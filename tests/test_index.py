@@ -434,3 +434,47 @@ def test_lookup_without_known_counts(spark):
     assert found.postings_per_word == {"all": 50}
     got = postings_of(reader.postings(FoundWords(found.entries)))
     assert set(got["all"]) == set(docs)
+
+
+def test_block_bodies_name_a_file_once(spark):
+    """Ids of one file cost their positions alone; ids too short for a position, and bodies of old, open as well."""
+    ids = [b"file-%d" % (i % 2) + (i * 1000).to_bytes(8, "big") for i in range(64)] + [b"id", b"12345678", bytes(8)]
+    postings = spark.createDataFrame([(i, "w") for i in ids], "uid binary, word string")
+    counts = staged(P.with_blocks(P.word_counts(postings), 128), "counts")
+    blocks = staged(P.block_postings(postings, counts, None, 128), "blocks")
+    (row,) = blocks.collect()
+    assert sorted(map(bytes, row.uids)) == sorted(ids)
+    assert len(row.body) < 8 * len(ids)
+    old = spark.createDataFrame([("w", "Zmlyc3Q=,c2Vjb25kLWlk")], "word string, body string")
+    assert sorted(bytes(r.uid) for r in P.unpack_uids(old).collect()) == [b"first", b"second-id"]
+
+
+def test_blocks_hold_rows_without_and_with_repeated_ids(spark):
+    """Rows without an id count and have their blocks; repeated rows stay repeated."""
+    rows = [(None, "none")] * 3 + [(b"document%06d" % (i // 2), "twice") for i in range(200)] + [(None, "twice")]
+    postings = spark.createDataFrame(rows, "uid binary, word string")
+    counts = staged(P.with_blocks(P.word_counts(postings), 64), "counts")
+    for splits in (None, P.split_words(counts, 100)):
+        got = P.block_postings(postings, counts, splits).collect()
+        assert sorted((r.word, r.block) for r in got) == [("none", 0), *(("twice", b) for b in range(4))]
+        ids = sorted(bytes(u) for r in got for u in r.uids)
+        assert ids == sorted(u for u, w in rows if u is not None)
+
+
+@pytest.mark.parametrize("harm", ["lost", "doubled"])
+def test_lookup_of_many_words_tells_lost_and_doubled_blocks(spark, harm):
+    """Entries are met once, whatever their number, and every chain row is accounted for there."""
+    docs = _random_docs(200, 6)
+    store = new_store(spark)
+    SealedIndex(store, SECRETS.writer()).upsert(rows_of(spark, docs))
+    reader = SealedIndex(store, SECRETS.reader())
+    many = FoundWords(reader.find_words(list(_inverted(docs))).entries)
+    plan = reader.postings(many)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" not in plan and "raise_error" in plan
+    assert {w: set(u) for w, u in postings_of(reader.postings(many)).items()} == _inverted(docs)
+    good = staged(store.chain(), "chain")
+    one = good.agg(F.min("token")).first()[0]
+    is_one = F.col("token") == F.lit(bytes(one))
+    store.chain = lambda: good.where(~is_one) if harm == "lost" else good.unionByName(good.where(is_one))
+    with pytest.raises(Exception, match="lost posting blocks"):
+        reader.postings(many).collect()
