@@ -26,6 +26,8 @@ REJECTED, WAITING = "-rejected", "-waiting"
 LINE_CLASSES = (REJECTED, WAITING)
 #: Helper columns of rows on their way to be sealed.
 LINE_CLASS, LINE_BODY = "_line_class", "_line_body"
+#: Up to so many classes a row's keys are looked up in one map; beyond, they come with the class.
+LOOKED_UP_CLASSES = 64
 RECORD_FRAME_BYTES = 4
 PART_FRAME_BYTES = 8
 
@@ -53,21 +55,30 @@ def seal_records(df: DataFrame, spec: RecordSpec, classes: DataFrame, writer: Se
     line_body = F.col(LINE_BODY) if has_lines else F.lit(None).cast("string")
     place = F.col(PLACE) if PLACE in df.columns else F.lit(None).cast("string")
     is_record = line_class.isNull()
-    token = F.coalesce(
-        line_class,
-        F.col("class_token"),
-        F.raise_error(F.concat(F.lit("no seal class for "), F.coalesce(row, F.lit("NULL")))).cast("string"),
-    )
+    unknown = F.raise_error(F.concat(F.lit("no seal class for "), F.coalesce(row, F.lit("NULL")))).cast("string")
+    # Never null, which the writer then need not make sure of: it takes the rows in the order they come in.
+    token = F.coalesce(line_class, F.col("class_token"), unknown, F.lit(""))
     bodies = {p.name: F.col(f"body_{p.name}") for p in spec.parts} | {TERMS: F.col(f"body_{TERMS}")}
+    parts = [key_column(name) for name in bodies]
     classes = classes.withColumn(key_column(TERMS), _terms_key(writer))
-    prepared = df.join(F.broadcast(classes), spec.row_field, "left").select(
+    by_lookup = len(spec.policy.rows.values) <= LOOKED_UP_CLASSES
+    joined = classes.select(spec.row_field, "class_token") if by_lookup else classes
+    # Rows are brought in the order of their folders as they are, before they get ciphertext and,
+    # where classes are few, keys: what is sorted is a fraction of what is written.
+    placed = df.join(F.broadcast(joined), spec.row_field, "left").withColumn("class_token", token)
+    placed = placed.sortWithinPartitions("class_token")
+    if by_lookup:
+        held = F.map_from_entries(F.collect_list(F.struct("class_token", F.struct(*parts))))
+        own = F.try_element_at(classes.agg(held).scalar(), F.col("class_token"))
+        placed = placed.withColumn("_keys", own).withColumns({k: F.col("_keys").getField(k) for k in parts})
+    prepared = placed.select(
         "file",
         "pos",
-        token.alias("class_token"),
+        "class_token",
         uid_bytes(F.col("file"), F.col("pos")).alias("uid"),
         *[F.when(is_record, p.json()).alias(f"body_{p.name}") for p in spec.parts],
         F.when(is_record, F.to_json(spec.index.column())).alias(f"body_{TERMS}"),
-        *[key_column(name) for name in bodies],
+        *parts,
         place.alias(PLACE),
         F.when(~is_record, utf8(line_body)).alias("line"),
     )

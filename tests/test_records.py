@@ -6,7 +6,7 @@ import pytest
 from conftest import SECRETS, make_people
 from pyspark.sql import functions as F
 
-from sealdex.operators import layout, metrics
+from sealdex.operators import layout, metrics, sealing
 from sealdex.plans.people import PEOPLE, people_rules
 from sealdex.plans.vault import Vault
 from sealdex.session import scratch_path
@@ -62,6 +62,26 @@ def test_search_lists_only_the_batches_that_hold_hits(spark):
     assert result.counts().first().found == len(here) < len(rows)
 
 
+@pytest.mark.parametrize("looked_up", [64, 0])
+def test_records_are_sorted_by_folder_before_they_are_sealed(spark, monkeypatch, looked_up):
+    """What is sorted carries no ciphertext and, where classes are few, no keys; the writer sorts nothing again."""
+    monkeypatch.setattr(sealing, "LOOKED_UP_CLASSES", looked_up)
+    vault = Vault(spark, scratch_path(spark, "sorted"), PEOPLE)
+    plans = []
+    append = vault.records.append
+    monkeypatch.setattr(vault.records, "append", lambda sealed, *a, **b: (plans.append(sealed), append(sealed, *a, **b)))
+    vault.ingest(spark.createDataFrame(make_people(30), PEOPLE.schema()), SECRETS)
+    plan = plans[0]._jdf.queryExecution().optimizedPlan()
+    assert plan.outputOrdering().head().child().name() == "class_token"
+    assert not plans[0]._jdf.schema().apply("class_token").nullable()
+    (line,) = [x for x in plan.toString().split("\n") if "Sort [" in x]
+    below = plan.toString().split(line)[1]
+    assert "aes" not in below.lower() and ("key_common" in below.split("\n")[1]) == (not looked_up)
+    keys = vault.user_keys(SECRETS, people_rules()["SuperAdmin"])
+    opened = vault.open_all(keys).select(*PEOPLE.fields).collect()
+    assert sorted(map(tuple, opened)) == sorted(make_people(30))
+
+
 def test_records_roll_to_new_files_by_size(spark):
     rows = make_people(3000)
     root = scratch_path(spark, "roll")
