@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealdex.functions.uid import batch_of, partition_of
-from sealdex.operators.bounds import rows_if_few
+from sealdex.operators.bounds import broadcast_if_few, rows_if_few
 from sealdex.operators.index_store import SPECIAL
 from sealdex.operators.keyring import HEADER_SCHEMA
 from sealdex.operators.ledger import Ledger, Piece
@@ -27,6 +27,9 @@ from sealdex.session import delete_path, published_folders
 # Up to this many hit files a fetch names them to the scan; beyond, it joins.
 FEW_FILES = 1_000
 
+# Up to this many hits travel to the records (about 80 bytes each); beyond, both are shuffled.
+FEW_HITS = 500_000
+
 # The number Spark writes into a part file's name is its task's partition.
 _PART_FILE = r"^part-(\d+)-"
 
@@ -146,4 +149,4 @@ class RecordStore:
                 part = F.regexp_extract("_metadata.file_name", _PART_FILE, 1).cast("int")
                 in_part = part.isin(sorted({partition_of(n) for n in names}))
                 records = records.where(in_part & F.col("file").isin(names))
-        return records.join(hits, ["file", "pos"], "left_semi")
+        return records.join(broadcast_if_few(hits, hits.count(), FEW_HITS), ["file", "pos"], "left_semi")

@@ -6,7 +6,7 @@ import pytest
 from conftest import SECRETS, make_people
 from pyspark.sql import functions as F
 
-from sealdex.operators import layout, metrics, sealing
+from sealdex.operators import layout, metrics, record_store, sealing
 from sealdex.plans.people import PEOPLE, people_rules
 from sealdex.plans.vault import Vault
 from sealdex.session import scratch_path
@@ -82,6 +82,25 @@ def test_records_are_sorted_by_folder_before_they_are_sealed(spark, monkeypatch,
     assert sorted(map(tuple, opened)) == sorted(make_people(30))
 
 
+@pytest.mark.parametrize("most,strategy", [(10, "sortmergejoin"), (500_000, "broadcasthashjoin")])
+def test_counted_hits_travel_to_the_records(spark, monkeypatch, most, strategy):
+    """However small the session's broadcast threshold is; too many hits meet the records by shuffle."""
+    monkeypatch.setattr(record_store, "FEW_HITS", most)
+    rows = make_people(60)
+    vault = Vault(spark, scratch_path(spark, "hits"), PEOPLE)
+    vault.ingest(spark.createDataFrame(rows, PEOPLE.schema()), SECRETS)
+    hits = vault.find(["country=France"], SECRETS.reader()).cache()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = vault.records.read_selected(hits)
+        assert strategy in chosen._jdf.queryExecution().executedPlan().toString().lower()
+        assert chosen.count() == sum(r[4] == "France" for r in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        hits.unpersist()
+
+
 def test_records_roll_to_new_files_by_size(spark):
     rows = make_people(3000)
     root = scratch_path(spark, "roll")
