@@ -386,7 +386,11 @@ class SealedIndex:
             full = [runs for _, runs in sorted(levels.items()) if len(runs) >= self.fan_out]
             if not full:
                 return
-            self.merge(sorted(full[0], key=lambda r: max(r.covers))[: self.fan_out])
+            chosen = sorted(full[0], key=lambda r: max(r.covers))[: self.fan_out]
+            # What would fill the next level is merged with that at once: no posting moves twice.
+            while len(above := levels.get(max(r.level for r in chosen) + 1, [])) == self.fan_out - 1:
+                chosen = above + chosen
+            self.merge(chosen)
 
     def merge(self, runs: list[Run]) -> Run:
         """Make one run of several: a word's postings in blocks of their own, under its last revision.

@@ -149,16 +149,20 @@ def postings_by_word(spark, sf_dir):
 def posting_blocks(spark, sf_dir):
     """Blocked postings of the documents, read back through the sealed chain."""
     index = document_index(spark, sf_dir)
-    words = P.explode_words(tb.document_words(spark, sf_dir)).select("word").distinct()
-    return _all_postings(index, words).groupBy("word").agg(
+    return _all_postings(index, _word_keys(index, tb.document_words(spark, sf_dir))).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(uid_pos(F.col("uid"))).alias("first_doc"),
         F.max(uid_pos(F.col("uid"))).alias("last_doc"),
     )
 
 
-def _all_postings(index: SealedIndex, words: DataFrame) -> DataFrame:
-    keys = words.withColumn("token", word_token(index.secrets, F.col("word")))
+def _word_keys(index: SealedIndex, docs: DataFrame) -> DataFrame:
+    """(word, token) of every word of the documents, worked out once."""
+    words = P.explode_words(docs).select("word").distinct()
+    return staged(words.withColumn("token", word_token(index.secrets, F.col("word"))), "word-keys")
+
+
+def _all_postings(index: SealedIndex, keys: DataFrame) -> DataFrame:
     entries = open_entries(index.store.get_entries(keys), index.secrets)
     return index.postings(FoundWords(entries))
 
@@ -249,8 +253,7 @@ def index_incremental(spark, sf_dir):
     docs = staged(tb.document_words(spark, sf_dir), "document-words")
     for row in docs.select("lang").distinct().orderBy("lang").collect():
         index.upsert(docs.where(F.col("lang") == row["lang"]))
-    words = P.explode_words(docs).select("word").distinct()
-    keys = words.withColumn("token", word_token(index.secrets, F.col("word")))
+    keys = _word_keys(index, docs)
     opened = open_entries(store.get_entries(keys), index.secrets)
     return opened.groupBy("word").agg(F.sum("n").alias("n"), F.max("revision").alias("revision"))
 
@@ -268,10 +271,9 @@ def index_levels(spark, sf_dir):
     docs = staged(tb.document_words(spark, sf_dir), "document-words")
     for row in docs.select("source").distinct().orderBy("source").collect():
         index.upsert(docs.where(F.col("source").eqNullSafe(row["source"])))
-    words = P.explode_words(docs).select("word").distinct()
-    keys = words.withColumn("token", word_token(index.secrets, F.col("word")))
+    keys = _word_keys(index, docs)
     revisions = open_entries(store.get_entries(keys), index.secrets).groupBy("word").agg(F.max("revision").alias("revision"))
-    counts = _all_postings(index, words).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = _all_postings(index, keys).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(revisions, "word").select("word", "n", "revision", F.lit(len(store.runs())).alias("runs"))
 
 
@@ -368,8 +370,8 @@ def index_stale_writer(spark, sf_dir):
     seen = staged(current_revisions(store.entries()), "seen-revisions")
     index.upsert(of["fr"])
     report = index.upsert(of["de"], base=seen)
-    words = P.explode_words(docs).select("word").distinct()
-    found = _all_postings(index, words).agg(F.count(F.lit(1)).alias("postings"))
+    keys = _word_keys(index, docs)
+    found = _all_postings(index, keys).agg(F.count(F.lit(1)).alias("postings"))
     return found.select(F.lit(report.words).cast("bigint").alias("proposed"), F.lit(report.conflicts).cast("bigint").alias("refused"), "postings")
 
 

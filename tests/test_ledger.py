@@ -53,6 +53,22 @@ def test_two_writers_do_not_overwrite_each_other(spark, monkeypatch):
     assert one.fact("a") == 2
 
 
+def test_full_levels_are_merged_at_once(spark, monkeypatch):
+    """Fan-out 2: the fourth batch, the run of level 0 before it and that of level 1 become one run in one merge."""
+    docs = _random_docs(80, 5, 12)
+    items = list(docs.items())
+    index = SealedIndex(new_store(spark), SECRETS.writer(), fan_out=2)
+    merged = []
+    merge = index.merge
+    monkeypatch.setattr(index, "merge", lambda runs: (merged.append([r.level for r in runs]), merge(runs))[1])
+    for i in range(4):
+        index.upsert(rows_of(spark, dict(items[i::4])))
+    assert [sorted(levels) for levels in merged] == [[0, 0], [0, 0, 1]]
+    assert index.store.runs() == [Run(merged_number(2, [4]), 2, (1, 2, 3, 4))]
+    found = postings_of(index.lookup(list(_inverted(docs))))
+    assert {w: sorted(u) for w, u in found.items()} == {w: sorted(u) for w, u in _inverted(docs).items()}
+
+
 def test_merged_batches_equal_one_batch(spark):
     """Fan-out 3, nine batches: one run of level 2, a hot word split over blocks; later batches go on from its revisions."""
     docs = _random_docs(360, 11, 25)
