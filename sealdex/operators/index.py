@@ -197,18 +197,23 @@ def chain_keys(entries: DataFrame, spread: bool) -> DataFrame:
     than a run of them; ``spread`` puts the runs of a frequent word on many tasks.
     Words of one run stay where they are.
     """
-    last = F.col("blocks") - 1
     entries = entries.select("word", "word_key", "batch", "blocks")
-    runs = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(BLOCK_RUN).cast("bigint"))).alias("first")
-    runs = entries.select("*", runs)
-    if spread:
-        many = F.col("blocks") > BLOCK_RUN
-        few = entries.where(~many).withColumn("first", F.lit(0).cast("bigint"))
-        runs = few.unionByName(runs.where(many).repartition("word", "batch", "first"))
-    final = F.least(F.col("first") + (BLOCK_RUN - 1), last)
+    zero, last = F.lit(0).cast("bigint"), F.col("blocks") - 1
     pads = crypto.hmac_pads(F.col("word_key")).alias("pads")
-    runs = runs.select("word", "word_key", pads, "batch", F.sequence("first", final).alias("own"))
-    return _placed_keys(runs.select("word", "word_key", "pads", "batch", F.explode("own").alias("block")))
+    # Numbers are exploded as expressions: the optimizer would test a column's size first, where the
+    # entries are read, and open each once more for it.
+    if spread:
+        # One run in place, or none; entries are tested for more in a scan of their own.
+        only = F.when(F.col("blocks") <= BLOCK_RUN, F.sequence(zero, last))
+        few = entries.select("word", "word_key", pads, "batch", F.explode(only).alias("block"))
+        entries = entries.where(F.col("blocks") > BLOCK_RUN)
+    firsts = F.explode(F.sequence(zero, last, F.lit(BLOCK_RUN).cast("bigint"))).alias("first")
+    runs = entries.select("*", firsts)
+    if spread:
+        runs = runs.repartition("word", "batch", "first")
+    own = F.sequence("first", F.least(F.col("first") + (BLOCK_RUN - 1), last))
+    blocks = runs.select("word", "word_key", pads, "batch", F.explode(own).alias("block"))
+    return _placed_keys(few.unionByName(blocks) if spread else blocks)
 
 
 def chain_keys_within(entries: DataFrame, places: list[tuple[str, int, int]], uids: DataFrame) -> DataFrame:
