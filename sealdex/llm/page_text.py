@@ -262,6 +262,14 @@ _LINES_ARROW = pa.schema(
      ("lines", pa.list_(pa.string())), ("states", pa.list_(pa.int8())), ("hashes", pa.list_(pa.int64()))]
 )
 _LEAST = -(1 << 63)
+#: Pages turned into Python values at once: an Arrow batch holds thousands, whatever their size.
+_ROWS_AT_ONCE = 128
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield from batch.slice(low, _ROWS_AT_ONCE).to_pylist()
 
 
 def _hash(line: str) -> int:
@@ -276,36 +284,40 @@ def _parsed(bounds: list[tuple[str, str, int]], with_text: bool):
     """Lines of the pages, and the range of keys each page lies in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                found = lines_of(row["html"]) if row["html"] else []
-                out.append(
-                    {k: row[k] for k in ("host", "path", "page_id", "url")}
-                    | {"range": bisect_right(bounds, _key(row["host"], row["path"], row["page_id"])), "ghost": False, "hashes": [_hash(t) for t, _ in found]}
-                    | ({"lines": [t for t, _ in found], "states": [s for _, s in found]} if with_text else {})
-                )
-                if len(out) == 500:
-                    yield pa.RecordBatch.from_pylist(out, _LINES_ARROW)
-                    out = []
-            yield pa.RecordBatch.from_pylist(out, _LINES_ARROW)
+        out = []
+        for row in _rows(batches):
+            found = lines_of(row["html"]) if row["html"] else []
+            out.append(
+                {k: row[k] for k in ("host", "path", "page_id", "url")}
+                | {"range": bisect_right(bounds, _key(row["host"], row["path"], row["page_id"])), "ghost": False, "hashes": [_hash(t) for t, _ in found]}
+                | ({"lines": [t for t, _ in found], "states": [s for _, s in found]} if with_text else {})
+            )
+            if len(out) == _ROWS_AT_ONCE:
+                yield pa.RecordBatch.from_pylist(out, _LINES_ARROW)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, _LINES_ARROW)
 
     return run
 
 
+def _parsed_ends(bounds: list[tuple[str, str, int]]):
+    """Both in one worker: each further step of a task holds a worker of its own."""
+    parsed = _parsed(bounds, False)
+    return lambda batches: _ends(parsed(batches))
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each range the first and last page, and the first and last that differ from these in host or lines."""
     ends: dict[int, list[dict | None]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            own = ends.setdefault(row["range"], [None] * 4)
-            for at, sign in ((0, -1), (2, 1)):
-                most, other = own[at : at + 2]
-                beyond = lambda x: x is None or (_order(row) > _order(x)) - (_order(row) < _order(x)) == sign  # noqa: B023, E731
-                if beyond(most):
-                    own[at : at + 2] = [row, most if most and not _alike(row, most) else other]
-                elif not _alike(row, most) and beyond(other):
-                    own[at + 1] = row
+    for row in _rows(batches):
+        own = ends.setdefault(row["range"], [None] * 4)
+        for at, sign in ((0, -1), (2, 1)):
+            most, other = own[at : at + 2]
+            beyond = lambda x: x is None or (_order(row) > _order(x)) - (_order(row) < _order(x)) == sign  # noqa: B023, E731
+            if beyond(most):
+                own[at : at + 2] = [row, most if most and not _alike(row, most) else other]
+            elif not _alike(row, most) and beyond(other):
+                own[at + 1] = row
     out = [row | {"what": what} for own in ends.values() for what, row in enumerate(own) if row]
     yield pa.RecordBatch.from_pylist(out, _LINES_ARROW.append(pa.field("what", pa.int32())))
 
@@ -383,7 +395,7 @@ def _paired(judged: dict[int, list]):
             for page, url, _, states in copies:
                 text = "\n".join(t for t, state, gone in zip(first["lines"], states, shared, strict=True) if state == ARTICLE or not gone)
                 out.append((page, url, text, len(text)))
-                if len(out) == 1000:
+                if len(out) == _ROWS_AT_ONCE:
                     yield packed()
 
         def packed():
@@ -392,16 +404,15 @@ def _paired(judged: dict[int, list]):
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                fresh = first is not None and row["range"] != first["range"]
-                if first is None or fresh or first["ghost"] or row["ghost"] or not _alike(row, first):
-                    yield from done(None if fresh else row)
-                    head = first is None or fresh or (first["ghost"] and not copies and head)
-                    before, first, copies = (None if fresh else first), row, []
-                if not row["ghost"]:
-                    states = first["states"] if row["states"] == first["states"] else row["states"]
-                    copies.append((row["page_id"], row["url"], row["path"], states))
+        for row in _rows(batches):
+            fresh = first is not None and row["range"] != first["range"]
+            if first is None or fresh or first["ghost"] or row["ghost"] or not _alike(row, first):
+                yield from done(None if fresh else row)
+                head = first is None or fresh or (first["ghost"] and not copies and head)
+                before, first, copies = (None if fresh else first), row, []
+            if not row["ghost"]:
+                states = first["states"] if row["states"] == first["states"] else row["states"]
+                copies.append((row["page_id"], row["url"], row["path"], states))
         yield from done(None)
         yield packed()
 
@@ -430,7 +441,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     keys = sorted(_key(*r) for r in drawn)
     bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
-    light = raw.mapInArrow(_parsed(bounds, False), _LINES).mapInArrow(_ends, f"{_LINES}, what int")
+    light = raw.mapInArrow(_parsed_ends(bounds), f"{_LINES}, what int")
     ends = light.groupBy("range").applyInArrow(lambda t: pa.Table.from_batches(_ends(t.drop_columns("what").to_batches())), f"{_LINES}, what int")
     path = scratch_path(spark, "page-ranges")
     ends.write.parquet(path)

@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import SF_DIR, shipped  # noqa: F401
 
@@ -131,3 +132,20 @@ def test_marks_are_whole_tokens(name, kept):
 def test_text_that_only_looks_like_tags():
     lines = page_text.lines_of("<p>a < b and c <d e=\"f'> g</p><p title='it's'>h</p> <3 <")
     assert [t for t, _ in lines][0].startswith("a < b and c") and lines[-1][0].endswith("<3 <")
+
+
+def test_few_pages_are_held_as_values_at_once():
+    """An Arrow batch holds thousands of pages: they are read slice by slice, and texts go as they are made."""
+    n = 2_000
+    rows = [{"range": 0, "ghost": False, "host": "h", "path": f"/{i:05}", "page_id": i, "url": f"http://h/{i:05}", "lines": [f"line {i}"], "states": [2], "hashes": [i]} for i in range(n)]
+    batch = pa.RecordBatch.from_pylist(rows, page_text._LINES_ARROW)
+    out = [b.num_rows for b in page_text._paired({})(iter([batch]))]
+    assert sum(out) == n and max(out) <= 256
+    pages = pa.RecordBatch.from_pylist([{k: r[k] for k in ("host", "path", "page_id", "url")} | {"html": "<p>a"} for r in rows])
+    assert max(b.num_rows for b in page_text._parsed([], True)(iter([pages]))) <= 256
+
+
+def test_pages_are_read_and_their_ends_found_in_one_step():
+    """Two steps of a task in Python are two workers, each with the memory of one."""
+    page = pa.RecordBatch.from_pylist([{"host": "h", "path": "/a", "page_id": 1, "url": "u", "html": "<p>a"}])
+    assert [r["what"] for b in page_text._parsed_ends([])(iter([page])) for r in b.to_pylist()] == [0, 2]
