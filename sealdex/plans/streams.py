@@ -95,14 +95,20 @@ class VaultStream:
             said = self._said()
             cuts, epoch = said["cuts"], self._epoch()
             info = {"stream": self.name, "segment": said["segment"]}
-            seen = Observation()
-            report = vault._ingest(self._cut_lines(lines, cuts, strict, seen), self.secrets, batch, epoch, **info)
-            if seen.get["ends"]:
-                # Once a stream: the batch is read again, now cut at its end line.
+            seen, moved = Observation(), None
+
+            def cut_at_end() -> DataFrame | None:
+                """Once a stream: the batch is read again, now cut at its end line, before it is indexed."""
+                nonlocal moved
+                if not seen.get["ends"]:
+                    return None
                 found = self._ends(lines)
                 moved = {g: c for g, c in found.items() if g not in cuts or c < cuts[g]}
                 self._say(cuts=cuts | moved)
-                report = vault._ingest(self._cut_lines(lines, cuts | moved, strict, Observation()), self.secrets, batch, epoch, **info)
+                return self._cut_lines(lines, cuts | moved, strict, Observation())
+
+            report = vault._ingest(self._cut_lines(lines, cuts, strict, seen), self.secrets, batch, epoch, again=cut_at_end, **info)
+            if moved is not None:
                 self._cut_earlier([b for b in self._batches(said["segment"]) if b != batch], moved)
         return report
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -123,7 +124,9 @@ class Vault:
         return judged.select(*self.spec.fields, *more, line_class.alias(LINE_CLASS), body.alias(LINE_BODY))
 
     def _ingest(self, rows: DataFrame, secrets: Secrets, batch: int | None = None, epoch: str | None = None,
-                drop_indexes: bool = False, max_file_mb: int | None = None, **info) -> IngestReport:
+                drop_indexes: bool = False, max_file_mb: int | None = None,
+                again: Callable[[], DataFrame | None] | None = None, **info) -> IngestReport:
+        """``again``: asked once the rows are written; rows that it gives are written in their place."""
         with self.ledger.together():
             begun = self.clock.mark()
             if drop_indexes:
@@ -133,6 +136,9 @@ class Vault:
             epoch = str(batch) if epoch is None else epoch
             classes = self._classes(secrets, epoch)
             good, bad, waiting = self._append(rows, classes, secrets, batch, max_file_mb, **info)
+            rows = None if again is None else again()
+            if rows is not None:
+                good, bad, waiting = self._append(rows, classes, secrets, batch, max_file_mb, **info)
             if good + self.epoch_records(epoch, batch) > EPOCH_RECORDS:
                 # Nothing was committed: what was sealed is in no table that anyone reads.
                 raise ValueError(f"more than {EPOCH_RECORDS} records in key epoch {epoch}: split batch {batch} or name another epoch")

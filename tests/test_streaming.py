@@ -121,3 +121,16 @@ def test_cut_of_topic_partitions(spark):
     batch = spark.createDataFrame(rows, "partition int, offset long, value string")
     kept, ended = before_end(batch, TOPIC_ORDER)
     assert sorted(r.value for r in kept.collect()) == ["x5", "y2", "y9", "z0"] and ended
+
+
+def test_batch_with_the_end_line_is_indexed_once(spark, tmp_path, monkeypatch):
+    lines = _lines(spark, make_people(12))
+    (tmp_path / "1.txt").write_text("\n".join([*lines[:8], END_LINE, *lines[8:]]) + "\n")
+    indexed = []
+    index = Vault._index_batch
+    monkeypatch.setattr(Vault, "_index_batch", lambda vault, batch, *more: indexed.append(batch) or index(vault, batch, *more))
+    vault = Vault(spark, scratch_path(spark, "once"), PEOPLE)
+    _, state = _drain(spark, vault, tmp_path, scratch_path(spark, "progress"))
+    assert (state.ended, state.records, indexed) == (True, 8, [1])
+    keys = vault.user_keys(SECRETS, people_rules()["SuperAdmin"])
+    assert vault.search(["country=spain"], SECRETS.reader(), keys).counts().first().found == 3
