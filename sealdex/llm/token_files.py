@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealdex.llm import range_coder
-from sealdex.llm.tokens import encoder
+from sealdex.llm.tokens import encoder, forget_words
 from sealdex.session import scratch_path
 
 END_ID = 1
 #: Bytes of text encoded at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 #: Rows turned into Python values at once.
 _ROWS_AT_ONCE = 256
 
@@ -58,6 +58,8 @@ def _rows(batches: Iterator[pa.RecordBatch], part: list) -> Iterator[tuple[int,
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Segments one by one: a batch holds many, and each is some megabytes."""
+    # A worker that encoded before needs its words no more.
+    forget_words()
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]

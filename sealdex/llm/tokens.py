@@ -16,6 +16,8 @@ import numpy as np
 
 #: Distinct words remembered by a worker before it starts afresh.
 REMEMBERED_WORDS = 600_000
+#: New words given to the library at once.
+WORDS_AT_ONCE = 4_096
 
 #: White space of Unicode. ``str.split`` also cuts at \x1c to \x1f.
 _BLANKS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -85,9 +87,11 @@ class Encoder:
         codes = self.codes
         fresh = [p for p in {*stems, *tails} if p not in codes]
         if fresh:
-            ids = self._ids(fresh)
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32)
-            self._remember(fresh, np.fromiter(map(len, ids), np.int64, len(ids)), flat)
+            # The library's answer takes far more memory than the ids in it.
+            for low in range(0, len(fresh), WORDS_AT_ONCE):
+                ids = self._ids(some := fresh[low : low + WORDS_AT_ONCE])
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+                self._remember(some, np.fromiter(map(len, ids), np.int64, len(ids)), flat)
         joined = [i for i, word in enumerate(words) if word != stems[i]]
         if joined:
             pieces = np.empty((len(joined), 2), np.int64)
@@ -170,3 +174,9 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget_words() -> None:
+    """Give up the words the worker's encoders remember, where other work comes next."""
+    for own in _ENCODERS.values():
+        own._forget()

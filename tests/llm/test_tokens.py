@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 from llm_rows import SF_DIR, odd_rows, shipped  # noqa: F401
 
-from sealdex.llm import prefix_counts, range_coder, token_files
+from sealdex.llm import prefix_counts, range_coder, token_files, tokens
 from sealdex.llm.queries import QUERIES, VOCABULARY
 from sealdex.llm.tokens import Encoder, encoder
 
@@ -159,3 +160,25 @@ def test_no_rows(shipped):
     none = shipped.createDataFrame([], SCHEMA)
     assert token_files.written_and_read(none, VOCABULARY).count() == 0
     assert prefix_counts.token_counts(none, VOCABULARY).count() == 0
+
+
+def test_encoding_a_full_group_takes_little_memory():
+    ids = np.random.default_rng(3).zipf(1.3, range_coder.GROUP_IDS).astype(np.uint32) % 49_152
+    tracemalloc.start()
+    try:
+        coded = range_coder.encode(ids, 49_152)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6
+    assert (range_coder.decode(coded) == ids).all()
+
+
+def test_new_words_reach_the_library_few_at_a_time():
+    own = tokens.Encoder(VOCABULARY)
+    asked, whole = [], own._ids
+    own._ids = lambda texts: asked.append(len(texts)) or whole(texts)
+    text = " ".join(f"w{i}x" for i in range(3 * tokens.WORDS_AT_ONCE))
+    ids, bounds = own.encode([text])
+    assert sum(asked) >= 3 * tokens.WORDS_AT_ONCE and max(asked) <= tokens.WORDS_AT_ONCE
+    assert ids.tolist() == whole([text])[0] and bounds.tolist() == [0, len(ids)]
