@@ -47,6 +47,9 @@ _PLACEMENT = [T.StructField("batch", T.LongType()), T.StructField("shard", T.Str
 # Up to this many tokens a lookup names them to the scan; beyond, it joins.
 FEW_TOKENS = 512
 
+# Up to this many rows of an upsert travel to the entries; beyond, both are shuffled.
+FEW_UPSERTS = 100_000
+
 # Size a file is aimed at, and the least worth a task of its own.
 FILE_BYTES = 256 << 20
 TASK_BYTES = 2 << 20
@@ -353,7 +356,11 @@ class ParquetIndexStore:
         The comparison is pinned to the batches before this one, so reading the
         result later does not see this batch's own rows.
         """
-        stored = current_revisions(self.get_entries(rows.select("token"), before=batch))
+        # Rows meet the revisions once. Only where they are few are the entries looked up for them before.
+        tokens, entries = rows.select("token"), self.entries(before=batch)
+        if tokens.limit(FEW_UPSERTS + 1).count() <= FEW_UPSERTS:
+            entries = _lookup(entries, F.broadcast(tokens))
+        stored = current_revisions(entries)
         flagged = flag_applicable(rows, stored)
         self.append_entries(flagged.where("applied"), batch)
         return flagged.select("token", "revision", "applied")

@@ -333,26 +333,23 @@ def entry_conditional_upsert(spark, sf_dir):
     store = ParquetIndexStore(spark, scratch_path(spark, "conditional"))
     store.create()
     docs = tb.document_words(spark, sf_dir).select("lang", F.explode(F.array_distinct("words")).alias("word"))
-    words = staged(
-        docs.distinct().select("lang", word_token(index.secrets, F.col("word")).alias("token")), "lang-words"
-    )
+    # A word is one row, which says in what languages it is: no attempt has to find its distinct words again.
+    spoken = docs.groupBy("word").agg(*[F.max(F.col("lang") == lang).alias(lang) for lang in ("en", "fr", "de")])
+    words = staged(spoken.select(word_token(index.secrets, F.col("word")).alias("token"), "en", "fr", "de"), "lang-words")
 
     def attempt(name: str, rows: DataFrame, revision: int) -> DataFrame:
-        rows = rows.select("token").distinct()
         rows = rows.select("token", F.lit(revision).alias("revision"), F.col("token").alias("sealed"))
         flags = store.upsert_entries(rows, store.next_batch())
         return flags.agg(
             F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("refused")
         ).select(F.lit(name).alias("attempt"), "applied", "refused")
 
-    english = words.where(F.col("lang") == "en")
-    french = words.where(F.col("lang") == "fr")
-    german = words.where(F.col("lang") == "de")
+    english, french = words.where("en"), words.where("fr")
     steps = [
         attempt("insert english", english, 0),
         attempt("insert all", words, 0),
         attempt("update french", french, 1),
-        attempt("update french or german", french.unionByName(german), 1),
+        attempt("update french or german", words.where("fr OR de"), 1),
         attempt("skip a revision", words, 3),
     ]
     return reduce(lambda a, b: a.unionByName(b), steps)

@@ -6,6 +6,7 @@ from conftest import SECRETS
 from pyspark.sql import functions as F
 
 from sealdex.functions import crypto
+from sealdex.operators import index_store
 from sealdex.operators import postings as P
 from sealdex.operators.boolean import find
 from sealdex.operators.index import BLOCK_RUN, FoundWords, SealedIndex, chain_keys, open_entries, pack_entry, unpack_entry
@@ -75,6 +76,26 @@ def test_conditional_upsert(spark):
     assert got == set(keys)
 
 
+def test_many_upserted_rows_meet_the_stored_revisions_once(spark, monkeypatch):
+    monkeypatch.setattr(index_store, "FEW_UPSERTS", 100, raising=False)
+    store = new_store(spark)
+
+    def upsert(tokens, revision):
+        rows = [(i.to_bytes(32, "big"), revision, b"v") for i in tokens]
+        schema = {"token": pa.binary(), "revision": pa.int32(), "sealed": pa.binary()}
+        return store.upsert_entries(crypto.local_frame(spark, rows, schema), store.next_batch())
+
+    def applied(flags):
+        return {int.from_bytes(r.token, "big") for r in flags.where("applied").collect()}
+
+    assert applied(upsert(range(700), 0)) == set(range(700))
+    flags = upsert(range(650, 1300), 0)
+    assert applied(flags) == set(range(700, 1300))
+    assert flags._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert applied(upsert(range(0, 1300, 13), 1)) == set(range(0, 1300, 13))
+    assert store.entries().count() == 1300 + 100
+
+
 def _random_docs(n, seed, vocabulary=40):
     rng = random.Random(seed)
     return {
