@@ -8,6 +8,7 @@ computes all its chain tokens at once, in parallel, with no pointer to follow.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import nullcontext
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from sealdex.operators import postings as P
 from sealdex.operators.bounds import rows_if_few
 from sealdex.operators.index_store import IndexStore, Run, Seal, current_revisions, flag_applicable, merged_number
 from sealdex.operators.postings import BLOCK_RUN
-from sealdex.session import staging
+from sealdex.session import side_by_side, staging
 
 # Entries of one query the driver may hold (words of the query times batches).
 FEW_ENTRIES = 10_000
@@ -137,24 +138,21 @@ def _chain_token(pads: Column, batch: Column, block: Column) -> Column:
 
 
 def place_blocks(blocks: DataFrame, secrets: SecretRow, batch: int, token: Column | None = None) -> DataFrame:
-    """(token, word, body) from (word, block, body); ``token`` is that of the word, where it is known."""
-    keyed = blocks.select("word", "block", "body", _word_key(secrets, token).alias("word_key"))
-    keyed = keyed.select("word", "block", "body", crypto.hmac_pads(F.col("word_key")).alias("pads"))
-    return keyed.select(_chain_token(F.col("pads"), F.lit(batch).cast("bigint"), F.col("block")).alias("token"), "word", "body")
+    """(token, of, body) from (word, block, body): ``of`` is the word's token, which is ``token`` where it is known."""
+    of = word_token(secrets, F.col("word")) if token is None else token
+    keyed = blocks.select(of.alias("of"), "block", "body")
+    keyed = keyed.select("of", "block", "body", crypto.hmac_pads(secrets.hmac("word", F.col("of"))).alias("pads"))
+    return keyed.select(_chain_token(F.col("pads"), F.lit(batch).cast("bigint"), F.col("block")).alias("token"), "of", "body")
 
 
-def seal_blocks(placed: DataFrame, secrets: SecretRow, token: Column | None = None) -> DataFrame:
+def seal_blocks(placed: DataFrame, secrets: SecretRow) -> DataFrame:
     """(token, sealed) of placed blocks."""
-    keyed = placed.select("token", _word_key(secrets, token).alias("word_key"), utf8(F.col("body")).alias("body"))
+    keyed = placed.select("token", secrets.hmac("word", F.col("of")).alias("word_key"), utf8(F.col("body")).alias("body"))
     nonce = crypto.nonce_from(secrets.hmac("nonce", F.concat("token", "body")))
     sealed = crypto.seal(F.col("body"), F.col("word_key"), nonce, F.col("token"))
     return keyed.select("token", sealed.alias("sealed"))
 
 
-def _word_key(secrets: SecretRow, token: Column | None) -> Column:
-    return secrets.hmac("word", word_token(secrets, F.col("word")) if token is None else token)
-
-
 def all_found(rows: DataFrame, keys: DataFrame) -> Column:
     """True, or the plan fails: whether ``rows`` are the chain rows of all ``keys``, each once.
 
@@ -184,10 +182,15 @@ def whole_chain(chain: DataFrame, keys: DataFrame) -> DataFrame:
     return met.withColumn("sealed", sealed).drop("copies")
 
 
+def open_bodies(rows: DataFrame) -> DataFrame:
+    """(word, body) from chain rows joined with their word and word key."""
+    body = crypto.open_or_fail(F.col("sealed"), F.col("word_key"), F.col("token"))
+    return rows.select("word", F.decode(body, "UTF-8").alias("body"))
+
+
 def open_blocks(rows: DataFrame) -> DataFrame:
     """(word, uid) from chain rows joined with their word and word key."""
-    body = crypto.open_or_fail(F.col("sealed"), F.col("word_key"), F.col("token"))
-    return P.unpack_uids(rows.select("word", F.decode(body, "UTF-8").alias("body")))
+    return P.unpack_uids(open_bodies(rows))
 
 
 def chain_keys(entries: DataFrame, spread: bool) -> DataFrame:
@@ -301,7 +304,7 @@ class SealedIndex:
                     raise ValueError(f"batch {batch} is part of run {covering.number}: write that run")
             else:
                 self.store.describe(run)
-            report = self._upsert(P.explode_words(rows), batch, base, stage, min(run.covers) if run else batch)
+            report = self._upsert(rows, batch, base, stage, min(run.covers) if run else batch)
         self._merge_full_levels()
         return report
 
@@ -315,8 +318,8 @@ class SealedIndex:
     def _together(self):
         return self.store.together() if hasattr(self.store, "together") else nullcontext()
 
-    def _upsert(self, postings: DataFrame, batch: int, base: DataFrame | None, stage, before: int) -> UpsertReport:
-        counted = P.with_blocks(P.word_counts(postings), self.block_size)
+    def _upsert(self, rows: DataFrame, batch: int, base: DataFrame | None, stage, before: int) -> UpsertReport:
+        counted = P.with_blocks(P.record_word_counts(rows), self.block_size)
         # Words of several blocks are needed again; no word is staged in the clear.
         counted = counted.select(
             word_token(self.secrets, F.col("word")).alias("token"), "word_hash", "n", "blocks",
@@ -325,29 +328,45 @@ class SealedIndex:
         shown = crypto.open_or_fail(F.col("hidden"), self.secrets.key("nonce"), F.col("token"))
         counts = stage(counted, "word-counts").withColumn("word", F.decode(shown, "UTF-8"))
         totals = P.word_totals(counts)
-        stored = self._stored(counts.select("token"), before, stage)
-        proposed = self._proposals(counts, stored if base is None else base)
-
-        lost = None if base is None else self._refused(proposed, stored, stage)
-        if lost is not None:
+        lost = None
+
+        def entries() -> DataFrame:
+            nonlocal lost
+            stored = self._stored(counts.select("token"), before, stage)
+            proposed = self._proposals(counts, stored if base is None else base)
+            lost = None if base is None else self._refused(proposed, stored, stage)
+            if lost is None:
+                return proposed
             again = self._proposals(counts.join(lost, "token", "left_semi"), stored)
-            proposed = proposed.join(lost, "token", "left_anti").unionByName(again)
+            return proposed.join(lost, "token", "left_anti").unionByName(again)
 
-        self._write(postings, counts, totals, proposed, batch)
+        self._write(lambda splits: P.packed_words(rows, splits), counts, totals, entries, batch)
         conflicts = 0 if lost is None else lost.count()
         return UpsertReport(batch, totals.words, totals.postings, conflicts)
 
-    def _write(self, postings: DataFrame, counts: DataFrame, totals: P.WordTotals, entries: DataFrame, batch: int,
-               token: Column | None = None) -> None:
-        """The chain, sketch and entry rows of a run."""
-        threshold = totals.split_threshold(self.split_above)
-        splits = P.split_words(counts, threshold) if totals.most > threshold else None
-        blocks = place_blocks(P.block_postings(postings, counts, splits), self.secrets, batch, token)
-        chain_size = totals.postings * POSTING_BYTES + totals.words * ROW_BYTES
-        self._append(self.store.upsert_chain, blocks, batch, chain_size, lambda placed: seal_blocks(placed, self.secrets, token))
-        if hasattr(self.store, "append_sketch"):
-            self.store.append_sketch(counts.select("token"), batch, totals.words)
-        self._append(self.store.append_entries, entries, batch, totals.words * ROW_BYTES, lambda placed: seal_entries(placed, self.secrets, batch))
+    def _write(self, packed: Callable[[DataFrame | None], DataFrame], counts: DataFrame, totals: P.WordTotals,
+               entries: Callable[[], DataFrame], batch: int, token: Column | None = None) -> None:
+        """The chain, sketch and entry rows of a run, of postings packed with the words that are split.
+
+        Three tables of their own: while one is planned or ends, the others use the cores.
+        """
+
+        def chain() -> None:
+            threshold = totals.split_threshold(self.split_above)
+            splits = P.split_words(counts, threshold) if totals.most > threshold else None
+            blocks = place_blocks(P.cut_blocks(packed(splits), counts, splits), self.secrets, batch, token)
+            size = totals.postings * POSTING_BYTES + totals.words * ROW_BYTES
+            self._append(self.store.upsert_chain, blocks, batch, size, lambda placed: seal_blocks(placed, self.secrets))
+
+        def entry() -> None:
+            size = totals.words * ROW_BYTES
+            self._append(self.store.append_entries, entries(), batch, size, lambda placed: seal_entries(placed, self.secrets, batch))
+
+        def sketch() -> None:
+            if hasattr(self.store, "append_sketch"):
+                self.store.append_sketch(counts.select("token"), batch, totals.words)
+
+        side_by_side(self.spark, [chain, entry, sketch])
 
     def _append(self, write, rows: DataFrame, batch: int, size: int, seal: Seal) -> None:
         if hasattr(self.store, "runs"):
@@ -411,13 +430,15 @@ class SealedIndex:
             entries = part.entries().withColumn("key", F.col("token")).select("key", "token", "revision", "sealed")
             opened = open_entries(entries, self.secrets)
             word = F.base64("key").alias("word")
-            totals = opened.groupBy("key").agg(F.sum("n").alias("n"), F.max("revision").alias("revision"))
-            counts = P.with_blocks(totals.select(word, F.col("key").alias("token"), "n", "revision"), self.block_size)
+            totals = P.by_word_hash(opened.select(word, F.col("key").alias("token"), "n", "revision")).groupBy("word_hash", "word", "token")
+            counts = P.with_blocks(totals.agg(F.sum("n").alias("n"), F.max("revision").alias("revision")), self.block_size)
             counts = stage(counts, "word-counts")
-            keys = chain_keys(opened.select(word, "word_key", "batch", "blocks"), spread=True)
-            postings = open_blocks(whole_chain(part.chain(), keys))
+            merged = P.word_totals(counts)
+            # Looking for words of more than a run of blocks opens all entries once more: only where there may be one.
+            keys = chain_keys(opened.select(word, "word_key", "batch", "blocks"), spread=merged.most > BLOCK_RUN * self.block_size)
+            bodies = open_bodies(whole_chain(part.chain(), keys))
             self.store.describe(run)
-            self._write(postings, counts, P.word_totals(counts), counts.select("token", "revision", "blocks", "n"), run.number, F.unbase64("word"))
+            self._write(lambda splits: P.packed_bodies(bodies, splits), counts, merged, lambda: counts.select("token", "revision", "blocks", "n"), run.number, F.unbase64("word"))
             self.store.drop(runs)
         return run
 
@@ -447,7 +468,7 @@ class SealedIndex:
         spread = found.blocks is None or found.blocks > BLOCK_RUN
         keys = chain_keys(found.entries, spread)
         if found.blocks is None and hasattr(self.store, "chain"):
-            return open_blocks(whole_chain(self.store.chain(), keys))
+            return P.unpack_many(open_bodies(whole_chain(self.store.chain(), keys)))
         return open_blocks(self._whole(self.store.get_chain(keys), keys))
 
     def _whole(self, rows: DataFrame, keys: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import SparkRuntimeException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealdex.functions.crypto import as_key, local_frame, utf8
@@ -40,6 +40,9 @@ DEMO = Secrets(master=b"demo master key", search=b"demo search key", word=b"demo
 
 ROLL_BYTES = 1 << 16
 
+# Most folders of a table that is staged by a column.
+STAGED_SLOTS = 256
+
 QUERIES: dict[str, Query] = {}
 _BUILT: dict[tuple[str, str, str], object] = {}
 
@@ -156,9 +159,23 @@ def posting_blocks(spark, sf_dir):
     )
 
 
+def _staged_by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Like :func:`staged`, in folders by the column's hash: :func:`_having` reads one of them."""
+    return staged(df.withColumn("slot", _slot(F.col(column))), name, "slot")
+
+
+def _having(stored: DataFrame, column: str, value) -> DataFrame:
+    typed = F.lit(value).cast(stored.schema[column].dataType)
+    return stored.where((F.col("slot") == _slot(typed)) & F.col(column).eqNullSafe(typed)).drop("slot")
+
+
+def _slot(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(STAGED_SLOTS)).cast("int")
+
+
 def _word_keys(index: SealedIndex, docs: DataFrame) -> DataFrame:
     """(word, token) of every word of the documents, worked out once."""
-    words = P.explode_words(docs).select("word").distinct()
+    words = P.record_words(docs).select("word").distinct()
     return staged(words.withColumn("token", word_token(index.secrets, F.col("word"))), "word-keys")
 
 
@@ -268,9 +285,9 @@ def index_levels(spark, sf_dir):
     store = ParquetIndexStore(spark, scratch_path(spark, "levels"))
     store.create()
     index = SealedIndex(store, DEMO.writer(), fan_out=LEVEL_FAN_OUT)
-    docs = staged(tb.document_words(spark, sf_dir), "document-words")
+    docs = _staged_by(tb.document_words(spark, sf_dir), "source", "document-words")
     for row in docs.select("source").distinct().orderBy("source").collect():
-        index.upsert(docs.where(F.col("source").eqNullSafe(row["source"])))
+        index.upsert(_having(docs, "source", row["source"]))
     keys = _word_keys(index, docs)
     revisions = open_entries(store.get_entries(keys), index.secrets).groupBy("word").agg(F.max("revision").alias("revision"))
     counts = _all_postings(index, keys).groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -8,9 +8,11 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on. Cluster sizing (executors, memory, shuffle
@@ -80,13 +82,21 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a workspace table and return the table.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as a workspace table, in a folder for each value ``by`` has, and return the table.
 
     Cuts the lineage with files every executor can read again, so a lost
     executor costs a re-read rather than a recomputation.
     """
-    return _write_table(df, scratch_path(df.sparkSession, name))
+    return _write_table(df, scratch_path(df.sparkSession, name), by)
+
+
+def side_by_side(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
+    """Run jobs at once and wait for all; the first to fail, in their order, is raised then."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        done = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    for job in done:
+        job.result()
 
 
 @contextmanager
@@ -99,8 +109,8 @@ def staging(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str
         delete_path(spark, root)
 
 
-def _write_table(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _write_table(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

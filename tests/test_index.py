@@ -515,3 +515,68 @@ def test_reading_all_postings_opens_each_entry_and_block_once(spark):
     opened = [line for line in plan if "aesDecrypt" in line and "Filter" in line]
     # One test is left: for words of more than one run, in a scan of their own.
     assert all(str(BLOCK_RUN) in line and "size(" not in line for line in opened) and len(opened) <= 1
+
+
+@pytest.mark.parametrize("limit, lot", [(None, 1 << 19), (100, 1 << 19), (100, 40)])
+def test_packed_postings_are_those_of_single_rows(spark, monkeypatch, limit, lot):
+    """Ids of several files, short and missing ones, a word twice in a record, long and odd words, lots of any size;
+    bodies packed again, as in a merge, give the same blocks."""
+    monkeypatch.setattr(P, "LOT_IDS", lot)
+    rng = random.Random(7)
+    ids = [b"file-%d" % (i % 3) * (1 + i % 2) + i.to_bytes(8, "big") for i in range(400)]
+    ids += [b"", b"id", bytes(8), b"\xff" * 9, ids[5], ids[5]] + [b"%d" % i for i in range(150)]
+    words = ["all", "é" * 40, "x" * 3000, "", *(f"w{i}" for i in range(60))]
+    rows = [(uid, ["all"] + [rng.choice(words) for _ in range(9)]) for uid in ids] + [(None, ["none", "all"]), (b"", []), (b"empty-words", None)]
+    df = spark.createDataFrame(rows, "uid binary, words array<string>").repartition(3)
+    want = {}
+    for uid, own in rows:
+        for w in set(own or []):
+            want.setdefault(w, []).append(uid)
+    counts = staged(P.with_blocks(P.record_word_counts(df), 64), "counts")
+    assert {r.word: (r.n, r.blocks) for r in counts.collect()} == {w: (len(u), -(-len(u) // 64)) for w, u in want.items()}
+    splits = None if limit is None else P.split_words(counts, limit)
+    blocks = staged(P.cut_blocks(P.packed_words(df, splits), counts, splits), "blocks")
+    again = P.cut_blocks(P.packed_bodies(blocks, splits), counts, splits)
+    uids = P.uids_of(F.col("body")).alias("uids")
+    block = {r.uid if r.uid is None else bytes(r.uid): r.h for r in df.select("uid", F.xxhash64("uid").alias("h")).collect()}
+    for cut in (blocks, again):
+        got = cut.select("word", "block", uids).collect()
+        assert sorted((r.word, r.block) for r in got if r.uids) == sorted({(w, block[u] % -(-len(us) // 64)) for w, us in want.items() for u in us if u is not None})
+        assert all(block[bytes(u)] % -(-len(want[r.word]) // 64) == r.block for r in got for u in r.uids)
+        assert sorted((r.word, bytes(u)) for r in got for u in r.uids) == sorted((w, u) for w, us in want.items() for u in us if u is not None)
+    assert {(r.word, r.block) for r in blocks.collect()} == {(w, b) for w, us in want.items() for b in range(-(-len(us) // 64))}
+    unpacked = sorted((r.word, bytes(r.uid)) for r in P.unpack_many(blocks).collect())
+    assert unpacked == sorted((r.word, bytes(r.uid)) for r in P.unpack_uids(blocks).collect())
+
+
+def test_hashes_are_those_of_spark(spark):
+    rng = random.Random(8)
+    values = [rng.randbytes(n) for n in range(100)]
+    frame = spark.createDataFrame(pa.table({"v": pa.array(values, pa.binary())}))
+    assert P.xxhash64(pa.array(values, pa.binary())).tolist() == [r.h for r in frame.select(F.xxhash64("v").alias("h")).collect()]
+
+
+def test_postings_move_as_rows_of_many_ids(spark):
+    """Upserts and merges shuffle a row for each word a task has seen, not one for each posting."""
+    docs = _random_docs(3_000, 12, 20)
+    df = rows_of(spark, docs).coalesce(2)
+    postings = sum(map(len, _inverted(docs).values()))
+    assert P.packed_words(df, None).count() <= 2 * len(_inverted(docs)) < postings / 100
+    counts = staged(P.with_blocks(P.record_word_counts(df), 64), "counts")
+    blocks = staged(P.cut_blocks(P.packed_words(df, None), counts, None), "blocks")
+    assert P.packed_bodies(blocks.coalesce(2), None).count() <= 2 * len(_inverted(docs))
+
+
+def test_a_failing_table_fails_the_upsert_and_shows_nothing(spark, monkeypatch):
+    store = new_store(spark)
+    index = SealedIndex(store, SECRETS.writer())
+    index.upsert(rows_of(spark, {b"document-1": ["a"]}))
+
+    def broken(*_, **__):
+        raise InterruptedError("no sketch")
+
+    monkeypatch.setattr(store, "append_sketch", broken)
+    with pytest.raises(InterruptedError):
+        index.upsert(rows_of(spark, {b"document-2": ["a"]}))
+    assert postings_of(SealedIndex(store, SECRETS.reader()).lookup(["a"])) == {"a": [b"document-1"]}
+    assert [r.covers for r in store.runs()] == [(1,)]

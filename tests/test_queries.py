@@ -29,3 +29,15 @@ def test_entry_point(spark):
     assert contract.entry(spark).count() > 0
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_staged_by_a_column_reads_one_folder_a_value(spark):
+    from sealdex.plans.queries import _having, _staged_by
+
+    rows = [(i, v) for i, v in enumerate(["a", "", None, "b=/c", "a", None, " a", "é"])]
+    stored = _staged_by(spark.createDataFrame(rows, "id int, source string"), "source", "by-source")
+    for value in {v for _, v in rows}:
+        found = _having(stored, "source", value)
+        assert found.columns == ["id", "source"]
+        assert sorted(r.id for r in found.collect()) == [i for i, v in rows if v == value]
+        assert "PartitionFilters: [isnotnull(slot" in found._jdf.queryExecution().executedPlan().toString()
